@@ -91,7 +91,8 @@ def line_decisions(docs: DataFrame, params: LineParams = DEFAULT, scratch: Scrat
     maybe = scratch.save(first.join(maybe, ["k1", "k2"], "left_semi").select("k1", "k2", "at.doc_id", "at.line_no"), "maybe")
     texts = (
         lines.filter(~blank & (F.col("n") >= params.min_chars))
-        .join(maybe.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "k1", "k2"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")) & (F.col("k1") == _name("line")) & (F.col("k2") == _name(F.lit(7), "line")))
+        # always a shuffle: the number of these lines grows with the input
+        .join(maybe.hint("merge").select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "k1", "k2"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")) & (F.col("k1") == _name("line")) & (F.col("k2") == _name(F.lit(7), "line")))
         .select("k1", "k2", rank.alias("at"), "line", "n").dropDuplicates(["k1", "k2"])
     )
     texts = scratch.save(texts, "texts")
