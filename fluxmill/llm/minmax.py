@@ -23,6 +23,8 @@ class MinMaxParams:
     ``permutations`` give twice as many signature values, cut into ``bands`` of
     ``rows`` values. With the defaults a pair at 0.85 shares no band with
     probability (1 - 0.85^5)^24 = 8e-7.
+    ``rare``: shingles of at most so many of the documents still in question
+    pair them directly.
     """
 
     shingle: int = 3
@@ -30,6 +32,7 @@ class MinMaxParams:
     permutations: int = 60
     bands: int = 24
     rows: int = 5
+    rare: int = 64
     seed: int = 20231
 
 
@@ -148,9 +151,16 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFram
     1. each member of a bucket is paired with the bucket's smallest member and
        confirmed on the full sets; a large group of near copies collapses here
        with one pair a member and band;
-    2. in buckets that still hold several components, the members of different
-       components are paired and confirmed, so no link between different texts
-       that share a band is lost.
+    2. in buckets that still hold several components, the member whose shingles
+       are most common there is paired with the members close to it, in the same
+       way;
+    3. what then is still in different components is linked only if it shares a
+       rare shingle, or if common shingles alone are enough for both (with
+       c of n common shingles, |x & y| <= min(c) + rare ones shared, and a link
+       needs |x & y| >= p / (100 + p) (|x| + |y|)). Both kinds are paired, the
+       first by prefixes of the rare shingles, the second within buckets, and
+       confirmed: no link between texts that share a band is lost, and no
+       family of near copies is expanded into all its pairs.
 
     Null, empty and wordless texts have an empty set and link with nothing.
     Rows with a null doc_id link with nothing and are kept. Rows that share a
@@ -175,17 +185,53 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFram
     links = scratch.save(_confirmed(heads, sets, params.percent), "links")
     reached = scratch.save(connected_components(links, scratch, "near"), "reached")
 
-    placed = members.join(reached, "node", "left").select("bucket", "node", "head", F.coalesce("component", "node").alias("component"))
-    placed = scratch.save(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    open_ = placed.join(mixed, "bucket", "left_semi")
-    other = open_.select("bucket", F.col("node").alias("other"), F.col("component").alias("theirs"))
-    across = (
-        open_.join(other, "bucket").filter("node < other and component <> theirs and node <> head")
-        .select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    # documents in buckets that still hold several components
+    def mixed(components: DataFrame) -> DataFrame:
+        placed = members.select("bucket", "node").join(components, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+        return placed.join(several, "bucket", "left_semi")
+
+    asked = scratch.save(mixed(reached), "asked")
+    doubtful = sets.join(asked.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    tokens = doubtful.select(F.col("doc_id").alias("node"), F.explode("shingles").alias("s"))
+    common = scratch.save(tokens.groupBy("s").agg(F.count("*").alias("df")).filter(F.col("df") > params.rare).select("s", F.lit(1).alias("common")), "common")
+    marked = tokens.join(common, "s", "left")
+    measured = scratch.save(
+        marked.groupBy("node").agg(F.count("*").alias("n"), F.count("common").alias("c"), F.array_sort(F.collect_list(F.when(F.col("common").isNull(), F.col("s")))).alias("own")), "measured"
+    )
+    p = params.percent
+
+    # a document of mostly common shingles nearest to the family's centre links all that are close to it
+    sized = asked.join(measured.select("node", "n", "c"), "node")
+    centre = sized.groupBy("bucket").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("node")).alias("minus"))).alias("top"))
+    central = (
+        sized.join(centre.select("bucket", (-F.col("top.minus")).alias("head")), "bucket")
+        .filter((F.col("node") != F.col("head")) & (F.col("c") * 100 >= F.col("n") * p))
+        .select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
+    )
+    links = scratch.save(links.union(_confirmed(central, sets, p)), "links-2")
+    reached = scratch.save(connected_components(links, scratch, "near-2"), "reached-2")
+
+    # pairs that common shingles alone can't make similar must share a rare one, in both prefixes
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * p / 100 - F.col("c"))).cast("int")
+    prefix = F.slice("own", 1, F.greatest(F.lit(0), F.size("own") - need + 1))
+    component = F.coalesce("component", "node").alias("component")
+    rare = measured.join(reached, "node", "left").select("node", component, "n", F.explode(prefix).alias("s"))
+    other = rare.select("s", F.col("node").alias("b"), F.col("component").alias("theirs"), F.col("n").alias("m"))
+    similar_size = (F.col("n") * 100 >= F.col("m") * p) & (F.col("m") * 100 >= F.col("n") * p)
+    by_rare = rare.join(other, "s").filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("theirs")) & similar_size).select(F.col("node").alias("a"), "b")
+
+    # the others have common shingles enough in both; they share a bucket
+    enough = lambda c: c * (100 + p) >= (F.col("n") + F.col("m")) * p
+    left = mixed(reached).join(measured.select("node", "n", "c"), "node").filter(F.col("c") * 100 >= F.col("n") * p)
+    right = left.select("bucket", F.col("node").alias("b"), F.col("component").alias("theirs"), F.col("n").alias("m"), F.col("c").alias("d"))
+    by_bucket = (
+        left.join(right, "bucket")
+        .filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("theirs")) & similar_size & enough(F.col("c")) & enough(F.col("d")))
+        .select(F.col("node").alias("a"), "b")
     )
-    more = _confirmed(across, sets, params.percent)
-    links = scratch.save(links.union(more), "all-links")
+    pairs = scratch.save(by_rare.union(by_bucket).distinct(), "pairs")
+    links = scratch.save(links.union(_confirmed(pairs, sets, p)), "all-links")
     groups = scratch.save(connected_components(links, scratch, "all"), "groups")
 
     grouped = names.join(groups, "node", "left").select("set_hi", "set_lo", F.coalesce("component", "node").alias("component"))
@@ -196,5 +242,5 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFram
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
     out = scratch.save(out, "result")
-    scratch.drop("signed", "members", "sets", "links", "reached", "placed", "all-links", "groups")
+    scratch.drop("signed", "members", "sets", "links", "reached", "asked", "common", "measured", "links-2", "reached-2", "pairs", "all-links", "groups")
     return out
