@@ -22,10 +22,8 @@ def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; a missing lang is filled with it."""
     model = language.fit_language(docs)
-    found = language.predict_language(docs, model).filter(f"lang_pred <> 'und' and score > {MIN_LANGUAGE_SCORE}")
-    told = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("lang_pred").alias("_lang"))
-    joined = docs.join(told, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.select(*(F.coalesce("lang", "_lang").alias("lang") if c == "lang" else docs[c] for c in docs.columns))
+    found = language.predict_language(docs, model, carry=True).filter(f"lang_pred <> 'und' and score > {MIN_LANGUAGE_SCORE}")
+    return found.select(*(F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +42,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten-word piece of a benchmark text."""
-    found = fmindex.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, found.filter(F.size("spans") == 0))
+    found = fmindex.find_leaks(docs, table(spark, sf_dir, "benchmark"), carry=True)
+    return found.filter(F.size("spans") == 0).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import LOWER_ASCII, WORDS_ASCII, binary_column
+from .texts import LOWER_ASCII, WORDS_ASCII, binary_column, row_schema, with_row
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Bytes of benchmark text that one pass over the documents carries to each executor.
@@ -224,31 +224,33 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.
 _OUT_SQL = "doc_id long, n_words long, spans array<array<long>>, items array<string>"
 
 
-def _search(phrases: Phrases, shard_words: int):
+def _search(phrases: Phrases, shard_words: int, carry: bool):
     names = [str(x) for x in phrases.names]
     get = phrases.symbols.get
 
-    def flush(ids: list, docs: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(ids: list, docs: list[np.ndarray], rows: list[pa.Array]) -> pa.RecordBatch:
         hit, items = shard_hits(docs, phrases)
         spans = [spans_of(h).tolist() if h.any() else [] for h in hit]
-        return pa.record_batch(
-            [pa.array(ids, pa.int64()), pa.array([len(d) for d in docs], pa.int64()), pa.array(spans, _OUT.field(2).type), pa.array([sorted({names[k] for k in x}) for x in items], _OUT.field(3).type)],
-            schema=_OUT,
-        )
+        columns = [pa.array(ids, pa.int64()), pa.array([len(d) for d in docs], pa.int64()), pa.array(spans, _OUT.field(2).type), pa.array([sorted({names[k] for k in x}) for x in items], _OUT.field(3).type)]
+        return pa.record_batch(columns + [pa.concat_arrays(rows)] * carry, names=_OUT.names + ["row"] * carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, docs, held = [], [], 0
+        ids, docs, rows, held = [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), binary_column(batch, "text"), strict=True):
+            begin = 0
+            for k, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), binary_column(batch, "text"), strict=True)):
                 words = words_of(text)
                 docs.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
                 ids.append(doc_id)
                 held += len(words) + 1
+                if held >= shard_words or k + 1 == batch.num_rows:
+                    rows += [batch.column("row").slice(begin, k + 1 - begin)] * carry
+                    begin = k + 1
                 if held >= shard_words:
-                    yield flush(ids, docs)
-                    ids, docs, held = [], [], 0
+                    yield flush(ids, docs, rows)
+                    ids, docs, rows, held = [], [], [], 0
         if ids:
-            yield flush(ids, docs)
+            yield flush(ids, docs, rows)
 
     return run
 
@@ -260,7 +262,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [benchmark if n == 1 else benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS, carry: bool = False) -> DataFrame:
     """(doc_id, n_words, spans, items): one row per row of ``docs(doc_id, text)``.
 
     ``spans`` are merged [begin, end) ranges of the words that lie in an
@@ -269,7 +271,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_by
     in shards of about ``shard_words`` words, builds an FM-index for each and
     searches all phrases in it; nothing is shuffled. A benchmark of more than
     ``block_bytes`` is searched in several passes, whose spans are united, so
-    what a pass carries to the executors is bounded.
+    what a pass carries to the executors is bounded. With ``carry``, ``row``
+    holds all columns of docs, so that nothing need be joined back.
 
     Null, empty and wordless texts have no words and no spans. A benchmark item
     of fewer words than ``window`` is one piece; null and wordless ones, and
@@ -277,10 +280,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_by
     several passes rows of one doc_id must have one text). Other columns of
     either table are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = row_schema(_OUT_SQL, docs, carry)
+    docs = with_row(docs, carry)
     benchmark = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     parts = [
-        docs.mapInArrow(_search(Phrases.of([tuple(r) for r in block.toLocalIterator()], window), shard_words), _OUT_SQL)
+        docs.mapInArrow(_search(Phrases.of([tuple(r) for r in block.toLocalIterator()], window), shard_words, carry), schema)
         for block in _blocks(benchmark, block_bytes)
     ]
     if len(parts) == 1:
@@ -290,10 +294,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_by
         every = every.union(part)
     n = len(parts)
     return (
-        every.groupBy("doc_id", "n_words")
+        every.groupBy("doc_id", "n_words", *["row"] * carry)
         .agg(F.count("*").alias("rows"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         .withColumn("spans", _united(F.array_sort("spans")))
-        .select(F.explode(F.array_repeat("doc_id", (F.col("rows") / n).cast("int"))).alias("doc_id"), "n_words", "spans", "items")
+        .select(F.explode(F.array_repeat("doc_id", (F.col("rows") / n).cast("int"))).alias("doc_id"), "n_words", "spans", "items", *["row"] * carry)
     )
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import LETTERS_ASCII, binary_column
+from .texts import LETTERS_ASCII, binary_column, row_schema, with_row
 
 #: Languages by family; any other language is a family of its own.
 FAMILIES = {
@@ -167,9 +167,11 @@ def fit_language(docs: DataFrame, params: LanguageParams = DEFAULT) -> LanguageM
     return LanguageModel.fit(x, table["lang"].tolist(), params)
 
 
-def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
+def predict_language(docs: DataFrame, model: LanguageModel, carry: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score): one row per row of ``docs(doc_id, text)``, over whole texts.
 
+    With ``carry``, ``row`` holds all columns of docs, so that nothing need be joined back.
+
     Null texts, and texts without a letter, are ``und`` with score 0, as are all
     if no language was learned. Repeated rows are judged one by one; other
     columns are not read.
@@ -183,7 +185,8 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 langs, scores = model.predict(features(texts, model.params.buckets))
                 ok = [has_letter(t) for t in texts]
                 langs = [x if k else "und" for x, k in zip(langs, ok, strict=True)]
-                yield pa.record_batch([cut.column("doc_id"), pa.array(langs, pa.string()), pa.array(np.where(ok, scores, 0.0).astype(float))], names=["doc_id", "lang_pred", "score"])
+                columns = [cut.column("doc_id"), pa.array(langs, pa.string()), pa.array(np.where(ok, scores, 0.0).astype(float))]
+                yield pa.record_batch(columns + [cut.column("row")] * carry, names=["doc_id", "lang_pred", "score"] + ["row"] * carry)
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    schema = "doc_id long, lang_pred string, score double"
+    return with_row(docs, carry).mapInArrow(run, row_schema(schema, docs, carry))

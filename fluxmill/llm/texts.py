@@ -8,6 +8,9 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 U64 = np.uint64
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -61,3 +64,14 @@ def slices(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
             begin, total = i + 1, 0
     if begin < len(counts):
         yield begin, len(counts)
+
+
+def with_row(docs: DataFrame, carry: bool) -> DataFrame:
+    """doc_id and text; with ``carry`` also ``row``, a struct of all columns."""
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[row] * carry)
+
+
+def row_schema(ddl: str, docs: DataFrame, carry: bool) -> StructType:
+    fields = list(StructType.fromDDL(ddl).fields)
+    return StructType(fields + [StructField("row", docs.schema)] * carry)
