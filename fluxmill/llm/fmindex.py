@@ -232,7 +232,7 @@ def _search(phrases: Phrases, shard_words: int, carry: bool):
         hit, items = shard_hits(docs, phrases)
         spans = [spans_of(h).tolist() if h.any() else [] for h in hit]
         columns = [pa.array(ids, pa.int64()), pa.array([len(d) for d in docs], pa.int64()), pa.array(spans, _OUT.field(2).type), pa.array([sorted({names[k] for k in x}) for x in items], _OUT.field(3).type)]
-        return pa.record_batch(columns + [pa.concat_arrays(rows)] * carry, names=_OUT.names + ["row"] * carry)
+        return pa.record_batch(columns + ([pa.concat_arrays(rows)] if carry else []), names=_OUT.names + ["row"] * carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, docs, rows, held = [], [], [], 0
@@ -244,7 +244,7 @@ def _search(phrases: Phrases, shard_words: int, carry: bool):
                 ids.append(doc_id)
                 held += len(words) + 1
                 if held >= shard_words or k + 1 == batch.num_rows:
-                    rows += [batch.column("row").slice(begin, k + 1 - begin)] * carry
+                    rows += [batch.column("row").slice(begin, k + 1 - begin)] if carry else []
                     begin = k + 1
                 if held >= shard_words:
                     yield flush(ids, docs, rows)

@@ -186,7 +186,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, carry: bool = False)
                 ok = [has_letter(t) for t in texts]
                 langs = [x if k else "und" for x, k in zip(langs, ok, strict=True)]
                 columns = [cut.column("doc_id"), pa.array(langs, pa.string()), pa.array(np.where(ok, scores, 0.0).astype(float))]
-                yield pa.record_batch(columns + [cut.column("row")] * carry, names=["doc_id", "lang_pred", "score"] + ["row"] * carry)
+                yield pa.record_batch(columns + ([cut.column("row")] if carry else []), names=["doc_id", "lang_pred", "score"] + ["row"] * carry)
 
     schema = "doc_id long, lang_pred string, score double"
     return with_row(docs, carry).mapInArrow(run, row_schema(schema, docs, carry))
