@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def box_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -34,14 +35,14 @@ def clip_to_box(x: np.ndarray, y: np.ndarray, box: tuple[float, float, float, fl
     return float(abs(np.dot(px, np.roll(py, -1)) - np.dot(py, np.roll(px, -1))) / 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def overlap_area(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Area in square degrees of a pixel's corners (lon, lat) within the cell x0, x1, y0, y1."""
     for lon, lat, x0, x1, y0, y1 in batches:
         yield pd.Series([clip_to_box(a, b, box) for a, b, *box in zip(lon, lat, x0, x1, y0, y1, strict=True)], dtype=float)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def point_in_polygon(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Whether (x, y) lies strictly within the ring (px, py), by crossing number."""
     for x, y, px, py in batches:

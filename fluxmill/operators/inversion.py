@@ -163,9 +163,9 @@ def solve_lognormal(ktk: np.ndarray, kty: np.ndarray, n_normal: int, sigma: np.n
 
 def hyper_grid(spark, **lists: list[float]) -> DataFrame:
     """All combinations of hyper-parameters, numbered from 0 in the order given."""
-    out = spark.range(1).select()
+    out = spark.range(1)
     for name, values in lists.items():
-        out = out.crossJoin(spark.createDataFrame([(float(v), k) for k, v in enumerate(values)], f"{name} double, _{name} int"))
+        out = out.select("*", F.posexplode(F.array(*(F.lit(float(v)) for v in values))).alias(f"_{name}", name))
     number = F.lit(0)
     for name, values in lists.items():
         number = number * len(values) + F.col(f"_{name}")
