@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -117,8 +118,9 @@ class _Ids(dict):
         return ids
 
 
+@lru_cache(maxsize=2)
 def word_encoder(path: str) -> Callable[[str], bytes]:
-    """Encodes a text to the bytes of its ids.
+    """Encodes a text to the bytes of its ids; a worker's tasks share the words it remembers.
 
     For a tokenizer that drops white space: its pieces, and what normalization
     changes, never reach across it, so a text's ids are those of its parts
@@ -127,8 +129,7 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     ids = _Ids(Tokenizer.from_file(path))
-    blank = str.maketrans("\n\t\r", "   ")
-    return lambda text: b"".join(map(ids.__getitem__, text.translate(blank).split(" ")))
+    return lambda text: b"".join(map(ids.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
