@@ -15,8 +15,9 @@ from .scratch import Scratch
 
 #: Vectors that a cell should hold, and the most pivots: with 64 doubles each they take 0.5 MB.
 CELL, MAX_PIVOTS = 4096, 1024
-#: Vectors on one side of a block; a cell of any size is cut into such blocks.
-BLOCK = 2048
+#: Most vectors on one side of a block; a cell of any size is cut into such blocks. Small tables take
+#: smaller blocks, a sixth of their rows, for enough tasks. A block's products are made STRIP rows at a time.
+BLOCK, STRIP = 8192, 512
 _TOLERANCE = 1e-9
 
 
@@ -36,6 +37,12 @@ def _unit(vectors: list, dim: int | None = None) -> tuple[np.ndarray, np.ndarray
     return x / np.where(norm > 0, norm, 1)[:, None], ok
 
 
+def _matrix(column, n: int) -> np.ndarray:
+    """Rows of a list column of equal lengths."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), float).reshape(n, -1)
+
+
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ pivots.T)))
 
@@ -54,7 +61,7 @@ def _cells(pivots: np.ndarray, reach: float, block: int, home_blocks: list[int],
         for batch in batches:
             ids = batch.column("vec_id").to_numpy()
             raw = batch.column("unit")
-            x = np.array(raw.to_pylist(), float).reshape(len(ids), -1)
+            x = _matrix(raw, len(ids))
             d = _distances(x, pivots)
             home = d.argmin(axis=1)
             own = d[np.arange(len(ids)), home]
@@ -95,7 +102,7 @@ def _sizes(pivots: np.ndarray, reach: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_home, n_all = np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
         for batch in batches:
-            x = np.array(batch.column("unit").to_pylist(), float).reshape(batch.num_rows, -1)
+            x = _matrix(batch.column("unit"), batch.num_rows)
             d = _distances(x, pivots)
             home = d.argmin(axis=1)
             own = d[np.arange(len(x)), home]
@@ -124,14 +131,19 @@ def _roots(n: int, links: np.ndarray) -> np.ndarray:
 def _joined(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        inner = np.array(table.column("inner").to_pylist(), bool)
+        inner = table.column("inner").to_numpy()
         ids, copies = table.column("vec_id").to_numpy(), table.column("copies").to_numpy()
-        x = np.array(table.column("unit").to_pylist(), float).reshape(len(ids), -1)
+        x = _matrix(table.column("unit"), len(ids))
         a, b = np.flatnonzero(inner), np.flatnonzero(~inner)
         found = np.empty((0, 2), np.int64)
         if len(a) and len(b):
             # single precision proposes with room for its rounding, double precision decides
-            rough = np.argwhere(x[a].astype(np.float32) @ x[b].astype(np.float32).T >= threshold - 1e-4)
+            one, two = x[a].astype(np.float32), x[b].astype(np.float32).T
+            rough = []
+            for k in range(0, len(a), STRIP):
+                at = np.flatnonzero(one[k : k + STRIP] @ two >= threshold - 1e-4)
+                rough.append(np.stack([at // len(b) + k, at % len(b)], axis=1))
+            rough = np.concatenate(rough)
             left, right = a[rough[:, 0]], b[rough[:, 1]]
             exact = np.concatenate([np.einsum("ij,ij->i", x[left[k : k + 100_000]], x[right[k : k + 100_000]]) for k in range(0, len(left), 100_000)] or [np.empty(0)])
             keep = (exact >= threshold) & (ids[left] != ids[right])
@@ -145,7 +157,7 @@ def _joined(threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell: int = CELL, max_pivots: int = MAX_PIVOTS, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell: int = CELL, max_pivots: int = MAX_PIVOTS, block: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of ``vectors(vec_id, embedding)``.
 
     Links join vectors whose cosine, in double precision, is ``threshold`` or
@@ -179,6 +191,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell: int = CELL, m
     nodes = named.join(groups, "name").filter("vec_id = node").dropDuplicates(["node", "name"])
     nodes = scratch.save(nodes.select(F.col("node").alias("vec_id"), "copies", "unit", F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("long").alias("salt")), "nodes")
     count = nodes.count()
+    block = block or max(1024, min(BLOCK, count // 6))
     n_pivots = max(1, min(max_pivots, count // cell))
     pivots = np.array([r[0] for r in nodes.orderBy("salt", "vec_id").limit(n_pivots).select("unit").collect()], float).reshape(-1, width)
     if count:
