@@ -144,7 +144,8 @@ class _Out:
         if self.current:
             if self.gap and self.lines:
                 self.lines.append("")
-            self.lines.append(f"{self.indent[: len(self.indent) - len(self.prefix)] if self.prefix else self.indent}{self.prefix}{''.join(self.current)}")
+            indent = self.indent[2:] if self.prefix else self.indent  # a list's marker stands left of its text
+            self.lines.append(f"{indent}{self.prefix}{''.join(self.current)}")
             self.current, self.gap, self.prefix = [], False, ""
         self.space = False
         self.gap |= gap
@@ -241,7 +242,6 @@ def _render(root: Node) -> list[str]:
                 elif node.tag == "li" and lists:
                     kind, number = lists[-1]
                     out.prefix = f"{number}. " if kind == "ol" else "- "
-                    out.indent = " " * max(len(out.indent), len(out.prefix)) if len(lists) == 1 else out.indent
                     lists[-1][1] += 1
                 steps.append(("close", node, pre))
             inner = pre or node.tag in ("pre", "listing", "plaintext")
