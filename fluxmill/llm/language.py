@@ -31,7 +31,7 @@ _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 class LanguageParams:
     """``per_language``: about how many labelled rows of a language the classifiers are fitted on, taken by the hash of doc_id."""
 
-    per_language: int = 1500
+    per_language: int = 800
     buckets: int = 4096
     rounds: int = 150
     rate: float = 0.05
@@ -74,8 +74,7 @@ def features(texts: list[bytes | None], buckets: int) -> np.ndarray:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, p: LanguageParams) -> np.ndarray:
-    """Weights and bias of a linear SVM with squared hinge loss; y is 1 or -1."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+    """Weights of a linear SVM with squared hinge loss; y is 1 or -1. The last column of x is 1, so the last weight is the bias."""
     w, first, second = (np.zeros(x.shape[1], np.float32) for _ in range(3))
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     for step in range(1, p.rounds + 1):
@@ -97,6 +96,7 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, x: np.ndarray, langs: list[str], params: LanguageParams) -> LanguageModel:
+        """``x``: features and a last column of ones."""
         self, by = cls(params), defaultdict(list)
         for lang in sorted(set(langs)):
             by[family_of(lang)].append(lang)
@@ -163,8 +163,12 @@ def fit_language(docs: DataFrame, params: LanguageParams = DEFAULT) -> LanguageM
     table = found.toPandas().sort_values(["doc_id", "lang"], kind="stable")
     if not len(table):
         return LanguageModel(params)
-    x = np.frombuffer(b"".join(table["x"]), np.float16).reshape(len(table), -1).astype(np.float32)
-    return LanguageModel.fit(x, table["lang"].tolist(), params)
+    x = np.ones((len(table), params.buckets + 1), np.float32)  # the driver holds the sample once
+    for k, row in enumerate(table["x"]):
+        x[k, :-1] = np.frombuffer(row, np.float16)
+    langs = table["lang"].tolist()
+    del table
+    return LanguageModel.fit(x, langs, params)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, carry: bool = False) -> DataFrame:
