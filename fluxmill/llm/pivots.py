@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,26 +17,24 @@ from .scratch import Scratch
 
 #: Vectors that a cell should hold, and the most pivots: with 64 doubles each they take 0.5 MB.
 CELL, MAX_PIVOTS = 4096, 1024
-#: Most vectors on one side of a block; a cell of any size is cut into such blocks. Small tables take
-#: smaller blocks, a sixth of their rows, for enough tasks. A block's products are made STRIP rows at a time.
-BLOCK, STRIP = 8192, 512
+#: Most vectors on one side of a block; a cell of any size is cut into such blocks. A block's products,
+#: and the links they give, are made and counted STRIP rows at a time.
+BLOCK, STRIP = 4096, 512
 _TOLERANCE = 1e-9
 
 
-def _unit(vectors: list, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors, and which rows are usable."""
-    dim = dim or max((len(v) for v in vectors if v is not None), default=1)
-    ok = np.array([v is not None and len(v) == dim and not any(x is None for x in v) for v in vectors], bool)
-    x = np.zeros((len(vectors), dim))
-    if ok.any():
-        x[ok] = np.array([v for v, k in zip(vectors, ok, strict=True) if k], float)
-    ok &= np.isfinite(x).all(axis=1)
+def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of a list column, and which rows are usable."""
+    fits = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(column), dim), False))
+    x = np.full((len(column), dim), np.nan)
+    x[fits] = column.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)  # nulls become NaN
+    ok = np.isfinite(x).all(axis=1)
     x[~ok] = 0
     top = np.abs(x).max(axis=1, initial=0)
     x /= np.where(top > 0, top, 1)[:, None]  # no overflow in the squares
     norm = np.linalg.norm(x, axis=1)
     ok &= norm > 0
-    return x / np.where(norm > 0, norm, 1)[:, None], ok
+    return x / np.where(norm > 0, norm, 1)[:, None] + 0.0, ok
 
 
 def _matrix(column, n: int) -> np.ndarray:
@@ -47,117 +47,118 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ pivots.T)))
 
 
-def _cells(pivots: np.ndarray, reach: float, block: int, home_blocks: list[int], all_blocks: list[int]):
-    """Deals each vector to its own cell, and to each cell that the triangle inequality can't rule out.
+def _homes(x: np.ndarray, pivots: np.ndarray, between: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each vector, and the lower cells that the triangle inequality can't rule out.
 
     If w lies in the cell of pivot q and d(v, w) <= reach, then
     d(v, q) <= d(v, p) + 2 reach for the pivot p nearest to v; in Euclidean
     space the plane between p and q bounds it more tightly:
-    (d(v, q)^2 - d(v, p)^2) / 2 d(p, q) <= reach.
+    (d(v, q)^2 - d(v, p)^2) / 2 d(p, q) <= reach. The lower of two cells joins
+    their pairs, so each pair has one place.
+    """
+    d = _distances(x, pivots)
+    home = d.argmin(axis=1)
+    own = d[np.arange(len(x)), home][:, None]
+    near = (d <= own + 2 * reach + _TOLERANCE) & (d**2 - own**2 <= 2 * reach * between[home] + _TOLERANCE)
+    return home, near & (np.arange(len(pivots)) < home[:, None])
+
+
+def _cells(pivots: np.ndarray, reach: float, home_blocks: np.ndarray, guest_blocks: np.ndarray):
+    """Deals each vector to the blocks (i, j) of its own cell and of the lower cells it may have partners in.
+
+    A cell's blocks are numbered: first its own vectors', then its guests'.
+    Own blocks meet each other, i <= j, and all guests' blocks.
     """
     between = _distances(pivots, pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("vec_id").to_numpy()
-            raw = batch.column("unit")
-            x = _matrix(raw, len(ids))
-            d = _distances(x, pivots)
-            home = d.argmin(axis=1)
-            own = d[np.arange(len(ids)), home]
-            gap = d**2 - own[:, None] ** 2
-            near = (d <= own[:, None] + 2 * reach + _TOLERANCE) & (gap <= 2 * reach * between[home] + _TOLERANCE)
-            near[np.arange(len(ids)), home] = True
-            salt = batch.column("salt").to_numpy()
-            rows, cells, left, right, inner = [], [], [], [], []
-            for k in range(len(ids)):  # inner rows meet all member blocks of their cell
-                n = all_blocks[home[k]]
-                rows += [k] * n
-                cells += [int(home[k])] * n
-                left += [int(salt[k]) % home_blocks[home[k]]] * n
-                right += range(n)
-                inner += [True] * n
-            for k, c in zip(*(z.tolist() for z in np.nonzero(near)), strict=True):
-                n = home_blocks[c]
-                rows += [k] * n
-                cells += [c] * n
-                left += range(n)
-                right += [int(salt[k]) % all_blocks[c]] * n
-                inner += [False] * n
-            for at in range(0, len(rows), 20_000):
-                take = pa.array(rows[at : at + 20_000])
+            raw, salt = batch.column("unit"), batch.column("salt").to_numpy()
+            home, guest = _homes(_matrix(raw, batch.num_rows), pivots, between, reach)
+            n = (home_blocks + guest_blocks)[home]
+            rows = np.repeat(np.arange(len(home)), n)
+            other = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+            mine = (salt % home_blocks[home])[rows]
+            who, where = np.nonzero(guest)
+            n = home_blocks[where]
+            at = np.repeat(np.arange(len(who)), n)
+            meets = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            seat = (home_blocks[where] + salt[who] % np.maximum(1, guest_blocks[where]))[at]
+            rows, cells = np.concatenate([rows, who[at]]), np.concatenate([home[rows], where[at]])
+            block, other = np.concatenate([mine, seat]), np.concatenate([other, meets])
+            i, j = np.minimum(block, other), np.maximum(block, other)
+            for k in range(0, len(rows), 20_000):
+                part = slice(k, k + 20_000)
+                take = pa.array(rows[part])
                 yield pa.record_batch(
-                    [pa.array(cells[at : at + 20_000], pa.int32()), pa.array(left[at : at + 20_000], pa.int32()), pa.array(right[at : at + 20_000], pa.int32()),
-                     pa.array(inner[at : at + 20_000]), batch.column("vec_id").take(take), batch.column("copies").take(take), raw.take(take)],
-                    names=["cell", "i", "j", "inner", "vec_id", "copies", "unit"],
+                    [pa.array(cells[part], pa.int32()), pa.array(i[part], pa.int32()), pa.array(j[part], pa.int32()), pa.array(block[part], pa.int32()),
+                     batch.column("vec_id").take(take), batch.column("copies").take(take), raw.take(take)],
+                    names=["cell", "i", "j", "block", "vec_id", "copies", "unit"],
                 )
 
     return run
 
 
 def _sizes(pivots: np.ndarray, reach: float):
-    """How many vectors live in, and how many are dealt to, each cell; one row per cell and task."""
+    """How many vectors live in, and how many are guests of, each cell; one row per cell and task."""
     between = _distances(pivots, pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_home, n_all = np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
+        n_home, n_guest = np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
         for batch in batches:
-            x = _matrix(batch.column("unit"), batch.num_rows)
-            d = _distances(x, pivots)
-            home = d.argmin(axis=1)
-            own = d[np.arange(len(x)), home]
-            near = (d <= own[:, None] + 2 * reach + _TOLERANCE) & (d**2 - own[:, None] ** 2 <= 2 * reach * between[home] + _TOLERANCE)
+            home, guest = _homes(_matrix(batch.column("unit"), batch.num_rows), pivots, between, reach)
             n_home += np.bincount(home, minlength=len(pivots))
-            n_all += near.sum(axis=0)
-        yield pa.record_batch([pa.array(np.arange(len(pivots)), pa.int32()), pa.array(n_home), pa.array(n_all)], names=["cell", "n_home", "n_all"])
+            n_guest += guest.sum(axis=0)
+        yield pa.record_batch([pa.array(np.arange(len(pivots)), pa.int32()), pa.array(n_home), pa.array(n_guest)], names=["cell", "n_home", "n_guest"])
 
     return run
 
 
-def _roots(n: int, links: np.ndarray) -> np.ndarray:
-    """For each of n nodes, one node of its component under ``links``."""
-    root = np.arange(n)
+def _merged(root: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """``root``, the least node of each node's component, after ``links`` have joined components."""
+    links = root[links]
+    links = links[links[:, 0] != links[:, 1]]
     while len(links):
-        low = root.copy()
-        np.minimum.at(low, links[:, 0], root[links[:, 1]])
-        np.minimum.at(low, links[:, 1], low[links[:, 0]])
-        low = low[low]
-        if (low == root).all():
-            break
-        root = low
+        up = np.arange(len(root))
+        np.minimum.at(up, links.max(axis=1), links.min(axis=1))
+        while (up[up] != up).any():
+            up = up[up]
+        root, links = up[root], up[links]
+        links = links[links[:, 0] != links[:, 1]]
     return root
 
 
 def _joined(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        inner = table.column("inner").to_numpy()
+        block = table.column("block").to_numpy()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         ids, copies = table.column("vec_id").to_numpy(), table.column("copies").to_numpy()
         x = _matrix(table.column("unit"), len(ids))
-        a, b = np.flatnonzero(inner), np.flatnonzero(~inner)
-        found = np.empty((0, 2), np.int64)
-        if len(a) and len(b):
-            # single precision proposes with room for its rounding, double precision decides
-            one, two = x[a].astype(np.float32), x[b].astype(np.float32).T
-            rough = []
-            for k in range(0, len(a), STRIP):
-                at = np.flatnonzero(one[k : k + STRIP] @ two >= threshold - 1e-4)
-                rough.append(np.stack([at // len(b) + k, at % len(b)], axis=1))
-            rough = np.concatenate(rough)
-            left, right = a[rough[:, 0]], b[rough[:, 1]]
-            exact = np.concatenate([np.einsum("ij,ij->i", x[left[k : k + 100_000]], x[right[k : k + 100_000]]) for k in range(0, len(left), 100_000)] or [np.empty(0)])
-            keep = (exact >= threshold) & (ids[left] != ids[right])
-            found = np.stack([left[keep], right[keep]], axis=1)
-        n = np.zeros(len(ids), np.int64)
-        np.add.at(n, found[:, 0], copies[found[:, 1]])
-        root = _roots(len(ids), found)
-        linked = np.flatnonzero((n > 0) | (root != np.arange(len(ids))))
+        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        # single precision proposes with room for its rounding, double precision decides
+        one, two = x[a].astype(np.float32), x[b].astype(np.float32).T
+        for k in range(0, len(a) if len(b) else 0, STRIP):
+            skip = k if i == j else 0  # within a block, what lies before is done
+            at = np.flatnonzero(one[k : k + STRIP] @ two[:, skip:] >= threshold - 1e-4)
+            left, right = at // (len(b) - skip) + k, at % (len(b) - skip) + skip
+            if i == j:
+                left, right = left[left < right], right[left < right]
+            left, right = a[left], b[right]
+            exact = [np.einsum("ij,ij->i", x[left[c : c + 100_000]], x[right[c : c + 100_000]]) for c in range(0, len(left), 100_000)]
+            keep = np.concatenate([*exact, np.empty(0)]) >= threshold
+            left, right = left[keep], right[keep]
+            np.add.at(n, left, copies[right])
+            np.add.at(n, right, copies[left])
+            root = _merged(root, np.stack([left, right], axis=1))
+        linked = np.flatnonzero(n > 0)
         return pa.table({"vec_id": ids[linked], "n": n[linked], "other": ids[root[linked]]})
 
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell: int = CELL, max_pivots: int = MAX_PIVOTS, block: int | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell: int = CELL, max_pivots: int = MAX_PIVOTS, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of ``vectors(vec_id, embedding)``.
 
     Links join vectors whose cosine, in double precision, is ``threshold`` or
@@ -166,7 +167,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell: int = CELL, m
     ``max_pivots`` vectors at most, taken by the hash of their id, are pivots;
     every vector is placed, whatever the pivots. A cell's blocks of ``block`` by
     ``block`` vectors are joined in their own tasks, so no cell, however large,
-    is gathered, and each task gives a row a vector, not a row a link.
+    is gathered, and each task gives a row a vector, not a row a link. Each pair
+    of vectors meets in one task.
 
     Vectors that are null, empty, zero, of another length than most, or that hold nulls or non-finite values link with nothing; nor do
     rows with a null vec_id. Rows that repeat a vec_id with the same vector are
@@ -180,27 +182,28 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell: int = CELL, m
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, ok = _unit(batch.column("embedding").to_pylist(), width)
             ids = batch.column("vec_id")
-            ok &= ~np.array(ids.is_null())
-            yield pa.record_batch([ids, pa.array([row if k else None for row, k in zip(x, ok, strict=True)], pa.list_(pa.float64()))], names=["vec_id", "unit"])
-
-    units = scratch.save(rows.mapInArrow(unit, "vec_id long, unit array<double>"), "units")
-    named = units.filter("unit is not null").withColumn("name", F.sha2(F.to_binary(F.array_join(F.transform("unit", lambda v: v.cast("string")), ","), F.lit("utf-8")), 256))
+            x, ok = _unit(batch.column("embedding"), width)
+            ok &= ~np.asarray(ids.is_null())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(x.ravel()), mask=pa.array(~ok))
+            names = [hashlib.sha256(row.tobytes()).digest() if k else None for row, k in zip(x, ok, strict=True)]
+            yield pa.record_batch([ids, lists, pa.array(names, pa.binary())], names=["vec_id", "unit", "name"])
+
+    units = scratch.save(rows.mapInArrow(unit, "vec_id long, unit array<double>, name binary"), "units")
+    named = units.filter("unit is not null")
     groups = named.groupBy("name").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     nodes = named.join(groups, "name").filter("vec_id = node").dropDuplicates(["node", "name"])
     nodes = scratch.save(nodes.select(F.col("node").alias("vec_id"), "copies", "unit", F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("long").alias("salt")), "nodes")
     count = nodes.count()
-    block = block or max(1024, min(BLOCK, count // 6))
     n_pivots = max(1, min(max_pivots, count // cell))
     pivots = np.array([r[0] for r in nodes.orderBy("salt", "vec_id").limit(n_pivots).select("unit").collect()], float).reshape(-1, width)
     if count:
         reach = math.sqrt(2 - 2 * threshold) + 1e-9
-        sizes = nodes.select("unit").mapInArrow(_sizes(pivots, reach), "cell int, n_home long, n_all long").groupBy("cell").agg(F.sum("n_home").alias("h"), F.sum("n_all").alias("a")).collect()
-        home_blocks, all_blocks = [1] * len(pivots), [1] * len(pivots)
+        sizes = nodes.select("unit").mapInArrow(_sizes(pivots, reach), "cell int, n_home long, n_guest long").groupBy("cell").agg(F.sum("n_home").alias("h"), F.sum("n_guest").alias("g")).collect()
+        home_blocks, guest_blocks = np.ones(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
         for r in sizes:
-            home_blocks[r["cell"]], all_blocks[r["cell"]] = max(1, -(-r["h"] // block)), max(1, -(-r["a"] // block))
-        dealt = nodes.mapInArrow(_cells(pivots, reach, block, home_blocks, all_blocks), "cell int, i int, j int, inner boolean, vec_id long, copies long, unit array<double>")
+            home_blocks[r["cell"]], guest_blocks[r["cell"]] = max(1, -(-r["h"] // block)), -(-r["g"] // block)
+        dealt = nodes.mapInArrow(_cells(pivots, reach, home_blocks, guest_blocks), "cell int, i int, j int, block int, vec_id long, copies long, unit array<double>")
         found = scratch.save(dealt.groupBy("cell", "i", "j").applyInArrow(_joined(threshold), "vec_id long, n long, other long"), "found")
     else:
         found = spark.createDataFrame([], "vec_id long, n long, other long")
