@@ -263,11 +263,20 @@ def overlap_area(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{cte('place', 'pixel')} SELECT elem, pixel_id, {r('greatest(0, least(p.lat + 1, x.lat + 0.5::DOUBLE) - greatest(p.lat - 1, x.lat - 0.5::DOUBLE))', 6)} AS overlap FROM place p JOIN pixel x ON p.elem % 20 = x.j WHERE x.pixel_id < 2000""")
 def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
-    p = view(spark, d, "place").select("elem", F.col("lat").alias("plat"), (F.col("elem") % 20).alias("j"))
-    x = view(spark, d, "pixel").filter("pixel_id < 2000").select("pixel_id", "lat", "j")
+    return _overlaps(view(spark, d, "place"), view(spark, d, "pixel").filter("pixel_id < 2000"))
+
+
+def _overlaps(place: DataFrame, pixel: DataFrame) -> DataFrame:
+    p = place.select("elem", F.col("lat").alias("plat"), (F.col("elem") % 20).alias("j"))
+    x = pixel.select("pixel_id", "lat", "j")
     return p.join(x, "j").select("elem", "pixel_id", cut(box_overlap(F.col("plat") - 1, F.col("plat") + 1, F.col("lat") - 0.5, F.col("lat") + 0.5), 6).alias("overlap"))
 
 
+@query(f"""{cte('place', 'pixel')} SELECT elem, pixel_id, {r('greatest(0, least(p.lat + 1, x.lat + 0.5::DOUBLE) - greatest(p.lat - 1, x.lat - 0.5::DOUBLE))', 6)} AS overlap FROM place p JOIN pixel x ON p.elem % 20 = x.j""")
+def interval_overlap_all(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(view(spark, d, "place"), view(spark, d, "pixel"))
+
+
 _V = "[1000.0::DOUBLE - q, 700.0::DOUBLE, 400.0::DOUBLE]"
 
 

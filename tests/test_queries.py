@@ -39,3 +39,10 @@ def test_query(spark, duck, name):
     at = [names.index(c) for c in df.columns]
     want = sorted(str(tuple(plain(r[k]) for k in at)) for r in rel.fetchall())
     assert sorted(str(tuple(map(plain, r))) for r in rows) == want
+
+
+def test_interval_overlap_reaches_all_pixels(spark, tmp_path):
+    spark.sql("SELECT id AS s_suppkey FROM range(20)").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.sql("SELECT id AS event_id, id AS user_id, TIMESTAMP '2024-01-05' AS ts, 'x' AS event_type, 1.0D AS value FROM range(1990, 2050)").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["interval_overlap_all"](spark, str(tmp_path)).collect()
+    assert sorted((r["elem"], r["pixel_id"]) for r in got) == sorted((k % 20, k) for k in range(1990, 2050))
