@@ -233,9 +233,18 @@ def nearest_cell(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{cte('place', 'pixel')}, c AS (SELECT DISTINCT i * 100 + j AS cell_id, lat, lon FROM pixel), x AS (SELECT elem, cell_id, power(cos(radians(p.lat)) * cos(radians(p.lon)) - cos(radians(c.lat)) * cos(radians(c.lon)), 2) + power(cos(radians(p.lat)) * sin(radians(p.lon)) - cos(radians(c.lat)) * sin(radians(c.lon)), 2) + power(sin(radians(p.lat)) - sin(radians(c.lat)), 2) AS d2 FROM place p, c WHERE p.lat < 36)
 SELECT elem AS id, CAST(rank AS INT) AS rank, {r('d2', 9)} AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY elem ORDER BY d2, cell_id) AS rank FROM x) WHERE rank <= 3""")
 def nearest_cells(spark: SparkSession, d: str) -> DataFrame:
-    cells = view(spark, d, "pixel").select((F.col("i") * 100 + F.col("j")).alias("cell_id"), "lat", "lon").distinct()
-    points = view(spark, d, "place").filter("lat < 36").withColumnRenamed("elem", "id")
-    return plumes.nearest_cells(points, cells, 3, 2.0).select("id", "rank", cut("d2", 9).alias("d2"))
+    return _nearest(view(spark, d, "place").filter("lat < 36"), view(spark, d, "pixel"))
+
+
+def _nearest(place: DataFrame, pixel: DataFrame) -> DataFrame:
+    cells = pixel.select((F.col("i") * 100 + F.col("j")).alias("cell_id"), "lat", "lon").distinct()
+    return plumes.nearest_cells(place.withColumnRenamed("elem", "id"), cells, 3, 2.0).select("id", "rank", cut("d2", 9).alias("d2"))
+
+
+@query(f"""{cte('place', 'pixel')}, c AS (SELECT DISTINCT i * 100 + j AS cell_id, lat, lon FROM pixel), x AS (SELECT elem, cell_id, power(cos(radians(p.lat)) * cos(radians(p.lon)) - cos(radians(c.lat)) * cos(radians(c.lon)), 2) + power(cos(radians(p.lat)) * sin(radians(p.lon)) - cos(radians(c.lat)) * sin(radians(c.lon)), 2) + power(sin(radians(p.lat)) - sin(radians(c.lat)), 2) AS d2 FROM place p, c)
+SELECT elem AS id, CAST(rank AS INT) AS rank, {r('d2', 9)} AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY elem ORDER BY d2, cell_id) AS rank FROM x) WHERE rank <= 3""")
+def nearest_cells_all(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(view(spark, d, "place"), view(spark, d, "pixel"))
 
 
 @query(f"""{cte('pixel')}, c AS (SELECT i, j, count(*) AS n_obs, count(DISTINCT CAST(time AS DATE)) AS n_superobs FROM pixel GROUP BY i, j), l AS (SELECT DISTINCT CAST(i // 6 * 10 + j // 5 AS BIGINT) AS label, i, j FROM pixel),

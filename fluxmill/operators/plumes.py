@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,17 +33,48 @@ def sources_over(grid: DataFrame, cell: list[str], rate: float, count: int = 0)
     return grid.filter(ok).groupBy(*cell).agg(F.avg("plumes").alias("plumes"), F.avg("rate").alias("rate"))
 
 
+def _reaches(counts: dict[int, int], first: int, last: int, k: int) -> list[int]:
+    """For each band from first to last, how many bands on either side hold k cells, or all if there are fewer; one at least."""
+    enough, out = min(k, sum(counts.values())), []
+    for b in range(first, last + 1):
+        reach, n = 0, counts.get(b, 0)
+        while n < enough or reach < 1:
+            reach += 1
+            n += counts.get(b - reach, 0) + counts.get(b + reach, 0)
+        out.append(reach)
+    return out
+
+
 def nearest_cells(points: DataFrame, cells: DataFrame, k: int, step: float) -> DataFrame:
-    """The k nearest cells of each point, on the unit sphere; cells within ``step`` degrees of a band are met by an equi-join."""
+    """The k nearest cells of each point, on the unit sphere; all where there are fewer.
+
+    Cells are met by an equi-join on latitude bands of ``step`` degrees. A first
+    join over as many bands as hold k cells bounds the k-th distance; no cell
+    within a distance is further off in latitude, so the second takes the bands
+    within that bound. ``id`` names a point; points and cells without a place
+    are left out. The driver gets a count for each band.
+    """
     from pyspark.sql import Window
 
     from ..functions.scalars import unit_sphere
 
     band = lambda lat: F.floor(lat / step)
-    around = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: band(F.col("lat")) + d))
-    left = points.select("id", "lat", "lon", around.alias("band"))
-    right = cells.select("cell_id", F.col("lat").alias("clat"), F.col("lon").alias("clon"), band(F.col("lat")).alias("band"))
+    left = points.select("id", "lat", "lon").filter("lat is not null and lon is not null")
+    right = cells.select("cell_id", F.col("lat").alias("clat"), F.col("lon").alias("clon"), band(F.col("lat")).alias("band")).filter("clat is not null and clon is not null")
+    first, last = math.floor(-90 / step), math.floor(90 / step)
+    reaches = F.array(*map(F.lit, _reaches({r["band"]: r["count"] for r in right.groupBy("band").count().collect()}, first, last, k)))
     a, b = unit_sphere(F.col("lat"), F.col("lon")), unit_sphere(F.col("clat"), F.col("clon"))
     d2 = sum(((x - y) * (x - y) for x, y in zip(a, b, strict=True)), F.lit(0.0))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "cell_id"))
-    return left.join(right, "band").select("id", "cell_id", d2.alias("d2")).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    def met(low: Column, high: Column) -> DataFrame:
+        at = left.withColumn("band", F.explode(F.sequence(F.greatest(low, F.lit(first)), F.least(high, F.lit(last)))))
+        return at.join(right, "band").select("id", "cell_id", d2.alias("d2")).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    here = band(F.col("lat"))
+    reach = F.get(reaches, (here - first).cast("int"))
+    bound = met(here - reach, here + reach).groupBy("id").agg(F.max("d2").alias("most"))
+    # the angle of that chord, and more than rounding makes of it
+    angle = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sqrt("most") / 2))) + 1e-5
+    left = left.join(bound, "id").select("id", "lat", "lon", angle.alias("angle"))
+    return met(band(F.col("lat") - F.col("angle")), band(F.col("lat") + F.col("angle")))

@@ -1,10 +1,11 @@
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fluxmill.functions.geo import clip_to_box, point_in_polygon
-from fluxmill.operators import boundary, emissions, kalman, quality, statevector, superobs
+from fluxmill.operators import boundary, emissions, kalman, plumes, quality, statevector, superobs
 from fluxmill.plans import config
 from fluxmill.sources import catalogue
 
@@ -87,3 +88,21 @@ def test_config():
     for bad in ({"Nope": 1}, {"LonMin": 5, "LonMax": 1}, {"Res": "1x1"}):
         with pytest.raises(ValueError):
             config.load(bad)
+
+
+def test_nearest_cells_are_exact_at_any_distance(spark):
+    rng = np.random.default_rng(3)
+    # far from all cells, at the poles, and with nearer cells two bands off than in its own band
+    points = [(0, 80.0, 10.0), (1, -89.5, 0.0), (2, 90.0, 0.0), (3, 31.0, -60.0), *((10 + k, float(a), float(b)) for k, (a, b) in enumerate(zip(rng.uniform(-90, 90, 40), rng.uniform(-180, 180, 40), strict=True)))]
+    cells = [(0, 31.0, 100.0), (1, 31.0, 101.0), (2, 30.5, 102.0), (3, 36.0, -60.0), (4, 36.5, -60.0), (5, 26.0, -60.0), *((10 + k, float(a), float(b)) for k, (a, b) in enumerate(zip(rng.uniform(20, 45, 30), rng.uniform(-180, 180, 30), strict=True)))]
+    p, c = spark.createDataFrame(points, "id int, lat double, lon double"), spark.createDataFrame(cells, "cell_id int, lat double, lon double")
+
+    def xyz(rows):
+        a, b = np.radians([r[1] for r in rows]), np.radians([r[2] for r in rows])
+        return np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)], 1)
+
+    d2 = ((xyz(points)[:, None] - xyz(cells)[None]) ** 2).sum(2)
+    want = {(points[n][0], rank + 1): cells[m][0] for n, row in enumerate(d2) for rank, m in enumerate(np.argsort(row)[:3])}
+    assert {(r["id"], r["rank"]): r["cell_id"] for r in plumes.nearest_cells(p, c, 3, 2.0).collect()} == want
+    assert plumes.nearest_cells(p, c.limit(2), 3, 2.0).count() == 2 * len(points)
+    assert plumes.nearest_cells(p, c.limit(0), 3, 2.0).count() == 0
