@@ -15,14 +15,13 @@ BAD = "#bad"
 class UrlParams:
     """Mined rules hold for ``min_support`` of the labelled URLs, ``min_count`` at least, with ``min_confidence``.
 
-    ``vocabulary``: the tokens that part bad from good URLs best go into the
-    mining; it bounds the itemsets, which can double with each token.
+    Every token that enough bad URLs have goes into the mining. Itemsets can
+    double with each token that as many URLs share.
     """
 
     min_support: float = 0.002
     min_count: int = 10
     min_confidence: float = 0.5
-    vocabulary: int = 24
     inline_rules: int = 2000
 
 
@@ -85,10 +84,9 @@ def mine_rules(labelled: DataFrame, params: UrlParams = DEFAULT) -> DataFrame:
     support = max(params.min_support, params.min_count / n)
     if support > 1:
         return empty
-    share = bad / n
-    counts = rows.select("bad", F.explode("t").alias("t")).groupBy("t").agg(F.count("*").alias("c"), F.sum(F.col("bad").cast("long")).alias("b"))
-    z = (F.col("b") - F.col("c") * share) / F.sqrt(F.col("c") * share * (1 - share) + 1e-9)
-    words = [r["t"] for r in counts.filter(F.col("b") >= support * n).orderBy(z.desc(), "t").limit(params.vocabulary).collect()]
+    counts = rows.select("bad", F.explode("t").alias("t")).groupBy("t").agg(F.sum(F.col("bad").cast("long")).alias("b"))
+    # no rule can hold any other token; there are at most (tokens a URL) / support
+    words = [r["t"] for r in counts.filter(F.col("b") >= support * n).orderBy("t").collect()]
     if not words:
         return empty
     known = F.array(*(F.lit(w) for w in words))

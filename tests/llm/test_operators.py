@@ -236,6 +236,14 @@ def test_url_rules(spark):
     assert urlrules.mine_rules(spark.createDataFrame([], "url string, bad boolean")).count() == 0
 
 
+def test_url_rules_use_every_frequent_token(spark):
+    rows = [(f"http://x/w{k}/{n}", True) for k in range(30) for n in range(20)]
+    rows += [(f"http://x/lucky/draw/{n}", True) for n in range(20)]  # good alone, bad together
+    rows += [(f"http://x/{t}/{n}", False) for t in ("lucky", "draw") for n in range(200)]
+    mined = [r["antecedent"] for r in urlrules.mine_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()]
+    assert ["draw", "lucky"] in mined and all([f"w{k}"] in mined for k in range(30))
+
+
 def test_shards_round_trip_and_commits(spark, tmp_path):
     docs = awkward(spark)
     store = compaction.compact_arrivals(docs, f"file://{tmp_path}/a", params=compaction.TierParams(target_bytes=1 << 20, smallest_bytes=1 << 10, fanout=2))
