@@ -47,7 +47,6 @@ _BLANK = re.compile(r"[ \t\n\r\f]+")
 #: A column is padded to its widest cell, but no wider than this; longer cells stay whole.
 WIDEST = 60
 
-
 @dataclass
 class Node:
     tag: str
@@ -55,6 +54,10 @@ class Node:
     children: list = field(default_factory=list)  # nodes and texts
 
 
+#: Ends a row that cells opened within a row group.
+_END = Node("")
+
+
 def parse(source: str) -> Node:
     """The element tree of a page, however broken: missing end tags are implied, stray ones skipped."""
     root = Node("html")
@@ -159,29 +162,49 @@ class _Out:
             self.gap = False
 
 
-def _rows(table: Node) -> Iterator[Node]:
-    stack = [table]
+def _parts(table: Node) -> Iterator[Node | str]:
+    """What a table shows, in order: rows, and whatever else lies in it or its row groups; cells outside a row open one."""
+    implied, stack = None, list(reversed(table.children))
     while stack:
         node = stack.pop()
-        if not isinstance(node, Node) or not visible(node):
+        if isinstance(node, str):
+            if node.strip():
+                if implied:
+                    yield implied
+                    implied = None
+                yield node
             continue
-        if node.tag == "tr":
-            yield node
-        elif node is table or node.tag in ("thead", "tbody", "tfoot"):
+        if not visible(node) or node.tag in ("colgroup", "col"):
+            continue
+        if node.tag in ("td", "th"):
+            implied = implied or Node("tr")
+            implied.children.append(node)
+            continue
+        if implied:
+            yield implied
+            implied = None
+        if node.tag in ("thead", "tbody", "tfoot"):
+            stack += [_END, *reversed(node.children)]
+        elif node.tag == "form":  # browsers take a form among rows as empty; its rows are the table's
             stack += reversed(node.children)
+        elif node is not _END:
+            yield node
+    if implied:
+        yield implied
 
 
 def _table(table: Node) -> list[str]:
-    """A table's captions, then its rows; cells are padded to their column's width."""
+    """A table's captions and whatever else is outside its rows, then the rows; cells are padded to their column's width."""
     rows, lines = [], []
-    for child in table.children:
-        if isinstance(child, Node) and visible(child) and child.tag not in ("thead", "tbody", "tfoot", "tr", "colgroup", "col"):
-            lines += _render(child)
-        elif isinstance(child, str) and child.strip():
-            lines.append(_BLANK.sub(" ", child).strip())
-    for row in _rows(table):
+    for part in _parts(table):
+        if isinstance(part, str):
+            lines.append(_BLANK.sub(" ", part).strip())
+            continue
+        if part.tag != "tr":
+            lines += _render(part)
+            continue
         cells = []
-        for cell in row.children:
+        for cell in part.children:
             if isinstance(cell, Node) and visible(cell):
                 cells.append(_BLANK.sub(" ", " ".join(_render(cell))).strip())
                 span = cell.attributes.get("colspan", "")

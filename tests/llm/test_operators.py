@@ -315,6 +315,21 @@ def test_rendering(source, want):
     assert htmltext.render(source) == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<table><thead><th>Name<th>Age</thead><tbody><td>Ann<td>10<tr><td>Bo<td>7</table>", "Name  Age\nAnn   10\nBo    7"),
+        ("<table><td>a<td>b<tr><td>c</table>", "a  b\nc"),
+        ("<table><tbody><form><tr><td>a<td>b</tr><tr><td>c</tr></form></tbody></table>", "a  b\nc"),
+        ("<table><tbody><form><td>a<td>b</form></table>", "a  b"),
+        ("<table><tbody>text<div>more</div><tr><td>a</table>", "text\nmore\na"),
+        ("<table><tbody hidden><td>x</tbody><tbody><td>y</table>", "y"),
+    ],
+)
+def test_rows_are_implied_and_nothing_in_a_row_group_is_lost(source, want):
+    assert htmltext.render(source) == want
+
+
 def test_deep_pages_and_empty_tables(spark):
     assert htmltext.render("<div>" * 20_000 + "x") == "x"
     df = spark.createDataFrame([(1, None), (1, "<p>a"), (None, "<p>a</p><p>b")], "page_id long, html string")
