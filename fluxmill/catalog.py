@@ -383,6 +383,24 @@ def prior_cov_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(cut("c", 6)).alias("c"))
 
 
+_SECTORS = ("Oil", "Gas", "Coal", "Livestock", "Landfills", "Wastewater", "Wetlands")
+
+
+@query(f"""{cte('place', 'emission')}, f AS (SELECT cell_id, {', '.join(f"coalesce(sum(flux) FILTER (sector = '{s}'), 0) AS s{k}" for k, s in enumerate(_SECTORS))} FROM emission GROUP BY cell_id),
+n AS (SELECT *, sqrt({' + '.join(f's{k} * s{k}' for k in range(len(_SECTORS)))}) AS norm FROM f),
+d AS (SELECT a.elem AS i, b.elem AS j, 2 * 6371.0::DOUBLE * asin(sqrt(least(1, power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) AS km FROM place a, place b),
+c AS (SELECT i, j, exp(-km / 200) * CASE WHEN x.norm > 0 AND y.norm > 0 THEN ({' + '.join(f'x.s{k} * y.s{k}' for k in range(len(_SECTORS)))}) / (x.norm * y.norm) ELSE 0 END AS c FROM d LEFT JOIN n x ON x.cell_id = i LEFT JOIN n y ON y.cell_id = j)
+SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE {r('greatest(0, least(1, c))', 6)} END AS c FROM c""")
+def prior_cov_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    flux = view(spark, d, "emission").filter(F.col("sector").isin(*_SECTORS)).groupBy(F.col("cell_id").alias("elem"), "sector").agg(F.sum("flux").alias("flux"))
+    share = lambda s: F.coalesce(F.sum(F.when(F.col("sector") == s, F.col("share"))), F.lit(0.0))
+    shares = covariance.sector_shares(flux).groupBy("elem").agg(F.array(*map(share, _SECTORS)).alias("shares"))
+    none = F.array(*[F.lit(0.0)] * len(_SECTORS))
+    elements = view(spark, d, "place").join(shares, "elem", "left").withColumn("shares", F.coalesce("shares", none))
+    out = covariance.covariance_pairs(elements, 200.0)
+    return out.select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(cut("c", 6)).alias("c"))
+
+
 @query(f"""{cte('obs_model')}, c AS ({' UNION ALL '.join(f'SELECT {i} AS i, {j} AS j, sum(k{i} * k{j}) AS c FROM obs_model' for i in range(1, 5) for j in range(1, 5))})
 SELECT CAST(a.i AS INT) AS i, CAST(a.j AS INT) AS j, {r('a.c / (sqrt(x.c) * sqrt(y.c))', 6)} AS c FROM c a JOIN c x ON x.i = a.i AND x.j = a.i JOIN c y ON y.i = a.j AND y.j = a.j""")
 def cov_to_corr(spark: SparkSession, d: str) -> DataFrame:

@@ -46,3 +46,13 @@ def test_interval_overlap_reaches_all_pixels(spark, tmp_path):
     spark.sql("SELECT id AS event_id, id AS user_id, TIMESTAMP '2024-01-05' AS ts, 'x' AS event_type, 1.0D AS value FROM range(1990, 2050)").write.parquet(f"{tmp_path}/events.parquet")
     got = catalog.QUERIES["interval_overlap_all"](spark, str(tmp_path)).collect()
     assert sorted((r["elem"], r["pixel_id"]) for r in got) == sorted((k % 20, k) for k in range(1990, 2050))
+
+
+def test_prior_covariance_has_all_pairs_and_sectors(spark, tmp_path):
+    # elements 0 and 39 are over 1000 km apart and share a sector; 0 and 1 are near and share none
+    spark.sql("SELECT id AS s_suppkey FROM VALUES (0L), (1L), (39L), (40L) AS t(id)").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = "(0L, 0L), (1L, 1L), (39L, 0L), (39L, 1L), (0L, 7L)"
+    spark.sql(f"SELECT s AS l_suppkey, p AS l_partkey, DATE '2024-01-01' AS l_shipdate, 1000.0D AS l_extendedprice FROM VALUES {rows} AS t(s, p)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["i"], r["j"]): r["c"] for r in catalog.QUERIES["prior_cov_pairs_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == 16 and all(got[k, k] == 1 for k in (0, 1, 39, 40))
+    assert got[0, 1] == 0 and got[0, 40] == 0 and 0 < got[0, 39] < 0.082 and got[0, 39] == got[39, 0]
