@@ -49,7 +49,7 @@ def _keys(line: Column, n: Column, zones: int) -> Column:
     return F.array(*out)
 
 
-def line_decisions(docs: DataFrame, params: LineParams = DEFAULT, scratch: Scratch | None = None) -> DataFrame:
+def line_decisions(docs: DataFrame, params: LineParams = DEFAULT, scratch: Scratch | None = None, names: bool = False) -> DataFrame:
     """(doc_id, line_no, kept, first_doc, first_line): one row per line of ``docs(doc_id, text)``.
 
     A line is kept unless an earlier one, by doc_id and line number, is equal or
@@ -69,7 +69,8 @@ def line_decisions(docs: DataFrame, params: LineParams = DEFAULT, scratch: Scrat
 
     Null texts have no lines; an empty text has one blank line. Rows with a null
     doc_id come last. Rows that repeat a doc_id count as one document in which
-    equal (doc_id, line_no) lines share one decision. Other columns are not read.
+    equal (doc_id, line_no) lines share one decision. Other columns are not read. With
+    ``names``, the line's 128-bit name stands beside its decision, as k1 and k2.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
@@ -137,14 +138,14 @@ def line_decisions(docs: DataFrame, params: LineParams = DEFAULT, scratch: Scrat
         lines.select("doc_id", "line_no", blank.alias("blank"), k1, k2)
         .join(known, ["k1", "k2"], "left")
         .select(
-            "doc_id", "line_no",
+            "doc_id", "line_no", "k1", "k2",
             F.when(F.col("blank"), True).otherwise(F.coalesce("near", F.lit(False)) == False).alias("fresh"),  # noqa: E712
             F.col("blank"), F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"),
         )
     )
     same_place = F.col("first_doc").eqNullSafe(F.col("doc_id")) & (F.col("first_line") == F.col("line_no"))
     kept = F.col("blank") | (F.col("fresh") & F.coalesce(same_place, F.lit(False)))
-    out = scratch.save(decided.select("doc_id", "line_no", kept.alias("kept"), "first_doc", "first_line"), "decisions")
+    out = scratch.save(decided.select("doc_id", "line_no", *["k1", "k2"] * names, kept.alias("kept"), "first_doc", "first_line"), "decisions")
     scratch.drop("first", "maybe", "texts", "parts", "near")
     return out
 
@@ -152,15 +153,19 @@ def line_decisions(docs: DataFrame, params: LineParams = DEFAULT, scratch: Scrat
 def without_repeated_lines(docs: DataFrame, params: LineParams = DEFAULT) -> DataFrame:
     """``docs`` with the lines that ``line_decisions`` drops cut from text, and n_lines_dropped.
 
-    All rows and columns stay; a text all of whose lines go becomes empty.
+    All rows and columns stay; a text all of whose lines go becomes empty. A line
+    goes by its doc_id, number and text, so rows that share a doc_id or have none
+    keep their other lines.
     """
     drops = (
-        line_decisions(docs, params).filter("not kept").groupBy(F.col("doc_id").alias("_doc"))
-        .agg(F.collect_set(F.col("line_no").cast("int")).alias("_gone"))
+        line_decisions(docs, params, names=True).filter("not kept").groupBy(F.col("doc_id").alias("_doc"))
+        .agg(F.collect_set(F.struct(F.col("line_no").cast("int").alias("at"), "k1", "k2")).alias("_gone"))
     )
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    gone = F.coalesce(F.size("_gone"), F.lit(0))
-    text = F.when(gone > 0, F.array_join(left, "\n")).otherwise(F.col("text"))
+    lines = F.split(F.col("text").cast("string"), "\n")
+    name = lambda line, i: F.struct(i.alias("at"), _name(line).alias("k1"), _name(F.lit(7), line).alias("k2"))
+    left = F.filter(lines, lambda line, i: ~F.array_contains("_gone", name(line, i)))
+    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
+    gone = F.when(F.col("_left").isNotNull(), F.size(lines) - F.size("_left")).otherwise(0)
+    text = F.when(gone > 0, F.array_join("_left", "\n")).otherwise(F.col("text"))
     columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
     return joined.select(*columns, gone.cast("long").alias("n_lines_dropped"))

@@ -148,6 +148,14 @@ def test_lines_match_brute_force(spark):
     assert linedup.line_decisions(empty(spark)).count() == 0
 
 
+def test_rows_without_an_id_keep_their_own_lines(spark):
+    line = "a repeated line of text"
+    rows = [(1, line), (None, "a repeated line of text\nremains here"), (None, "a line that nobody else has"), (7, "its first line"), (7, "stays"), (7, line), (7, None)]
+    got = linedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, rows[0][1], 0), (None, "remains here", 1), (None, rows[2][1], 0), (7, "its first line", 0), (7, "stays", 0), (7, "", 1), (7, None, 0)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_leaks_match_brute_force(spark):
     rng = np.random.default_rng(4)
     vocabulary = [f"v{k}" for k in range(12)]
