@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE = frozenset("textarea title".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist select textarea dialog".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg datalist select annotation annotation-xml".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul caption tr".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table textarea ul caption tr".split()
 )
 #: Blocks that keep a blank line before and after them.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr article section".split())
@@ -109,6 +109,7 @@ def parse(source: str) -> Node:
         if tag in RAW or tag in ESCAPABLE:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
             inner = source[at : end.start() if end else len(source)]
+            inner = re.sub(r"^\r?\n", "", inner) if tag == "textarea" else inner  # a first line end is not shown
             node.children.append(html.unescape(inner) if tag in ESCAPABLE else inner)
             at = end.end() if end else len(source)
         elif tag not in VOID:
@@ -118,7 +119,7 @@ def parse(source: str) -> Node:
 
 def visible(node: Node) -> bool:
     a = node.attributes
-    return node.tag not in UNSEEN and "hidden" not in a and not _INVISIBLE.search(a.get("style", "")) and not (node.tag == "input" and a.get("type") == "hidden")
+    return node.tag not in UNSEEN and "hidden" not in a and not (node.tag == "dialog" and "open" not in a) and not _INVISIBLE.search(a.get("style", "")) and not (node.tag == "input" and a.get("type") == "hidden")
 
 
 class _Out:
@@ -267,7 +268,7 @@ def _render(root: Node) -> list[str]:
                     out.prefix = f"{number}. " if kind == "ol" else "- "
                     lists[-1][1] += 1
                 steps.append(("close", node, pre))
-            inner = pre or node.tag in ("pre", "listing", "plaintext")
+            inner = pre or node.tag in ("pre", "listing", "plaintext", "textarea")
             for child in reversed(node.children):
                 if isinstance(child, str):
                     steps.append(("text", child, inner))
@@ -285,7 +286,8 @@ def render(source: str | None) -> str:
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, text, n_blocks): one row per row of ``pages(page_id, html)``.
 
-    Whole pages are rendered; n_blocks counts the parts between blank lines.
+    Whole pages are rendered, except the text of svg drawings and the chosen
+    option of a select, which browsers show; n_blocks counts the parts between blank lines.
     Null and empty pages, and those without visible text, give an empty text and
     no blocks. Repeated rows are rendered one by one; other columns are not read.
     """

@@ -338,6 +338,18 @@ def test_rows_are_implied_and_nothing_in_a_row_group_is_lost(source, want):
     assert htmltext.render(source) == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b", "a x=2 b"),
+        ("<textarea>\nx\n  &lt;y</textarea>z", "x\n  <y\nz"),
+        ("<dialog>shut</dialog><dialog open>seen</dialog>", "seen"),
+    ],
+)
+def test_formulas_text_areas_and_open_dialogs_are_seen(source, want):
+    assert htmltext.render(source) == want
+
+
 def test_deep_pages_and_empty_tables(spark):
     assert htmltext.render("<div>" * 20_000 + "x") == "x"
     df = spark.createDataFrame([(1, None), (1, "<p>a"), (None, "<p>a</p><p>b")], "page_id long, html string")
