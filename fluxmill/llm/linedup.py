@@ -49,7 +49,7 @@ def _keys(line: Column, n: Column, zones: int) -> Column:
     return F.array(*out)
 
 
-def line_decisions(docs: DataFrame, params: LineParams = DEFAULT, scratch: Scratch | None = None, names: bool = False) -> DataFrame:
+def line_decisions(docs: DataFrame, params: LineParams = DEFAULT, scratch: Scratch | None = None, by_text: bool = False) -> DataFrame:
     """(doc_id, line_no, kept, first_doc, first_line): one row per line of ``docs(doc_id, text)``.
 
     A line is kept unless an earlier one, by doc_id and line number, is equal or
@@ -70,13 +70,14 @@ def line_decisions(docs: DataFrame, params: LineParams = DEFAULT, scratch: Scrat
     Null texts have no lines; an empty text has one blank line. Rows with a null
     doc_id come last. Rows that repeat a doc_id count as one document in which
     equal (doc_id, line_no) lines share one decision. Other columns are not read. With
-    ``names``, the line's 128-bit name stands beside its decision, as k1 and k2.
+    ``by_text``, the hash of a line's whole text stands beside its decision.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
     text = F.col("text").cast("string")
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line", F.length("line").alias("n"))
+    whole = [F.xxhash64(text).alias("text_hash")] * by_text
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *whole, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    lines = lines.select("doc_id", *["text_hash"] * by_text, F.col("line_no").cast("long").alias("line_no"), "line", F.length("line").alias("n"))
     blank = F.trim(F.regexp_replace("line", r"\s", " ")) == ""
     k1, k2 = _name("line").alias("k1"), _name(F.lit(7), "line").alias("k2")
     # an absent doc_id sorts behind all others
@@ -135,17 +136,17 @@ def line_decisions(docs: DataFrame, params: LineParams = DEFAULT, scratch: Scrat
 
     known = first.select("k1", "k2", F.col("at").alias("first")).join(near, ["k1", "k2"], "left")
     decided = (
-        lines.select("doc_id", "line_no", blank.alias("blank"), k1, k2)
+        lines.select("doc_id", "line_no", *["text_hash"] * by_text, blank.alias("blank"), k1, k2)
         .join(known, ["k1", "k2"], "left")
         .select(
-            "doc_id", "line_no", "k1", "k2",
+            "doc_id", "line_no", *["text_hash"] * by_text,
             F.when(F.col("blank"), True).otherwise(F.coalesce("near", F.lit(False)) == False).alias("fresh"),  # noqa: E712
             F.col("blank"), F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"),
         )
     )
     same_place = F.col("first_doc").eqNullSafe(F.col("doc_id")) & (F.col("first_line") == F.col("line_no"))
     kept = F.col("blank") | (F.col("fresh") & F.coalesce(same_place, F.lit(False)))
-    out = scratch.save(decided.select("doc_id", "line_no", *["k1", "k2"] * names, kept.alias("kept"), "first_doc", "first_line"), "decisions")
+    out = scratch.save(decided.select("doc_id", "line_no", *["text_hash"] * by_text, kept.alias("kept"), "first_doc", "first_line"), "decisions")
     scratch.drop("first", "maybe", "texts", "parts", "near")
     return out
 
@@ -153,19 +154,27 @@ def line_decisions(docs: DataFrame, params: LineParams = DEFAULT, scratch: Scrat
 def without_repeated_lines(docs: DataFrame, params: LineParams = DEFAULT) -> DataFrame:
     """``docs`` with the lines that ``line_decisions`` drops cut from text, and n_lines_dropped.
 
-    All rows and columns stay; a text all of whose lines go becomes empty. A line
-    goes by its doc_id, number and text, so rows that share a doc_id or have none
-    keep their other lines.
+    All rows and columns stay; a text all of whose lines go becomes empty. Lines
+    are cut by doc_id and the whole text's hash, so rows that share a doc_id or
+    have none lose their own repeated lines only, and no group is larger than a
+    text. The time to cut is in proportion to a text's lines.
     """
     drops = (
-        line_decisions(docs, params, names=True).filter("not kept").groupBy(F.col("doc_id").alias("_doc"))
-        .agg(F.collect_set(F.struct(F.col("line_no").cast("int").alias("at"), "k1", "k2")).alias("_gone"))
+        line_decisions(docs, params, by_text=True).filter("not kept").groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+        .agg(F.array_sort(F.collect_set(F.col("line_no").cast("int"))).alias("_gone"))
     )
-    lines = F.split(F.col("text").cast("string"), "\n")
-    name = lambda line, i: F.struct(i.alias("at"), _name(line).alias("k1"), _name(F.lit(7), line).alias("k2"))
-    left = F.filter(lines, lambda line, i: ~F.array_contains("_gone", name(line, i)))
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
-    gone = F.when(F.col("_left").isNotNull(), F.size(lines) - F.size("_left")).otherwise(0)
-    text = F.when(gone > 0, F.array_join("_left", "\n")).otherwise(F.col("text"))
-    columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return joined.select(*columns, gone.cast("long").alias("n_lines_dropped"))
+    whole = F.col("text").cast("string")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(whole) == F.col("_hash"))
+
+    def left(lines: Column) -> Column:
+        """The runs of lines between dropped ones, joined."""
+        edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(lines)))
+        run = lambda at, r: F.slice(lines, at[r] + 2, at[r + 1] - at[r] - 1)
+        runs = lambda at: F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda r: run(at, r))
+        return F.array_join(F.flatten(F.transform(F.array(edges), runs)[0]), "\n")
+
+    # an array of one binds its element, so that a text is split once and not for every run
+    cut = F.transform(F.array(F.split(whole, "\n")), left)[0]
+    joined = docs.join(drops, same, "left")
+    columns = [F.when(F.col("_gone").isNotNull(), cut).otherwise(F.col("text")).alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns]
+    return joined.select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_lines_dropped"))
