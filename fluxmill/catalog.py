@@ -183,7 +183,7 @@ def normal_equations(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{cte('obs_model')} SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, value FROM ({_NE})")
 def normal_equations_blocks(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d).select(F.array("k1", "k2", "k3", "k4").alias("k"), "residual", "variance")
-    return inversion.normal_equations_blocks(rows, 4).select("i", "j", cut("value", 3).alias("value"))
+    return inversion.long_form(inversion.normal_equations_blocks(rows, 4)).select("i", "j", cut("value", 3).alias("value"))
 
 
 @query(f"""{cte('obs_model')}, s AS (SELECT sum(k1 * k1 / {_VAR}) + 4 AS a, sum(k1 * k2 / {_VAR}) AS b, sum(k2 * k2 / {_VAR}) + 4 AS c, sum(k1 * (sat - model) / {_VAR}) AS y, sum(k2 * (sat - model) / {_VAR}) AS z FROM obs_model), d AS (SELECT *, a * c - b * b AS det FROM s)
@@ -202,7 +202,7 @@ def gaussian_posterior(spark: SparkSession, d: str) -> DataFrame:
 def lognormal_posterior(spark: SparkSession, d: str) -> DataFrame:
     rows = inversion.checked(_rows(spark, d), "residual", "variance")
     ktk, kty = inversion.collect_normal(inversion.normal_equations(rows, ["k1", "k2", "k3", "k4"], "residual", "variance"), 4)
-    s = inversion.solve_lognormal(ktk, kty + ktk @ np.ones(4), 1, np.array([np.log(2.0)] * 3 + [0.5]), 0.01)
+    s = inversion.solve_lognormal(ktk, kty + ktk @ np.ones(4), inversion.Elements(4), 1, 2.0, 0.01)
     return inversion.posterior_table(spark, s)
 
 

@@ -15,31 +15,39 @@ def box_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
 
 
-def clip_to_box(x: np.ndarray, y: np.ndarray, box: tuple[float, float, float, float]) -> float:
-    """Area that a simple polygon shares with the box (x0, x1, y0, y1): halfplanes one by one, then the shoelace formula."""
-    points = list(zip(x, y, strict=True))
-    for axis, limit, sign in ((0, box[0], 1), (0, box[1], -1), (1, box[2], 1), (1, box[3], -1)):
-        kept, n = [], len(points)
-        for k in range(n):
-            p, q = points[k], points[(k + 1) % n]
-            dp, dq = sign * (p[axis] - limit), sign * (q[axis] - limit)
-            if dp >= 0:
-                kept.append(p)
-            if (dp > 0 > dq) or (dp < 0 < dq):
-                t = dp / (dp - dq)
-                kept.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        points = kept
-        if len(points) < 3:
-            return 0.0
-    px, py = np.array(points).T
-    return float(abs(np.dot(px, np.roll(py, -1)) - np.dot(py, np.roll(px, -1))) / 2)
+def clipped_areas(x: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """Areas that simple polygons, a row of corners each, share with their boxes: halfplanes one by one for all rows at once, then the shoelace formula."""
+    count = np.full(len(x), x.shape[1] if x.ndim == 2 else 0)
+    for axis, limit, sign in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
+        slot = np.arange(x.shape[1])
+        live = slot < count[:, None]
+        after = np.where(slot + 1 < count[:, None], slot + 1, 0)
+        d = sign * ((y if axis else x) - limit[:, None])
+        e, u, v = (np.take_along_axis(z, after, 1) for z in (d, x, y))
+        crosses = live & (((d > 0) & (e < 0)) | ((d < 0) & (e > 0)))
+        t = np.where(crosses, d, 0.0) / np.where(crosses, d - e, 1.0)
+        both = lambda a, b: np.stack([a, b], axis=2).reshape(len(a), 2 * a.shape[1])
+        kept = both(live & (d >= 0), crosses)
+        count = kept.sum(axis=1)
+        order = np.argsort(~kept, axis=1, kind="stable")[:, : max(1, int(count.max(initial=0)))]
+        x, y = (np.take_along_axis(both(a, a + t * (b - a)), order, 1) for a, b in ((x, u), (y, v)))
+    slot = np.arange(x.shape[1])
+    after = np.where(slot + 1 < count[:, None], slot + 1, 0)
+    u, v = np.take_along_axis(x, after, 1), np.take_along_axis(y, after, 1)
+    return np.abs(np.where(slot < count[:, None], x * v - y * u, 0.0).sum(axis=1)) / 2
+
+
+def _corners(column: pd.Series, width: int) -> np.ndarray:
+    """Rows of corners; shorter ones repeat their last corner, which adds no area."""
+    return np.array([np.pad(np.asarray(c, float), (0, width - len(c)), "edge") if len(c) < width else c for c in column], float).reshape(len(column), width)
 
 
 @F.pandas_udf(T.DoubleType())
 def overlap_area(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Area in square degrees of a pixel's corners (lon, lat) within the cell x0, x1, y0, y1."""
-    for lon, lat, x0, x1, y0, y1 in batches:
-        yield pd.Series([clip_to_box(a, b, box) for a, b, *box in zip(lon, lat, x0, x1, y0, y1, strict=True)], dtype=float)
+    for lon, lat, *box in batches:
+        width = int(lon.str.len().max()) if len(lon) else 1
+        yield pd.Series(clipped_areas(_corners(lon, width), _corners(lat, width), *(b.to_numpy(float) for b in box)))
 
 
 @F.pandas_udf(T.BooleanType())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,3 +126,34 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     a, b = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     h = F.sin(a) * F.sin(a) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(b) * F.sin(b)
     return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+
+
+def run_duration(start: date, end: date) -> tuple[int, int, int]:
+    """Years, months and days from start to end; a month that is borrowed from has its own number of days."""
+    months, days = (end.year - start.year) * 12 + end.month - start.month, end.day - start.day
+    if days < 0:
+        months -= 1
+        year, month = divmod(start.year * 12 + start.month - 1 + months, 12)
+        year_after, month_after = divmod(year * 12 + month + 1, 12)
+        days = (date(year_after, month_after + 1, 1) - date(year, month + 1, 1)).days + days
+    return months // 12, months % 12, days
+
+
+def boundary_perturbation(element: Column, last: int, value: float) -> Column:
+    """North, south, east and west: ``value`` at the side that element modulo last + 1 names, else 0."""
+    return F.array(*(F.when(element % (last + 1) == k, float(value)).otherwise(0.0) for k in range(4)))
+
+
+def hydroxyl_factor(north: Column, south: Column, north_factor: float, south_factor: float, tolerance: float = 1e-6) -> Column:
+    """A hemisphere's factor where its mask is one, else one."""
+    on = lambda mask: F.abs(mask - 1.0) <= tolerance
+    return F.when(on(north), float(north_factor)).when(on(south), float(south_factor)).otherwise(1.0)
+
+
+def pad_hour(hour: Column) -> Column:
+    return F.lpad(hour.cast("string"), 2, "0")
+
+
+def as_floats(x) -> list[float]:
+    """One number or many, as a list."""
+    return [float(v) for v in (x if isinstance(x, (list, tuple)) else [x])]

@@ -12,8 +12,8 @@ def daily_means(obs: DataFrame) -> DataFrame:
     return out.withColumn("bias", F.col("model") - F.col("sat"))
 
 
-def spatial_mean(daily: DataFrame, value: str = "bias", radius: int = 2, least: int = 13) -> DataFrame:
-    """Mean over a square of cells; null with fewer than ``least`` values.
+def spatial_mean(daily: DataFrame, value: str = "bias", radius: int = 2, least: int = 13, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Mean over a square of cells; null with fewer than ``least`` values. Cells lie within ``shape``, columns and rows, if given.
 
     Each value is sent to its neighbours, so the aggregate's partial sums do the
     work and nothing is joined.
@@ -21,11 +21,19 @@ def spatial_mean(daily: DataFrame, value: str = "bias", radius: int = 2, least:
     around = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
     spread = daily.filter(F.col(value).isNotNull()).select("day", "i", "j", F.col(value).alias("v")).withColumn("di", around).withColumn("dj", around)
     sums = spread.groupBy("day", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j")).agg(F.avg("v").alias("mean"), F.count("*").alias("n"))
+    if shape:
+        sums = sums.filter(F.col("i").between(0, shape[0] - 1) & F.col("j").between(0, shape[1] - 1))
     return sums.select("day", "i", "j", F.when(F.col("n") >= least, F.col("mean")).alias(value))
 
 
+def complete_days(daily: DataFrame, start, end) -> DataFrame:
+    """A row for each cell and each day of [start, end]; values of days that lack are null."""
+    days = F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day")
+    return daily.select("i", "j").distinct().select("i", "j", days).join(daily, ["i", "j", "day"], "left")
+
+
 def trailing_means(daily: DataFrame, value: str = "bias", short: int = 15, long: int = 30) -> DataFrame:
-    """Mean of the last 15 rows of a cell, else of the last 30; days must be complete."""
+    """Mean of the last 15 rows of a cell, else of the last 30; ``complete_days`` makes rows days."""
     w = Window.partitionBy("i", "j").orderBy("day")
     mean = lambda n: F.avg(value).over(w.rowsBetween(-(n - 1), 0))
     return daily.withColumn("smooth", F.coalesce(mean(short), mean(long)))

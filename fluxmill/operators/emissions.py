@@ -31,9 +31,9 @@ def mean_emissions(emission: DataFrame, start, end) -> DataFrame:
 
 
 def period_means(emission: DataFrame, periods: DataFrame) -> DataFrame:
-    """Mean flux by period, cell and sector; period ends are exclusive."""
-    inside = (F.col("date") >= F.col("start")) & (F.col("date") < F.col("end"))
-    return emission.join(F.broadcast(periods) if periods.isLocal() else periods, inside).groupBy("period", "cell_id", "sector").agg(F.avg("flux").alias("flux"))
+    """Mean flux by period, cell and sector; period ends are exclusive. Periods meet emissions on their days."""
+    days = periods.select("period", F.explode(F.sequence("start", F.date_sub("end", 1))).alias("date"))
+    return emission.join(days, "date").groupBy("period", "cell_id", "sector").agg(F.avg("flux").alias("flux"))
 
 
 def sector_totals(emission: DataFrame, positive: bool = True) -> DataFrame:

@@ -17,11 +17,15 @@ def finite_difference(base: DataFrame, perturbed: DataFrame, steps: DataFrame) -
     return perturbed.join(base.select("obs_id", F.col("model").alias("base")), "obs_id").join(steps, "elem").select("obs_id", "elem", ((F.col("model") - F.col("base")) / F.col("step")).alias("k"))
 
 
-def checked(rows: DataFrame, *columns: str) -> DataFrame:
-    """Fails on missing or non-finite values instead of leaving out what follows them."""
+def checked(rows: DataFrame, *columns: str, arrays: tuple[str, ...] = ()) -> DataFrame:
+    """Fails on missing or non-finite values, also within ``arrays``, instead of leaving out what follows them."""
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     ok = F.lit(True)
     for c in columns:
-        ok &= F.col(c).isNotNull() & ~F.isnan(F.col(c)) & (F.abs(F.col(c)) != float("inf"))
+        ok &= finite(F.col(c))
+    for c in arrays:
+        ok &= F.col(c).isNotNull() & F.forall(c, lambda x: finite(x.cast("double")))
+    columns += arrays
     first = columns[0]
     value = F.when(ok, F.col(first)).otherwise(F.raise_error(F.lit(f"missing or non-finite value in {', '.join(columns)}")).cast("double"))
     return rows.withColumn(first, value)
@@ -47,7 +51,11 @@ def normal_equations(rows: DataFrame, elements: list[str], residual: str, varian
 
 
 def normal_equations_blocks(rows: DataFrame, n: int) -> DataFrame:
-    """As above for ``rows(k array, residual, variance)``: each task sums its own n x (n + 1) block, in Arrow batches; blocks add up by row."""
+    """(i, row): the same sums for ``rows(k array, residual, variance)``, a row of K'dy and K'K for each element.
+
+    Each task sums its own n x (n + 1) block in Arrow batches; blocks add up row
+    by row, in n groups of a row for each task.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n, n + 1))
@@ -60,13 +68,30 @@ def normal_equations_blocks(rows: DataFrame, n: int) -> DataFrame:
             total[:, 0] += weighted.T @ y
         yield pa.record_batch([pa.array(np.arange(1, n + 1), pa.int32()), pa.array(list(total))], names=["i", "row"])
 
+    def total(table: pa.Table) -> pa.Table:
+        found = np.zeros(n + 1)
+        for row in table.column("row").chunks:
+            found += np.asarray(row.flatten(), float).reshape(len(row), n + 1).sum(axis=0)
+        return pa.table({"i": table.column("i").slice(0, 1), "row": pa.array([found], pa.list_(pa.float64()))})
+
     parts = rows.select("k", "residual", "variance").mapInArrow(partial, "i int, row array<double>")
-    return parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("value"))
+    return parts.groupBy("i").applyInArrow(total, "i int, row array<double>")
+
+
+def long_form(blocks: DataFrame) -> DataFrame:
+    """(i, j, value) of the rows of blocks."""
+    return blocks.select("i", F.posexplode("row").alias("j", "value"))
 
 
 def collect_normal(equations: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """K'K and K'dy on the driver: n (n + 1) numbers, whatever the number of observations."""
+    """K'K and K'dy on the driver, from either form: n (n + 1) numbers, whatever the number of observations."""
     a, b = np.zeros((n, n)), np.zeros(n)
+    if "row" in equations.columns:
+        found = equations.toArrow()
+        for i, row in zip(found.column("i").to_pylist(), found.column("row"), strict=True):
+            values = row.values.to_numpy()
+            a[i - 1], b[i - 1] = values[1:], values[0]
+        return a, b
     for r in equations.toLocalIterator():
         if r["j"]:
             a[r["i"] - 1, r["j"] - 1] = r["value"]
@@ -110,9 +135,8 @@ def prior_covariance(e: Elements, prior_err: float | np.ndarray, err_bc: float =
         cov[:m, :m] = full * np.outer(sigma[:m], sigma[:m])
     solve = cov.copy()
     if e.n_oh and e.n > e.n_oh:
-        weight = e.n_oh / (e.n - e.n_oh)
         at = np.flatnonzero(e.is_oh)
-        solve[at, at] = cov[at, at] / weight if weight else cov[at, at]
+        solve[at, at] = cov[at, at] * e.n_oh / (e.n - e.n_oh)
     return cov, solve
 
 
@@ -132,33 +156,44 @@ def solve_gaussian(ktk: np.ndarray, kty: np.ndarray, e: Elements, cov: np.ndarra
     return Solution(np.where(e.is_bc, 0.0, 1.0) + delta, s_post, np.eye(e.n) - s_post @ inverse, float(delta @ inverse @ delta) / e.n)
 
 
-def solve_lognormal(ktk: np.ndarray, kty: np.ndarray, n_normal: int, sigma: np.ndarray, gamma: float, kappa: float = 10.0, tolerance: float = 5e-3, most: int = 500) -> Solution:
-    """Levenberg-Marquardt in the logarithm of all but the last ``n_normal`` elements.
+def solve_lognormal(ktk: np.ndarray, kty: np.ndarray, e: Elements, n_buffer: int, deviation: float | np.ndarray, gamma: float, err_buffer: float = 0.5, err_bc: float = 10.0, err_oh: float = 0.5, kappa: float = 10.0, tolerance: float = 5e-3, most: int = 10_000) -> Solution:
+    """Levenberg-Marquardt in the logarithm of the emission elements; buffer, boundary and hydroxyl ones are normal.
 
     With K' = K diag(x) the linearized products are diag(x) K'K diag(x), so the
     observations are passed over once; only matrices are iterated. ``kty`` is
-    K' (y - background); sigma holds ln of the geometric deviation for lognormal
-    elements.
+    K' (y - background); ``deviation`` is the geometric one of the emissions.
+    Boundary elements start from zero, the others from one. Hydroxyl elements
+    count by their share of the normal ones in the steps, but not in the
+    posterior. Steps end when no emission changes by ``tolerance`` of itself;
+    a state that has not settled after ``most`` steps raises.
     """
-    n = len(kty)
-    log = np.arange(n) < n - n_normal
-    prior = np.where(log, -0.5 * sigma**2, 1.0)  # medians exp(-sigma^2 / 2) give means of one
-    inverse = np.diag(1 / sigma**2)
-    state = prior.copy()
+    n, normal = e.n, n_buffer + 4 * e.bc + e.n_oh
+    log = np.arange(n) < n - normal
+    sigma = np.where(log, np.log(np.broadcast_to(np.asarray(deviation, float), n)), err_buffer)
+    sigma[e.is_bc], sigma[e.is_oh] = err_bc, err_oh
+    held = sigma**2
+    if e.n_oh and normal > e.n_oh:
+        held = np.where(e.is_oh, held * e.n_oh / (normal - e.n_oh), held)
+    # medians exp(-sigma^2 / 2) give means of one
+    prior = np.where(log, -0.5 * sigma**2, np.where(e.is_bc, 0.0, 1.0))
+    inverse, inverse_step = np.diag(1 / sigma**2), np.diag(1 / held)
     value = lambda s: np.where(log, np.exp(np.where(log, s, 0)), s)
+    state, change = prior.copy(), np.inf
     for _ in range(most):
         x = value(state)
         slope = np.where(log, x, 1.0)
         hessian = gamma * slope[:, None] * ktk * slope
-        gradient = gamma * slope * (kty - ktk @ x) - inverse @ (state - prior)
-        step = np.linalg.solve(hessian + (1 + kappa) * inverse, gradient)
-        state = state + step
-        if np.max(np.abs(value(state) - x) / np.maximum(np.abs(x), 1e-12)) < tolerance:
+        gradient = gamma * slope * (kty - ktk @ x) - inverse_step @ (state - prior)
+        state = state + np.linalg.solve(hessian + (1 + kappa) * inverse_step, gradient)
+        change = np.max(np.abs(value(state) - x)[log] / x[log], initial=0.0)
+        if change < tolerance:
             break
+    else:
+        raise RuntimeError(f"the state still changes by {change:g} of itself after {most} steps")
     s_post = np.linalg.inv(hessian + inverse)
     mean = np.where(log, np.exp(state + 0.5 * np.diag(s_post)), state)
     d = (state - prior)[log]
-    return Solution(mean, s_post, np.eye(n) - s_post @ inverse, float(d @ inverse[np.ix_(log, log)] @ d) / max(1, int(log.sum())))
+    return Solution(mean, s_post, np.eye(n) - s_post @ inverse, float(d @ inverse[np.ix_(log, log)] @ d) / n)
 
 
 def hyper_grid(spark, **lists: list[float]) -> DataFrame:
@@ -209,12 +244,12 @@ def gridded_posterior(cells: DataFrame, posterior: DataFrame) -> DataFrame:
     return out.select("cell_id", F.coalesce("xhat", F.lit(1.0)).alias("sf"), "variance", "averaging_kernel")
 
 
-def align_with_reference(target: DataFrame, reference: DataFrame, value: str) -> DataFrame:
-    """Pairs rows of equal place and count (to 6 digits), repeated ones in order."""
+def align_with_reference(target: DataFrame, reference: DataFrame, value: str, shared: tuple[str, ...] = ("lon", "lat", "obs_count")) -> DataFrame:
+    """Pairs rows whose ``shared`` columns are equal to 6 digits, halves to even; repeated ones in order of row_id."""
     from pyspark.sql import Window
 
-    keys = [F.round(c, 6).alias(f"_{c}") for c in ("lon", "lat", "obs_count")]
-    names = ["_lon", "_lat", "_obs_count"]
+    names = [f"_{c}" for c in shared]
+    keys = [F.bround(c, 6).alias(n) for c, n in zip(shared, names, strict=True)]
     numbered = lambda df: df.select("*", *keys).withColumn("_n", F.row_number().over(Window.partitionBy(*names).orderBy("row_id")))
     ref = numbered(reference).select(*names, "_n", F.col(value).alias(f"ref_{value}"))
     return numbered(target).join(ref, [*names, "_n"]).drop(*names, "_n")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Saved
+from .emissions import tg_per_year
+
 
 def make_periods(spark: SparkSession, start: date, end: date, days: int) -> DataFrame:
     """(period, start, end) tumbling windows; ends are exclusive and a partial last window is dropped."""
@@ -40,22 +45,78 @@ def nudge(sf: DataFrame, posterior: DataFrame, cells: DataFrame, fraction: float
     return rows.join(F.broadcast(scale)).select("cell_id", new.alias("sf"))
 
 
-def replay(periods: DataFrame, cells: DataFrame, fraction: float, save=None) -> DataFrame:
+def replay(periods: DataFrame, cells: DataFrame, fraction: float, save: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Factors before each period, from the posterior factors ``periods(period, cell_id, sf)`` of those before it.
 
-    ``save(df, name)`` writes a period's factors and gives them back, so that a
-    long run restarts from the last one.
+    ``save(df, name)`` writes a period's factors and gives them back; by default
+    below the shared folder. Each period's plan thus starts from a table and has
+    one size however many came before, and a lost executor costs a re-read.
     """
+    save = save or Saved(cells.sparkSession, "periods")
     numbers = [r[0] for r in periods.select("period").distinct().orderBy("period").collect()]
     sf = unit_factors(cells)
     out = sf.withColumn("period", F.lit(numbers[0] if numbers else 1))
     for p in numbers[:-1]:
-        sf = nudge(sf, periods.filter(F.col("period") == p).select("cell_id", "sf"), cells, fraction)
-        sf = save(sf, f"period-{p}") if save else sf
+        sf = save(nudge(sf, periods.filter(F.col("period") == p).select("cell_id", "sf"), cells, fraction), f"period-{p}")
         out = out.unionByName(sf.withColumn("period", F.lit(p + 1)))
     return out.select("period", "cell_id", "sf")
 
 
+def run_periods(periods: DataFrame, cells: DataFrame, invert: Callable[[int, DataFrame, DataFrame], DataFrame], fraction: float, archive: str, last: int | None = None) -> DataFrame:
+    """Runs a filter over ``periods(period, start, end)`` and gives every period's (period, cell_id, prior_sf, posterior_sf).
+
+    For each period, the archive's posteriors give the prior factors, ``invert(
+    period, window, prior)`` gives (cell_id, sf), and both are written to
+    ``archive`` as the period's partition. Periods that the archive holds with
+    their marker are not run again, so a stopped run goes on where it was.
+    """
+    spark = cells.sparkSession
+    window = {r["period"]: r for r in periods.orderBy("period").collect()}
+    done = finished_periods(spark, archive, sorted(window))
+    part = lambda p: spark.read.parquet(f"{archive}/period={p}").select("cell_id", "prior_sf", "posterior_sf")
+    prior = unit_factors(cells)
+    for p in sorted(window):
+        if last is not None and p > last:
+            break
+        if p not in done:
+            bounds = periods.filter(F.col("period") == p)
+            posterior = invert(p, bounds, prior).select("cell_id", F.col("sf").alias("posterior_sf"))
+            both = prior.withColumnRenamed("sf", "prior_sf").join(posterior, "cell_id", "left").select("cell_id", "prior_sf", F.coalesce("posterior_sf", F.lit(1.0)).alias("posterior_sf"))
+            both.write.mode("overwrite").option("compression", "zstd").parquet(f"{archive}/period={p}")
+        rows = part(p)
+        prior = nudge(rows.select("cell_id", F.col("prior_sf").alias("sf")), rows.select("cell_id", F.col("posterior_sf").alias("sf")), cells, fraction)
+    found = [p for p in sorted(window) if last is None or p <= last]
+    parts = [part(p).withColumn("period", F.lit(p)) for p in found]
+    return reduce(DataFrame.unionByName, parts) if parts else unit_factors(cells).select(F.lit(None).cast("int").alias("period"), "cell_id", F.col("sf").alias("prior_sf"), F.col("sf").alias("posterior_sf")).limit(0)
+
+
+def finished_periods(spark: SparkSession, archive: str, periods: list[int]) -> set[int]:
+    """Periods whose partition was written to its end, up to the first that was not."""
+    done = set()
+    for p in periods:
+        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{archive}/period={p}/_SUCCESS")
+        if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+            break
+        done.add(p)
+    return done
+
+
+def resume_period(spark: SparkSession, archive: str, periods: list[int], advance: bool, first: int = 1) -> int:
+    """The period to start from: the one after the last finished one if ``advance``, else ``first``."""
+    done = finished_periods(spark, archive, periods) if advance else set()
+    return max(done) + 1 if done else first
+
+
+def period_totals(archive: DataFrame, cells: DataFrame, sensitivities: DataFrame | None = None) -> DataFrame:
+    """(period, prior, posterior, smooth[, dofs]) in Tg a year over the region; smooth is the centred mean of four posteriors."""
+    rows = archive.join(cells.filter("roi"), "cell_id")
+    total = lambda c: F.sum(tg_per_year(F.col(c) * F.col("flux"), F.col("area_m2")))
+    out = rows.withColumn("scaled", F.col("prior_sf") * F.col("posterior_sf")).groupBy("period").agg(total("prior_sf").alias("prior"), total("scaled").alias("posterior"))
+    if sensitivities is not None:
+        out = out.join(sensitivities.groupBy("period").agg(F.sum("averaging_kernel").alias("dofs")), "period", "left")
+    return centred_mean(out, "period", "posterior")
+
+
 def centred_mean(df: DataFrame, order: str, value: str, width: int = 4) -> DataFrame:
     """Centred moving mean; an even window reaches one row further back."""
     w = Window.orderBy(order).rowsBetween(-(width // 2), (width - 1) // 2)

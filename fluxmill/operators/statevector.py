@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import unit_sphere
+from ..sources.scratch import Saved
 
 #: Fixed value: radius in metres of the sphere of clustering features.
 RADIUS = 6378137.0
@@ -26,11 +27,91 @@ def number_cells(cells: DataFrame, descending: bool = True) -> DataFrame:
     return cells.join(starts, "j").withColumn("label", (F.col("all") + 1 - order if descending else order).cast("long")).drop("before", "all")
 
 
+#: A cell below the threshold, and the latitudes that a global state vector keeps.
+UNUSED, GLOBAL_LATITUDES = -9999.0, (-60.0, 88.0)
+
+
 def threshold_cells(cells: DataFrame, emission: float, land: float) -> DataFrame:
     """Cells with enough emissions or land; others have no label."""
     return cells.withColumn("used", (F.coalesce("flux", F.lit(0.0)) >= emission) | (F.coalesce("land", F.lit(0.0)) >= land))
 
 
+def masked_emissions(cells: DataFrame, threshold: float, whole_globe: bool = False) -> DataFrame:
+    """Emissions below the threshold set to ``UNUSED``; on the whole globe only cells of the kept latitudes stay."""
+    rows = cells.filter(F.col("lat").between(*GLOBAL_LATITUDES)) if whole_globe else cells
+    return rows.withColumn("flux", F.when(F.col("flux") < threshold, UNUSED).otherwise(F.col("flux")))
+
+
+def contained(region: tuple[float, float, float, float], cells: DataFrame) -> None:
+    """Raises unless the region (west, east, south, north) lies within the cells' extent."""
+    e = cells.agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n")).first()
+    if e["w"] is None or region[0] < e["w"] or region[1] > e["e"] or region[2] < e["s"] or region[3] > e["n"]:
+        raise ValueError(f"the region {region} reaches beyond the land cover's {tuple(e)}")
+
+
+def aligned(cells: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
+    """``cells`` with columns of another grid's cells at the same place; places are equal to 4 digits."""
+    key = lambda df: df.withColumns({"_y": F.bround("lat", 4), "_x": F.bround("lon", 4)})
+    return key(cells).join(key(other).select("_y", "_x", *columns), ["_y", "_x"]).drop("_y", "_x")
+
+
+def subset(labels: DataFrame, grid: DataFrame, value: str) -> DataFrame:
+    """``labels`` with the value of ``grid`` at each of their places; a place that the grid lacks raises."""
+    out = labels.join(grid.select("lat", "lon", F.col(value).alias("_v"), F.lit(True).alias("_there")), ["lat", "lon"], "left")
+    known = F.when(F.col("_there"), F.col("_v")).otherwise(F.raise_error(F.lit("the grid lacks a cell of the state vector")).cast("double"))
+    return out.withColumn(value, known).drop("_v", "_there")
+
+
+#: The most cells of one element, by resolution in degrees or cells of a cube's edge.
+LARGEST = {"0.125x0.15625": 128, "0.25x0.3125": 64, "0.5x0.625": 32, "2.0x2.5": 16, "4.0x5.0": 8, "720": 128, "360": 64, "180": 32, "90": 16, "48": 8, "24": 4}
+#: Steps of latitude and longitude.
+STEPS = {name: tuple(map(float, name.split("x"))) for name in LARGEST if "x" in name}
+
+
+def largest_cluster(resolution: str, n_cells: int, wanted: int, largest: int | None = None) -> int:
+    """The most cells of one element; raises if ``wanted`` elements of that size can't hold all cells."""
+    size = largest or LARGEST[resolution]
+    if -(-n_cells // size) > wanted:
+        raise ValueError(f"{wanted} elements of {size} cells can't hold {n_cells} cells: more elements or larger clusters are needed")
+    return size
+
+
+def forced_coordinates(points: DataFrame, n_elements: int) -> DataFrame:
+    """Distinct (lat, lon), the greatest first; all but the last n_elements - 1 are left out where there are more than elements."""
+    distinct = points.select("lat", "lon").distinct()
+    if distinct.count() > n_elements:
+        return distinct.orderBy(F.desc("lat"), F.desc("lon")).limit(n_elements - 1)
+    return distinct
+
+
+def force_native(cells: DataFrame, points: DataFrame, resolution: str, threshold: float | None = None) -> DataFrame:
+    """Sensitivities of cells that hold a point, raised over the threshold (1 by default) so that they stay alone."""
+    dlat, dlon = STEPS[resolution]
+    index = lambda c, step: F.floor(F.col(c) / step + 1e-9).alias(f"_{c}")
+    held = points.select(index("lat", dlat), index("lon", dlon)).distinct().withColumn("_forced", F.lit(True))
+    out = cells.select("*", index("lat", dlat), index("lon", dlon)).join(held, ["_lat", "_lon"], "left")
+    value = 1.0 if threshold is None else threshold
+    return out.withColumn("sensitivity", F.when(F.col("_forced"), value + 0.1).otherwise(F.col("sensitivity"))).drop("_lat", "_lon", "_forced")
+
+
+def split_buffer(cells: DataFrame, n_buffer: int) -> DataFrame:
+    """roi_label and buffer_label of ``cells(label)``: the last ``n_buffer`` labels are the buffer's; 0 where a cell is not of the kind."""
+    edge = cells.agg((F.max("label") - n_buffer).alias("_edge"))
+    inside = F.col("label") <= F.col("_edge")
+    return cells.join(F.broadcast(edge)).withColumns({"roi_label": F.when(inside, F.col("label")).otherwise(0), "buffer_label": F.when(inside, 0).otherwise(F.col("label"))}).drop("_edge")
+
+
+def shift_buffer(cells: DataFrame, by: int) -> DataFrame:
+    """Buffer labels lowered by ``by``; 0 stays."""
+    return cells.withColumn("buffer_label", F.when(F.col("buffer_label") != 0, F.col("buffer_label") - by).otherwise(0))
+
+
+def top_clusters(cells: DataFrame, threshold: float) -> DataFrame:
+    """(label, sensitivity, n_cells) of the clusters whose sensitivities sum to the threshold, the most sensitive first."""
+    out = cells.filter("label >= 1").groupBy("label").agg(F.sum("sensitivity").alias("sensitivity"), F.count("*").alias("n_cells"))
+    return out.filter(F.col("sensitivity") >= threshold).orderBy(F.desc("sensitivity"), "label")
+
+
 def last_roi_element(cells: DataFrame, rings: int, extra: int = 4) -> DataFrame:
     """The largest label within the grid less ``rings + extra`` cells on each side."""
     edge = cells.agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1"))
@@ -40,9 +121,10 @@ def last_roi_element(cells: DataFrame, rings: int, extra: int = 4) -> DataFrame:
 
 
 def cluster(cells: DataFrame, k: int, weights: tuple[float, ...] = (10.0, 10.0, 10.0, 1.0), seed: int = 0) -> DataFrame:
-    """Labels 1..k of k-means over place on the sphere and sensitivity, standardized and weighted."""
+    """Labels 1..k of k-means over place on the sphere and sensitivity, standardized and weighted; null where there is no sensitivity."""
     x, y, z = unit_sphere(F.col("lat"), F.col("lon"), RADIUS)
-    rows = cells.withColumns({"_x": x, "_y": y, "_z": z}).withColumn("_s", F.coalesce("sensitivity", F.lit(0.0)))
+    unknown = cells.filter("sensitivity is null").withColumn("cluster", F.lit(None).cast("int"))
+    rows = cells.filter("sensitivity is not null").withColumns({"_x": x, "_y": y, "_z": z}).withColumn("_s", F.col("sensitivity").cast("double"))
     names = ["_x", "_y", "_z", "_s"]
     rows = VectorAssembler(inputCols=names, outputCol="_raw").transform(rows)
     rows = StandardScaler(inputCol="_raw", outputCol="_std", withMean=True).fit(rows).transform(rows)
@@ -51,7 +133,7 @@ def cluster(cells: DataFrame, k: int, weights: tuple[float, ...] = (10.0, 10.0,
     scaled = F.zip_with(vector_to_array("_std"), F.array(*map(F.lit, weights)), lambda a, w: a * w)
     rows = rows.withColumn("_f", array_to_vector(scaled))
     model = KMeans(k=k, seed=seed, featuresCol="_f", predictionCol="_c").fit(rows)
-    return model.transform(rows).withColumn("cluster", F.col("_c") + 1).drop(*names, "_raw", "_std", "_f", "_c")
+    return model.transform(rows).withColumn("cluster", F.col("_c") + 1).drop(*names, "_raw", "_std", "_f", "_c").unionByName(unknown)
 
 
 def cluster_buffer(cells: DataFrame, offset: int, divisor: int = 4, clusters: int | None = None, seed: int = 0) -> DataFrame:
@@ -67,9 +149,11 @@ def aggregate_clusters(cells: DataFrame, n_elements: int, threshold: float, max_
 
     ``cells(cell_id, lat, lon, sensitivity)``; level by level, the clusters whose
     sensitivities sum to the threshold are kept, and what is left at the end
-    fills the remaining elements.
+    fills the remaining elements. Cells without a sensitivity are no elements.
     """
-    left, kept, used = cells.withColumn("sensitivity", F.coalesce("sensitivity", F.lit(0.0))), None, 0
+    cells = cells.filter("sensitivity is not null")
+    save = Saved(cells.sparkSession, "clusters")
+    left, kept, used = cells, None, 0
     for level in range(max_level):
         size, n = 2**level, left.count()
         k = n // size
@@ -79,8 +163,9 @@ def aggregate_clusters(cells: DataFrame, n_elements: int, threshold: float, max_
         totals = rows.groupBy("cluster").agg(F.sum("sensitivity").alias("t")).filter(F.col("t") >= threshold)
         best = totals.orderBy(F.desc("t"), "cluster").limit(n_elements - 1 - used)
         numbered = best.withColumn("label", F.row_number().over(Window.orderBy(F.desc("t"), "cluster")) + used).select("cluster", "label")
-        taken = rows.join(numbered, "cluster").select(*cells.columns, "label").checkpoint()
-        left = left.join(taken.select("cell_id"), "cell_id", "left_anti").checkpoint()
+        taken = rows.join(numbered, "cluster").select(*cells.columns, "label")
+        taken = save(taken, f"taken-{level}")
+        left = save(left.join(taken.select("cell_id"), "cell_id", "left_anti"), f"left-{level}")
         kept = taken if kept is None else kept.unionByName(taken)
         used = kept.agg(F.coalesce(F.max("label"), F.lit(0))).first()[0]
     room, n = n_elements - used, left.count()

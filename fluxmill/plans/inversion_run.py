@@ -17,7 +17,7 @@ def invert(obs: DataFrame, n: int, obs_err: float, lists: dict, elements: inv.El
     spark = obs.sparkSession
     e = elements or inv.Elements(n)
     rows = obs.select("k", (F.col("sat") - F.col("model")).alias("residual"), observation_variance(F.lit(float(obs_err)), F.col("obs_count")).alias("variance"))
-    ktk, kty = inv.collect_normal(inv.normal_equations_blocks(inv.checked(rows, "residual", "variance"), n), n)
+    ktk, kty = inv.collect_normal(inv.normal_equations_blocks(inv.checked(rows, "residual", "variance", arrays=("k",)), n), n)
     found = inv.ensemble(ktk, kty, e, lists)
     members = spark.createDataFrame([(m["member"], m["solution"].ja, float(m["solution"].a.trace())) for m in found], "member int, ja double, dofs double")
     good = {r["member"] for r in inv.qualified(members).select("member").collect()}

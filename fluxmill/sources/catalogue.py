@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the format of satellite product names.
@@ -29,11 +29,29 @@ def missing_days(have: DataFrame, start, end) -> DataFrame:
     return days.join(have.select("day").distinct(), "day", "left_anti")
 
 
+def within_dates(files: DataFrame, name: Column, pattern: str, start, end, exclusive: bool = True) -> DataFrame:
+    """Rows whose name holds a date (the pattern's first group) in the window; names without one go."""
+    day = F.to_date(F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")), "yyyyMMdd")
+    last = day < F.lit(end).cast("date") if exclusive else day <= F.lit(end).cast("date")
+    return files.filter((day >= F.lit(start).cast("date")) & last)
+
+
 def by_file_date(df: DataFrame, pattern: str, start, end, exclusive: bool = True) -> DataFrame:
     """Rows of files whose name holds a date in the window."""
-    day = F.to_date(F.regexp_extract(F.col("_metadata.file_name"), pattern, 1), "yyyyMMdd")
-    last = day < F.lit(end).cast("date") if exclusive else day <= F.lit(end).cast("date")
-    return df.filter((day >= F.lit(start).cast("date")) & last)
+    return within_dates(df, F.col("_metadata.file_name"), pattern, start, end, exclusive)
+
+
+def orbit_counts(files: DataFrame) -> DataFrame:
+    """(orbits, files, one_each): whether each file of a folder is the only one of its orbit; a name without an orbit raises."""
+    orbit = F.regexp_extract("name", r"_(\d{5})_", 1)
+    known = F.when(orbit != "", orbit).otherwise(F.raise_error(F.concat(F.lit("no orbit in "), F.col("name"))).cast("string"))
+    counts = files.select(known.alias("o")).agg(F.count_distinct("o").alias("orbits"), F.count("*").alias("files"))
+    return counts.withColumn("one_each", F.col("orbits") == F.col("files"))
+
+
+def by_prefix(files: DataFrame, days: list[str]) -> DataFrame:
+    """Files whose name begins with one of the days' prefixes; a month without any raises nothing and gives no rows."""
+    return files.filter(F.left(F.col("name"), F.lit(len(days[0]))).isin(days)) if days else files.limit(0)
 
 
 def log_paths(lines: DataFrame) -> DataFrame:

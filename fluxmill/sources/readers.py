@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import lookup, null_if_nan, MIXING_RATIO
 from ..operators.quality import surface_flags
+from .sinks import write_geojson
 
 SATELLITE = """orbit int, scanline int, ground_pixel int, time timestamp, lat float, lon float, value double, qa float,
   lat_bounds array<float>, lon_bounds array<float>, surface_pressure float, pressure_interval float, dry_air array<float>,
@@ -35,7 +36,26 @@ def read_model(spark: SparkSession, path: str, species: str, start=None, end=Non
     if start is not None:
         df = df.filter((F.col("hour") >= F.lit(start).cast("timestamp")) & (F.col("hour") < F.lit(end).cast("timestamp")))
     df = df.filter(F.col("run_id").isin(runs)) if runs else df
-    return df.withColumn("conc", F.transform("conc", lambda x: x * lookup(MIXING_RATIO, species)))
+    unit = lookup(MIXING_RATIO, species)
+    return df.withColumns({"conc": F.transform("conc", lambda x: x * unit), "hour_key": F.date_format("hour", "yyyyMMdd_HH")})
+
+
+def grid_axes(model: DataFrame) -> DataFrame:
+    """(axis, low, high, step, n) of the model's cells (lat, lon): their bounds are half a step beyond low and high."""
+    axis = lambda c: F.struct(F.lit(c).alias("axis"), F.min(c).alias("low"), F.max(c).alias("high"), F.count_distinct(c).alias("n"))
+    rows = model.agg(axis("lat").alias("lat"), axis("lon").alias("lon")).select(F.explode(F.array("lat", "lon")).alias("a")).select("a.*")
+    return rows.withColumn("step", F.try_divide(F.col("high") - F.col("low"), F.col("n") - 1))
+
+
+def cropped(field: DataFrame, west: float, east: float, south: float, north: float) -> DataFrame:
+    """Cells whose centre lies in the box; the filter reaches the scan."""
+    return field.filter(F.col("lon").between(west, east) & F.col("lat").between(south, north))
+
+
+def station_pairs(observed: DataFrame, modelled: DataFrame, factor: float = 1e9) -> DataFrame:
+    """Observations with what the model gives at them, both in the species' unit, matched by their id and not by position."""
+    model = modelled.select("obspack_id", (F.col("gc") * factor).alias("gc"))
+    return observed.withColumn("op", F.col("op") * factor).join(model, "obspack_id")
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
@@ -47,8 +67,12 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """One row per point feature: lon, lat and the properties."""
-    found = spark.read.option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    """One row per point feature: lon, lat and the properties; a file is a collection, or has a feature a line."""
+    found = spark.read.json(path)
+    if "geometry" in found.columns:
+        found = found.select(F.struct("geometry", "properties").alias("f"))
+    else:
+        found = spark.read.option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     place = F.col("f.geometry.coordinates")
     return found.select(place[0].cast("double").alias("lon"), place[1].cast("double").alias("lat"), "f.properties.*")
 
@@ -79,6 +103,28 @@ def _tonnes_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.filter("time is not null").select(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), (F.col("rate").cast("double") * 1000).alias("emission_rate"), (error.cast("double") * 1000).alias("emission_rate_std"), F.to_timestamp("time").alias("time"), F.lit("satellite").alias("instrument"))
 
 
+@plume_source("paged_json")
+def _paged_json(spark: SparkSession, path: str) -> DataFrame:
+    """Saved result pages of a plume service, a page a line: first-light scenes go, and the automatic estimates are the rates."""
+    item = spark.read.schema("items array<struct<plume_id:string,geometry_json:struct<coordinates:array<double>>,emission_auto:double,emission_uncertainty_auto:double,scene_timestamp:timestamp,instrument:string,first_light:boolean>>").json(path).select(F.explode("items").alias("p")).select("p.*")
+    place = F.col("geometry_json.coordinates")
+    rows = item.filter(~F.coalesce("first_light", F.lit(False)))
+    return rows.select(F.col("plume_id").alias("id"), place[0].alias("lon"), place[1].alias("lat"), F.col("emission_auto").alias("emission_rate"), F.col("emission_uncertainty_auto").alias("emission_rate_std"), F.col("scene_timestamp").alias("time"), "instrument")
+
+
 @plume_source("geojson")
 def _geojson(spark: SparkSession, path: str) -> DataFrame:
     return read_geojson(spark, path)
+
+
+def cached(spark: SparkSession, path: str, fetch: Callable[[], DataFrame]) -> DataFrame:
+    """Points from the GeoJSON at ``path`` if it was written to its end, else from ``fetch``, which are then written there."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        write_geojson(fetch(), path)
+    return read_geojson(spark, path)
+
+
+def point_coordinates(given: DataFrame, plumes: DataFrame) -> DataFrame:
+    """Distinct (lat, lon) of the user's points and of plumes."""
+    return given.select("lat", "lon").unionByName(plumes.select("lat", "lon")).distinct()

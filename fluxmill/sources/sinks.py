@@ -33,3 +33,29 @@ def replace_hour_zero(hours: DataFrame, previous: DataFrame, keys: list[str]) ->
 def low_background(field: DataFrame, factor: float, value: str = "conc") -> DataFrame:
     """One part of the species' unit everywhere."""
     return field.withColumn(value, F.lit(1.0 / factor))
+
+
+def first_time_only(field: DataFrame, time: str) -> DataFrame:
+    """Values of the first time; other rows keep their keys and lose the time, as a mask would leave them."""
+    first = field.agg(F.min(time).alias("_t"))
+    return field.join(F.broadcast(first)).withColumn(time, F.when(F.col(time) == F.col("_t"), F.col(time))).drop("_t")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Text lines, in one small file: reports and perturbation lists."""
+    lines.select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def perturbation_lines(factors: DataFrame, template: str) -> DataFrame:
+    """A run's perturbation lines: ``template`` with {elem} and {factor} filled from ``factors(elem, factor)``."""
+    parts = template.replace("{elem}", "\0e\0").replace("{factor}", "\0f\0").split("\0")
+    fill = {"e": F.col("elem").cast("string"), "f": F.col("factor").cast("string")}
+    return factors.orderBy("elem").select(F.concat(*(fill.get(p, F.lit(p)) for p in parts)).alias("value"))
+
+
+def write_geojson(points: DataFrame, path: str) -> None:
+    """A feature collection of points (lon, lat) with all other columns as properties, one feature a line of JSON."""
+    others = [F.col(f"`{c}`") for c in points.columns if c not in ("lon", "lat")]
+    place = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), place.alias("geometry"), F.struct(*others).alias("properties"))
+    points.select(feature.alias("f")).select("f.*").write.mode("overwrite").json(path)

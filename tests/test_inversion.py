@@ -34,7 +34,7 @@ def test_lognormal_agrees_with_a_direct_iteration():
     rng = np.random.default_rng(1)
     k = rng.uniform(0.1, 1, (60, 3))
     y = k @ np.array([1.5, 0.6, 1.1])
-    s = inv.solve_lognormal(k.T @ k / 0.01, k.T @ y / 0.01, 1, np.array([0.7, 0.7, 0.5]), 1.0, tolerance=1e-9)
+    s = inv.solve_lognormal(k.T @ k / 0.01, k.T @ y / 0.01, inv.Elements(3), 1, np.exp(0.7), 1.0, tolerance=1e-9)
     assert s.xhat == pytest.approx([1.5, 0.6, 1.1], abs=0.05)
 
 
@@ -55,3 +55,70 @@ def test_alignment_pairs_repeated_keys_in_order(spark):
     t = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 5.0), (2, 0.0, 0.0, 1.0, 6.0), (3, 1.0, 0.0, 1.0, 7.0)], "row_id int, lon double, lat double, obs_count double, v double")
     got = {r["row_id"]: r["ref_v"] for r in inv.align_with_reference(t, t.filter("row_id < 3").withColumn("v", F.col("v") * 10), "v").collect()}
     assert got == {1: 50.0, 2: 60.0}
+
+
+def test_hydroxyl_elements_count_by_their_share():
+    for regional, n_oh in ((True, 1), (False, 2)):
+        e = inv.Elements(9, bc=True, oh=True, regional=regional)
+        cov, solve = inv.prior_covariance(e, 0.5, 10.0, 0.1)
+        want = [0.25] * (5 - n_oh) + [100.0] * 4 + [0.01] * n_oh
+        assert np.diag(cov) == pytest.approx(want)
+        assert np.diag(solve) == pytest.approx(want[:-n_oh] + [0.01 * n_oh / (9 - n_oh)] * n_oh)
+
+
+def direct_lognormal(k, y, variance, buffers, bc, n_oh, gsd, gamma, err_buffer, err_bc, err_oh, kappa=10.0):
+    """The iteration over all observations, in the textbook's terms: prior medians scale the Jacobian and start at one."""
+    n = k.shape[1]
+    normal = buffers + 4 * bc + n_oh
+    m = n - normal
+    scale = np.exp(-np.log(gsd) ** 2 / 2)
+    kr, kn = k[:, :m] * scale, k[:, m:]
+    xa = np.concatenate([np.zeros(m), np.ones(buffers), np.zeros(4 * bc), np.ones(n_oh)])
+    var = np.concatenate([np.full(m, np.log(gsd) ** 2), np.full(buffers, err_buffer**2), np.full(4 * bc, err_bc**2), np.full(n_oh, err_oh**2)])
+    held = var.copy()
+    if n_oh:
+        held[-n_oh:] *= n_oh / (normal - n_oh)
+    state = xa.copy()
+    change = 1.0
+    while change >= 5e-3:
+        x = np.concatenate([np.exp(state[:m]), state[m:]])
+        kp = np.concatenate([kr * x[:m], kn], axis=1)
+        left = gamma * kp.T @ (kp / variance[:, None]) + (1 + kappa) * np.diag(1 / held)
+        right = gamma * kp.T @ ((y - np.concatenate([kr, kn], axis=1) @ x) / variance) - (state - xa) / held
+        fresh = state + np.linalg.solve(left, right)
+        change = np.max(np.abs(np.exp(fresh[:m]) - np.exp(state[:m])) / np.exp(state[:m]))
+        state = fresh
+    s = np.linalg.inv(gamma * kp.T @ (kp / variance[:, None]) + np.diag(1 / var))
+    mean = np.concatenate([np.exp(state[:m] + np.diag(s)[:m] / 2) * scale, state[m:]])
+    return mean, s, np.sum((state[:m] - xa[:m]) ** 2 / var[:m]) / n
+
+
+@pytest.mark.parametrize(("bc", "n_oh"), [(False, 0), (True, 1), (True, 2), (False, 1)])
+def test_lognormal_with_buffer_boundary_and_hydroxyl(bc, n_oh):
+    rng = np.random.default_rng(2)
+    n = 3 + 2 + 4 * bc + n_oh
+    k, variance = rng.uniform(0.1, 1, (200, n)), rng.uniform(1, 2, 200)
+    y = k @ np.concatenate([[1.5, 0.6, 1.1], np.full(n - 3, 0.9)])
+    e = inv.Elements(n, bc=bc, oh=n_oh > 0, regional=n_oh < 2)
+    s = inv.solve_lognormal(k.T @ (k / variance[:, None]), k.T @ (y / variance), e, 2, 2.0, 0.5, 0.5, 1.0, 0.3)
+    mean, post, ja = direct_lognormal(k, y, variance, 2, bc, n_oh, 2.0, 0.5, 0.5, 1.0, 0.3)
+    assert s.xhat == pytest.approx(mean) and s.s_post == pytest.approx(post) and s.ja == pytest.approx(ja)
+
+
+def test_an_unsettled_state_raises():
+    with pytest.raises(RuntimeError, match="still changes"):
+        inv.solve_lognormal(np.eye(2) * 9, np.array([50.0, 1.0]), inv.Elements(2), 0, 3.0, 1.0, most=1)
+
+
+def test_missing_sensitivities_stop_the_run(spark):
+    obs = spark.createDataFrame([(1.0, 0.0, 1.0, [1.0, float("nan")])], "sat double, model double, obs_count double, k array<double>")
+    with pytest.raises(Exception, match="missing or non-finite"):
+        invert(obs, 2, 1.0, {"prior_err": [0.5]})
+
+
+def test_blocks_add_up_over_many_tasks(spark):
+    rng = np.random.default_rng(5)
+    k, y = rng.normal(size=(500, 6)), rng.normal(size=500)
+    rows = spark.createDataFrame([(row.tolist(), float(v), 2.0) for row, v in zip(k, y, strict=True)], "k array<double>, residual double, variance double").repartition(7)
+    ktk, kty = inv.collect_normal(inv.normal_equations_blocks(rows, 6), 6)
+    assert ktk == pytest.approx(k.T @ k / 2) and kty == pytest.approx(k.T @ y / 2)

@@ -4,16 +4,21 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluxmill.functions.geo import clip_to_box, point_in_polygon
+import numpy as np
+from fluxmill.functions.geo import clipped_areas, point_in_polygon
 from fluxmill.operators import boundary, emissions, kalman, plumes, quality, statevector, superobs
 from fluxmill.plans import config
 from fluxmill.sources import catalogue
 
 
-def test_clip_to_box():
-    assert clip_to_box([0, 2, 2, 0], [0, 0, 2, 2], (1, 3, 1, 3)) == pytest.approx(1.0)
-    assert clip_to_box([0, 1, 0], [0, 0, 1], (0, 1, 0, 1)) == pytest.approx(0.5)
-    assert clip_to_box([0, 1, 1, 0], [0, 0, 1, 1], (2, 3, 2, 3)) == 0.0
+def clip(x, y, box):
+    return clipped_areas(np.array([x], float), np.array([y], float), *(np.array([v], float) for v in box))[0]
+
+
+def test_clip():
+    assert clip([0, 2, 2, 0], [0, 0, 2, 2], (1, 3, 1, 3)) == pytest.approx(1.0)
+    assert clip([0, 1, 0], [0, 0, 1], (0, 1, 0, 1)) == pytest.approx(0.5)
+    assert clip([0, 1, 1, 0], [0, 0, 1, 1], (2, 3, 2, 3)) == 0.0
 
 
 def test_superobservations_share_a_pixel_by_area(spark):
