@@ -11,11 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .texts import bounded_batches, pieces
+
 #: The HTML standard's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE = frozenset("textarea title".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg datalist select annotation annotation-xml".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist annotation annotation-xml desc defs metadata symbol".split())
+#: Elements of a drawing whose own text is not shown.
+DRAWN = frozenset("svg g switch".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table textarea ul caption tr".split()
 )
@@ -46,6 +50,8 @@ _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hi
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 #: A column is padded to its widest cell, but no wider than this; longer cells stay whole.
 WIDEST = 60
+#: Levels of lists and quotes that indent a line; text of deeper ones stands at the last of them.
+DEEPEST = 40
 
 @dataclass
 class Node:
@@ -59,24 +65,28 @@ _END = Node("")
 
 
 def parse(source: str) -> Node:
-    """The element tree of a page, however broken: missing end tags are implied, stray ones skipped."""
+    """The element tree of a page, however broken: missing end tags are implied, stray ones skipped.
+
+    The places of open elements are kept by tag, so that no end tag, implied or
+    not, has to look through all that are open.
+    """
     root = Node("html")
     stack, at = [root], 0
+    places: dict[str, list[int]] = {}
 
     def text(s: str) -> None:
         if s:
             stack[-1].children.append(html.unescape(s))
 
     def close_to(index: int) -> None:
+        for node in stack[index:]:
+            places[node.tag].pop()
         del stack[index:]
 
     def last_open(tags: frozenset, fence: frozenset) -> int | None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                return k
-            if stack[k].tag in fence:
-                return None
-        return None
+        innermost = lambda names: max((places[t][-1] for t in names if places.get(t)), default=0)
+        k = innermost(tags)
+        return k if k and k >= innermost(fence) else None
 
     while at < len(source):
         found = _TOKEN.search(source, at)
@@ -93,7 +103,7 @@ def parse(source: str) -> Node:
             if k is not None:
                 close_to(k)
             continue
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag == "html" or tag == "body" and places.get("body"):
             continue
         if tag in CLOSES_P and (k := last_open(frozenset(["p"]), SCOPE)) is not None:
             close_to(k)
@@ -113,7 +123,9 @@ def parse(source: str) -> Node:
             node.children.append(html.unescape(inner) if tag in ESCAPABLE else inner)
             at = end.end() if end else len(source)
         elif tag not in VOID:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
+            at += tag in ("pre", "listing") and source.startswith("\n", at)  # a first line end is not shown
     return root
 
 
@@ -131,7 +143,11 @@ class _Out:
         self.gap = False
         self.space = False
         self.prefix = ""
-        self.indent = ""
+        self.depth = 0
+
+    @property
+    def indent(self) -> str:
+        return "  " * min(self.depth, DEEPEST)
 
     def inline(self, s: str) -> None:
         parts = _BLANK.split(s)
@@ -144,6 +160,17 @@ class _Out:
                 self.current.append(part)
                 self.space = False
 
+    def exact(self, s: str) -> None:
+        """Text whose white space stays."""
+        first, *rest = s.split("\n")
+        self.current += [first] * bool(first)
+        for line in rest:
+            if self.current:
+                self.end_line()
+            elif self.lines:
+                self.lines.append("")
+            self.current += [line] * bool(line)
+
     def end_line(self, gap: bool = False) -> None:
         if self.current:
             if self.gap and self.lines:
@@ -194,55 +221,93 @@ def _parts(table: Node) -> Iterator[Node | str]:
         yield implied
 
 
+def _cells(row: Node) -> list[Node | str]:
+    return [c for c in row.children if (visible(c) if isinstance(c, Node) else c.strip())]
+
+
+def _span(cell: Node | str, name: str, most: int) -> int:
+    n = cell.attributes.get(name, "") if isinstance(cell, Node) else ""
+    return min(int(n), most) if n.isdecimal() and len(n) < 9 else 1
+
+
+def _is_layout(table: Node) -> bool:
+    """Whether no row has two cells, so that there is nothing to align."""
+    return all(isinstance(p, str) or p.tag != "tr" or len(_cells(p)) < 2 for p in _parts(table))
+
+
 def _table(table: Node) -> list[str]:
-    """A table's captions and whatever else is outside its rows, then the rows; cells are padded to their column's width."""
-    rows, lines = [], []
+    """A table's captions and whatever else is outside its rows, then the rows; cells are padded to their column's width.
+
+    A cell that spans rows keeps its columns empty in the rows below. Tables
+    within a cell are part of its text.
+    """
+    rows, lines, below = [], [], {}
     for part in _parts(table):
         if isinstance(part, str):
             lines.append(_BLANK.sub(" ", part).strip())
             continue
         if part.tag != "tr":
-            lines += _render(part)
+            lines += _render(part, flat=True)
             continue
-        cells = []
-        for cell in part.children:
-            if isinstance(cell, Node) and visible(cell):
-                cells.append(_BLANK.sub(" ", " ".join(_render(cell))).strip())
-                span = cell.attributes.get("colspan", "")
-                cells += [""] * (min(int(span), 100) - 1 if span.isdecimal() else 0)
-            elif isinstance(cell, str) and cell.strip():
-                cells.append(_BLANK.sub(" ", cell).strip())
+        cells: list[str] = []
+
+        def skip_held() -> None:
+            while below.get(len(cells), 0) > 0:
+                below[len(cells)] -= 1
+                cells.append("")
+
+        for cell in _cells(part):
+            skip_held()
+            text = cell if isinstance(cell, str) else " ".join(_render(cell, flat=True))
+            down = _span(cell, "rowspan", 65_534) or 65_534  # 0 reaches to the end
+            for k in range(max(1, _span(cell, "colspan", 100))):
+                if down > 1:
+                    below[len(cells)] = down - 1
+                cells.append("" if k else _BLANK.sub(" ", text).strip())
+        skip_held()
+        for k in [k for k, n in below.items() if k > len(cells) and n > 0]:
+            below[k] -= 1
         if any(cells):
             rows.append(cells)
     widths = [min(WIDEST, max(len(r[k]) for r in rows if k < len(r))) for k in range(max(map(len, rows), default=0))]
     return lines + ["  ".join(c.ljust(w) for c, w in zip(r, widths, strict=False)).rstrip() for r in rows]
 
 
-def _render(root: Node) -> list[str]:
+def _options(select: Node) -> list[str]:
+    """The options that a select shows: the chosen ones, or the first; a list of several rows shows all."""
+    found, todo = [], list(reversed(select.children))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, Node) and visible(node):
+            if node.tag == "option":
+                found.append(node)
+            elif node.tag == "optgroup":
+                todo += reversed(node.children)
+    if "multiple" not in select.attributes and _span(select, "size", 99) < 2:
+        found = [o for o in found if "selected" in o.attributes][-1:] or found[:1]
+    return [o.attributes.get("label") or "".join(c for c in o.children if isinstance(c, str)) for o in found]
+
+
+def _render(root: Node, flat: bool = False) -> list[str]:
+    """Lines of a tree; in a ``flat`` one tables are blocks like others."""
     out, lists = _Out(), []
-    # a stack of steps, so that deep pages need no recursion; tables nest through _table
+    # a stack of steps, so that deep pages need no recursion
     steps: list[tuple] = [("open", root, False)]
     while steps:
         what, node, pre = steps.pop()
         if what == "text":
-            if not pre:
+            if pre:
+                out.exact(node)
+            else:
                 out.inline(node)
-                continue
-            first, *rest = node.split("\n")
-            out.current.append(first)
-            for line in rest:
-                if not out.current or not "".join(out.current):
-                    out.current = ["​"]
-                out.end_line()
-                out.current.append(line)
         elif what == "close":
             if node.tag in ("ul", "ol", "menu", "dir"):
                 lists.pop()
                 out.end_line(gap=not lists)
-                out.indent = out.indent[2:]
+                out.depth -= 1
             elif node.tag in ("blockquote", "dd"):
                 out.end_line(gap=node.tag == "blockquote")
-                out.indent = out.indent[2:]
+                out.depth -= 1
             else:
                 out.end_line(gap=node.tag in SPACED)
         elif node.tag == "br":
@@ -250,7 +315,10 @@ def _render(root: Node) -> list[str]:
                 out.end_line()
             else:
                 out.gap = True
-        elif node.tag == "table" and node is not root:
+        elif node.tag == "select":
+            for text in _options(node):
+                out.inline(f" {text} ")
+        elif node.tag == "table" and node is not root and not flat and not _is_layout(node):
             out.end_line(gap=True)
             out.whole(_table(node))
             out.gap = True
@@ -260,9 +328,9 @@ def _render(root: Node) -> list[str]:
                 if node.tag in ("ul", "ol", "menu", "dir"):
                     start = node.attributes.get("start", "")
                     lists.append([node.tag, int(start) if start.isdecimal() and len(start) < 9 else 1])
-                    out.indent += "  "
+                    out.depth += 1
                 elif node.tag in ("blockquote", "dd"):
-                    out.indent += "  "
+                    out.depth += 1
                 elif node.tag == "li" and lists:
                     kind, number = lists[-1]
                     out.prefix = f"{number}. " if kind == "ol" else "- "
@@ -271,11 +339,12 @@ def _render(root: Node) -> list[str]:
             inner = pre or node.tag in ("pre", "listing", "plaintext", "textarea")
             for child in reversed(node.children):
                 if isinstance(child, str):
-                    steps.append(("text", child, inner))
+                    if node.tag not in DRAWN:
+                        steps.append(("text", child, inner))
                 elif visible(child):
                     steps.append(("open", child, inner))
     out.end_line()
-    return [x.replace("​", "").rstrip() for x in out.lines]
+    return [x.rstrip() for x in out.lines]
 
 
 def render(source: str | None) -> str:
@@ -286,19 +355,21 @@ def render(source: str | None) -> str:
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, text, n_blocks): one row per row of ``pages(page_id, html)``.
 
-    Whole pages are rendered, except the text of svg drawings and the chosen
-    option of a select, which browsers show; n_blocks counts the parts between blank lines.
+    Whole pages are rendered, with the text of drawings, the options that a
+    select shows, and text areas; tables of one column, and tables within cells,
+    are blocks of text. The time is in proportion to a page's length, however
+    deep its elements nest. n_blocks counts the parts between blank lines.
     Null and empty pages, and those without visible text, give an empty text and
     no blocks. Repeated rows are rendered one by one; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                cut = batch.slice(at, 256)
+            for cut in pieces(batch, batch.column("html"), rows=256):
                 texts = [render(x) for x in cut.column("html").to_pylist()]
                 blocks = [len([b for b in t.split("\n\n") if b.strip()]) for t in texts]
                 yield pa.record_batch([cut.column("page_id"), pa.array(texts, pa.string()), pa.array(blocks, pa.int64())], names=["page_id", "text", "n_blocks"])
 
+    bounded_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
     return pages.mapInArrow(run, "page_id long, text string, n_blocks long")

@@ -361,3 +361,14 @@ def test_scratch_reads_the_named_folder(spark):
     s = scratch.Scratch(spark, "t")
     assert s.save(spark.range(3), "x").count() == 3
     assert s.root.startswith(scratch.shared_dir(spark))
+
+
+def test_html_is_read_in_linear_time_and_whole():
+    for deep in ("<table><tr><td>" * 10_000, "<table><tr><td>a<td>" * 10_000, "<div>" * 100_000, "<p><table><tr><td>" + "<div>" * 50_000, "<ul><li>a" * 20_000):
+        assert htmltext.render(deep + "x").endswith("x")
+    assert htmltext.render("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>") == "A  B\n   C\nD  E"
+    assert htmltext.render("<table><tr><td colspan=2 rowspan=0>A<td>B<tr><td>C<tr><td>D</table>") == "A    B\n     C\n     D"
+    assert htmltext.render("x​y<pre>\n a\n\n b</pre>") == "x​y\n\n a\n\n b"
+    assert htmltext.render("<select><option>one<option selected>two</select> <select><option>1<option>2</select> <select multiple><option>p<option>q</select>") == "two 1 p q"
+    assert htmltext.render("<svg>no<g>no<text>yes</text></g><title>no</title></svg><dialog>no</dialog><dialog open>d</dialog><textarea>\n a</textarea>") == "yes\nd\n a"
+    assert htmltext.render("<table><tr><td><h1>Title</h1><p>one<p>two</table>") == "Title\n\none\n\ntwo"
