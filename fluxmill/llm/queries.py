@@ -63,7 +63,7 @@ def op6_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = compaction.compact_arrivals(docs, Scratch(spark, "shards").path("documents"))
     version = store.manifest().version
-    rows = store.read(schema=docs.schema)
+    rows = store.read()
     return rows.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_text"), "shard", F.lit(version).alias("version"))
 
 
