@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,12 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .texts import LOWER_ASCII, WORDS_ASCII, binary_column, row_schema, with_row
+from .scratch import Scratch
+from .texts import BATCH_BYTES, LOWER_ASCII, WORDS_ASCII, binary_column, bounded_batches, chunks, pieces, reader, row_schema, with_row
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Bytes of benchmark text that one pass over the documents carries to each executor.
-BLOCK_BYTES = 64 << 20
+#: Bytes of benchmark text that one pass over the documents carries to each worker; its windows take some 10 times as much.
+BLOCK_BYTES = 4 << 20
 #: Words of a shard; one longer document is a shard of its own.
 SHARD_WORDS = 1_000_000
 
@@ -26,35 +27,52 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [] if text is None else text.translate(WORDS_ASCII).split()
 
 
+class Bits:
+    """A bit vector with ranks: 64 bits a word, and the ones before each word in 32 bits."""
+
+    def __init__(self, ones: np.ndarray):
+        packed = np.packbits(ones, bitorder="little")
+        self.words = np.zeros(len(ones) // 64 + 1, "<u8")
+        self.words.view(np.uint8)[: len(packed)] = packed
+        self.before = np.zeros(len(self.words), np.uint32)
+        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:], dtype=np.uint32)
+
+    def rank(self, ends: np.ndarray) -> np.ndarray:
+        """How many ones there are before each end."""
+        at, inside = ends >> 6, (ends & 63).astype(np.uint64)
+        return self.before[at].astype(np.int64) + np.bitwise_count(self.words[at] & ((np.uint64(1) << inside) - np.uint64(1)))
+
+    def get(self, places: np.ndarray) -> np.ndarray:
+        return (self.words[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 class WaveletMatrix:
-    """Ranks of symbols in a sequence, by one bit vector for each bit of the alphabet."""
+    """Ranks of symbols in a sequence, by one bit vector for each bit of the alphabet: 1.5 bits a symbol and level."""
 
     def __init__(self, symbols: np.ndarray, bits: int):
-        self.levels: list[tuple[int, np.ndarray, int]] = []
+        self.levels: list[tuple[int, Bits, int]] = []
         for bit in reversed(range(bits)):
-            ones = (symbols >> bit) & 1
-            before = np.zeros(len(symbols) + 1, np.int64)
-            np.cumsum(ones, out=before[1:])
-            self.levels.append((bit, before, len(symbols) - int(before[-1])))
-            symbols = np.concatenate([symbols[ones == 0], symbols[ones == 1]])
+            ones = (symbols >> bit) & 1 == 1
+            self.levels.append((bit, Bits(ones), len(symbols) - int(ones.sum())))
+            symbols = np.concatenate([symbols[~ones], symbols[ones]])
 
     def rank(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before its end."""
         start, end = np.zeros_like(ends), ends
-        for bit, before, zeros in self.levels:
+        for bit, ones, zeros in self.levels:
             one = (symbols >> bit) & 1 == 1
-            start = np.where(one, zeros + before[start], start - before[start])
-            end = np.where(one, zeros + before[end], end - before[end])
+            a, b = ones.rank(start), ones.rank(end)
+            start, end = np.where(one, zeros + a, start - a), np.where(one, zeros + b, end - b)
         return end - start
 
     def access_rank(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols at rows, and how often each occurs before its row."""
         symbol, start, end = np.zeros_like(rows), np.zeros_like(rows), rows
-        for bit, before, zeros in self.levels:
-            one = before[end + 1] > before[end]
+        for bit, ones, zeros in self.levels:
+            one = ones.get(end)
             symbol |= one.astype(np.int64) << bit
-            start = np.where(one, zeros + before[start], start - before[start])
-            end = np.where(one, zeros + before[end], end - before[end])
+            a, b = ones.rank(start), ones.rank(end)
+            start, end = np.where(one, zeros + a, start - a), np.where(one, zeros + b, end - b)
         return symbol, end - start
 
 
@@ -103,11 +121,10 @@ class FMIndex:
         unique = np.where(ends, np.cumsum(ends) - 1, runs + n_ends)
         order = suffix_array(unique)
         before = np.where(order > 0, runs[order - 1], 0)
-        self.matrix = WaveletMatrix(before.astype(np.int64), max(1, int(n_symbols).bit_length()))
+        self.matrix = WaveletMatrix(before.astype(np.int32), max(1, int(n_symbols).bit_length()))
         self.first = np.concatenate([[0], np.cumsum(np.bincount(runs, minlength=n_symbols + 1))])
         kept = (before == 0) | (order % sample == 0)
-        self.kept_before = np.concatenate([[0], np.cumsum(kept)])
-        self.kept = kept
+        self.kept = Bits(kept)
         self.places = order[kept]
         self.n = n
 
@@ -128,9 +145,9 @@ class FMIndex:
         places, steps = np.empty_like(rows), np.zeros_like(rows)
         live, rows = np.arange(len(rows)), rows.copy()
         while len(live):
-            done = self.kept[rows[live]]
+            done = self.kept.get(rows[live])
             at = live[done]
-            places[at] = self.places[self.kept_before[rows[at]]] + steps[at]
+            places[at] = self.places[self.kept.rank(rows[at])] + steps[at]
             live = live[~done]
             symbol, rank = self.matrix.access_rank(rows[live])
             rows[live] = self.first[symbol] + rank
@@ -149,22 +166,24 @@ class Phrases:
     names: list = field(default_factory=list)
 
     @classmethod
-    def of(cls, rows: list[tuple], window: int) -> Phrases:
-        self, found = cls(), defaultdict(lambda: defaultdict(set))
+    def of(cls, rows: Iterator[tuple], window: int) -> Phrases:
+        """Windows are kept as 32-bit arrays, equal ones once."""
+        self, found = cls(), {}
         for item, text in rows:
             words = words_of(None if text is None else text.encode())
             if not words or item is None:
                 continue
-            ids = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in words]
-            number = len(self.names)
-            self.names.append(item)
+            ids = np.fromiter((self.symbols.setdefault(w, len(self.symbols) + 1) for w in words), np.int32, len(words))
             width = min(window, len(ids))
-            for k in range(len(ids) - width + 1):
-                found[width][tuple(ids[k : k + width])].add(number)
-        for width, phrases in found.items():
-            self.by_length[width] = np.array(list(phrases), np.int64)
-            self.items_at[width] = np.concatenate([[0], np.cumsum([len(x) for x in phrases.values()])])
-            self.items[width] = np.concatenate([np.fromiter(x, np.int64) for x in phrases.values()])
+            found.setdefault(width, []).append((len(self.names), np.lib.stride_tricks.sliding_window_view(ids, width)))
+            self.names.append(item)
+        for width, parts in found.items():
+            windows = np.concatenate([w for _, w in parts])
+            owners = np.repeat(np.array([k for k, _ in parts], np.int32), [len(w) for _, w in parts])
+            self.by_length[width], which = np.unique(windows, axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), owners], axis=1), axis=0)
+            self.items_at[width] = np.searchsorted(pairs[:, 0], np.arange(len(self.by_length[width]) + 1))
+            self.items[width] = pairs[:, 1].astype(np.int32)
         return self
 
 
@@ -184,7 +203,7 @@ def shard_hits(documents: list[np.ndarray], phrases: Phrases) -> tuple[list[np.n
     if not phrases.by_length or not documents:
         return hit, items
     shortest = min(phrases.by_length)
-    flat = np.concatenate([np.append(d, 0) for d in documents])
+    flat = np.concatenate([np.append(d, np.int32(0)) for d in documents])
     inside = np.diff(np.concatenate([[0], (flat > 0).astype(np.int8), [0]]))
     begins, ends = np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
     long_ = ends - begins >= shortest
@@ -224,31 +243,31 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.
 _OUT_SQL = "doc_id long, n_words long, spans array<array<long>>, items array<string>"
 
 
-def _search(phrases: Phrases, shard_words: int, carry: bool):
+def _search(phrases: Phrases, shard_words: int, read, keep: tuple[str, ...]):
+    """Searches shards of documents; columns ``keep`` of a batch that ``read`` gives are handed on."""
     names = [str(x) for x in phrases.names]
     get = phrases.symbols.get
 
-    def flush(ids: list, docs: list[np.ndarray], rows: list[pa.Array]) -> pa.RecordBatch:
+    def flush(ids: list, docs: list[np.ndarray], rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         hit, items = shard_hits(docs, phrases)
         spans = [spans_of(h).tolist() if h.any() else [] for h in hit]
         columns = [pa.array(ids, pa.int64()), pa.array([len(d) for d in docs], pa.int64()), pa.array(spans, _OUT.field(2).type), pa.array([sorted({names[k] for k in x}) for x in items], _OUT.field(3).type)]
-        return pa.record_batch(columns + ([pa.concat_arrays(rows)] if carry else []), names=_OUT.names + ["row"] * carry)
+        return pa.record_batch(columns + [pa.concat_arrays([r.column(c) for r in rows]) for c in keep], names=[*_OUT.names, *keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, docs, rows, held = [], [], [], 0
-        for batch in batches:
-            begin = 0
-            for k, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), binary_column(batch, "text"), strict=True)):
-                words = words_of(text)
-                docs.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
-                ids.append(doc_id)
-                held += len(words) + 1
-                if held >= shard_words or k + 1 == batch.num_rows:
-                    rows += [batch.column("row").slice(begin, k + 1 - begin)] if carry else []
-                    begin = k + 1
-                if held >= shard_words:
-                    yield flush(ids, docs, rows)
-                    ids, docs, rows, held = [], [], [], 0
+        ids, docs, rows, held, size = [], [], [], 0, 0
+        for part in (p for batch in batches for p in pieces(read(batch))):
+            for text in binary_column(part, "text"):
+                found = [np.fromiter((get(w, 0) for w in words), np.int32, len(words)) for words in map(words_of, chunks(text))]
+                docs.append(found[0] if len(found) == 1 else np.concatenate(found))
+                held += len(docs[-1]) + 1
+            ids += part.column("doc_id").to_pylist()
+            rows.append(part)
+            size += part.nbytes if keep else 0
+            # what is handed on is held as long as its shard, so it bounds the shard too
+            if held >= shard_words or size >= 8 * BATCH_BYTES:
+                yield flush(ids, docs, rows)
+                ids, docs, rows, held, size = [], [], [], 0, 0
         if ids:
             yield flush(ids, docs, rows)
 
@@ -270,35 +289,43 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_by
     item_ids with such pieces, as sorted strings. Every task reads its documents
     in shards of about ``shard_words`` words, builds an FM-index for each and
     searches all phrases in it; nothing is shuffled. A benchmark of more than
-    ``block_bytes`` is searched in several passes, whose spans are united, so
-    what a pass carries to the executors is bounded. With ``carry``, ``row``
-    holds all columns of docs, so that nothing need be joined back.
+    ``block_bytes`` is searched in several passes, one after another: each row
+    takes what it has found to the next pass, by way of the shared folder, so
+    rows need no key and what a pass carries to the workers is bounded. With
+    ``carry``, ``row`` holds all columns of docs, so that nothing need be joined
+    back.
 
     Null, empty and wordless texts have no words and no spans. A benchmark item
     of fewer words than ``window`` is one piece; null and wordless ones, and
-    those without item_id, have none. Repeated rows are judged one by one (with
-    several passes rows of one doc_id must have one text). Other columns of
-    either table are not read.
+    those without item_id, have none. Repeated rows, and rows that share a
+    doc_id or have none, are judged one by one. Other columns of either table
+    are not read.
     """
-    schema = row_schema(_OUT_SQL, docs, carry)
-    docs = with_row(docs, carry)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     benchmark = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-    parts = [
-        docs.mapInArrow(_search(Phrases.of([tuple(r) for r in block.toLocalIterator()], window), shard_words, carry), schema)
-        for block in _blocks(benchmark, block_bytes)
-    ]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
-    n = len(parts)
-    return (
-        every.groupBy("doc_id", "n_words", *["row"] * carry)
-        .agg(F.count("*").alias("rows"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        .withColumn("spans", _united(F.array_sort("spans")))
-        .select(F.explode(F.array_repeat("doc_id", (F.col("rows") / n).cast("int"))).alias("doc_id"), "n_words", "spans", "items", *["row"] * carry)
-    )
+    blocks = _blocks(benchmark, block_bytes)
+    phrases = lambda block: Phrases.of((tuple(r) for r in block.toLocalIterator()), window)
+    if len(blocks) == 1:
+        keep = ("row",) * carry
+        return with_row(docs, carry).mapInArrow(_search(phrases(blocks[0]), shard_words, reader(docs, carry), keep), row_schema(_OUT_SQL, docs, carry))
+    scratch = Scratch(spark, "leaks")
+    sent = with_row(docs, carry)
+    row = sent if carry else sent.select(F.struct("doc_id", "text").alias("row"))
+    plain = docs if carry else sent
+    none = F.array().cast("array<array<long>>").alias("all_spans"), F.array().cast("array<string>").alias("all_items")
+    rows = row.select("row", *none)
+    inner = reader(plain, True)
+    read = lambda batch: pa.record_batch([*inner(batch).columns, batch.column("all_spans"), batch.column("all_items")], names=["doc_id", "text", "row", "all_spans", "all_items"])
+    schema = StructType(row_schema(_OUT_SQL, plain, True).fields + [rows.schema["all_spans"], rows.schema["all_items"]])
+    for k, block in enumerate(blocks):
+        found = rows.mapInArrow(_search(phrases(block), shard_words, read, ("row", "all_spans", "all_items")), schema)
+        spans, items = F.concat("all_spans", "spans").alias("all_spans"), F.concat("all_items", "items").alias("all_items")
+        rows = scratch.save(found.select("doc_id", "n_words", "row", spans, items), f"pass-{k}")
+        if k:
+            scratch.drop(f"pass-{k - 1}")
+        last, rows = rows, rows.select("row", "all_spans", "all_items")
+    return last.select("doc_id", "n_words", _united(F.array_sort("all_spans")).alias("spans"), F.array_sort(F.array_distinct("all_items")).alias("items"), *["row"] * carry)
 
 
 def _united(spans):
