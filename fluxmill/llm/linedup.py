@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .texts import free_name
 
 
 @dataclass(frozen=True)
@@ -159,16 +160,17 @@ def without_repeated_lines(docs: DataFrame, params: LineParams = DEFAULT) -> Dat
     have none lose their own repeated lines only, and no group is larger than a
     text. The time to cut is in proportion to a text's lines.
     """
+    doc, hash_, gone = (free_name(docs.columns, x) for x in ("_doc", "_hash", "_gone"))
     drops = (
-        line_decisions(docs, params, by_text=True).filter("not kept").groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
-        .agg(F.array_sort(F.collect_set(F.col("line_no").cast("int"))).alias("_gone"))
+        line_decisions(docs, params, by_text=True).filter("not kept").groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(hash_))
+        .agg(F.array_sort(F.collect_set(F.col("line_no").cast("int"))).alias(gone))
     )
     whole = F.col("text").cast("string")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(whole) == F.col("_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(whole) == F.col(hash_))
 
     def left(lines: Column) -> Column:
         """The runs of lines between dropped ones, joined."""
-        edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(lines)))
+        edges = F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.size(lines)))
         run = lambda at, r: F.slice(lines, at[r] + 2, at[r + 1] - at[r] - 1)
         runs = lambda at: F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda r: run(at, r))
         return F.array_join(F.flatten(F.transform(F.array(edges), runs)[0]), "\n")
@@ -176,5 +178,5 @@ def without_repeated_lines(docs: DataFrame, params: LineParams = DEFAULT) -> Dat
     # an array of one binds its element, so that a text is split once and not for every run
     cut = F.transform(F.array(F.split(whole, "\n")), left)[0]
     joined = docs.join(drops, same, "left")
-    columns = [F.when(F.col("_gone").isNotNull(), cut).otherwise(F.col("text")).alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_lines_dropped"))
+    columns = [F.when(F.col(gone).isNotNull(), cut).otherwise(F.col("text")).alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns]
+    return joined.select(*columns, F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_lines_dropped"))
