@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
-from .texts import LOWER_ASCII, U64, WordHash, binary_column, hashed, mix, slices
+from .texts import LOWER_ASCII, U64, WordHash, binary_column, bounded_batches, hashed, mix, pieces, slices
 
 
 @dataclass(frozen=True)
@@ -43,8 +43,7 @@ _SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 def shingle_sets(texts: list[bytes | None], width: int, cache: WordHash) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; empty for none."""
-    words = [[] if t is None else t.translate(LOWER_ASCII).split() for t in texts]
-    flat, counts = hashed(words, cache)
+    flat, counts = hashed(texts, LOWER_ASCII, cache)
     odd = np.random.default_rng(width).integers(1, 2**63, 2 * width, dtype=np.uint64) | U64(1)
     rolled = np.zeros(max(0, len(flat) - width + 1), U64)
     for k in range(width):
@@ -96,8 +95,7 @@ def _signed(p: MinMaxParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in pieces(batch):
                 sets = shingle_sets(binary_column(part, "text"), p.shingle, cache)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys = signatures([sets[i] for i in full], p) if full else np.empty((0, p.bands), np.int64)
@@ -118,8 +116,7 @@ def _sets(p: MinMaxParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in pieces(batch):
                 sets = shingle_sets(binary_column(part, "text"), p.shingle, cache)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
@@ -129,13 +126,13 @@ def _sets(p: MinMaxParams):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full shingle sets are similar enough."""
+    """Those of ``pairs(a, b)`` whose full shingle sets are similar enough. Always a shuffle: both sides grow with the input."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return (
-        pairs.join(left, "a").join(right, "b")
+        pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
         .filter(small * 100 >= large * percent)
         .filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent)
         .select("a", "b")
@@ -148,8 +145,8 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFram
     Texts with equal shingle sets fall together first, by a 128-bit name of the
     set, so copies are never paired. Then, for each band:
 
-    1. each member of a bucket is paired with the bucket's smallest member and
-       confirmed on the full sets; a large group of near copies collapses here
+    1. each member of a bucket is paired with the bucket's smallest member, if
+       their sizes allow it, and confirmed on the full sets; a large group of near copies collapses here
        with one pair a member and band;
     2. in buckets that still hold several components, the member whose shingles
        are most common there is paired with the members close to it, in the same
@@ -159,29 +156,35 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFram
        c of n common shingles, |x & y| <= min(c) + rare ones shared, and a link
        needs |x & y| >= p / (100 + p) (|x| + |y|)). Both kinds are paired, the
        first by prefixes of the rare shingles, the second within buckets, and
-       confirmed: no link between texts that share a band is lost, and no
-       family of near copies is expanded into all its pairs.
+       confirmed: no link between texts that share a band is lost. Members of
+       a family that are linked are never expanded into all their pairs; those
+       of a bucket that share common shingles enough, yet are linked with
+       nothing, are, as no bound tells them apart before the full sets do.
 
     Null, empty and wordless texts have an empty set and link with nothing.
     Rows with a null doc_id link with nothing and are kept. Rows that share a
     doc_id count as one node. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "minmax")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.save(docs.mapInArrow(_signed(params), "doc_id long, n_shingles long, set_hi long, set_lo long, buckets array<long>"), "signed")
     nodes = signed.filter("n_shingles > 0 and doc_id is not null")
     names = nodes.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node"))
     first = nodes.join(names, ["set_hi", "set_lo"]).filter("doc_id = node")
-    keyed = first.select("node", F.explode("buckets").alias("bucket")).distinct()
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
-    members = scratch.save(keyed.join(shared, "bucket").select("bucket", "node", "head"), "members")
+    keyed = first.select("node", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket")).distinct()
+    # a head whose doc_id has several texts has several sizes
+    low, high = F.min(F.struct("node", "n")).alias("low"), F.max(F.struct((-F.col("node")).alias("minus"), "n")).alias("high")
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("c"), low, high).filter("c > 1").select("bucket", "low", "high")
+    alike = (F.col("n") * 100 >= F.col("low.n") * params.percent) & (F.col("high.n") * 100 >= F.col("n") * params.percent)
+    members = scratch.save(keyed.join(shared, "bucket").select("bucket", "node", F.col("low.node").alias("head"), alike.alias("alike")), "members")
 
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     sets = scratch.save(
         docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(params), "doc_id long, shingles array<long>"), "sets"
     )
-    heads = members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    heads = members.filter("node <> head and alike").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = scratch.save(_confirmed(heads, sets, params.percent), "links")
     reached = scratch.save(connected_components(links, scratch, "near"), "reached")
 
@@ -242,5 +245,5 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFram
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
     out = scratch.save(out, "result")
-    scratch.drop("signed", "members", "sets", "links", "reached", "asked", "common", "measured", "links-2", "reached-2", "pairs", "all-links", "groups")
+    scratch.keep_only("result")
     return out
