@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import LETTERS_ASCII, binary_column, row_schema, with_row
+from .texts import LETTERS_ASCII, binary_column, bounded_batches, pieces, reader, row_schema, with_row
 
 #: Languages by family; any other language is a family of its own.
 FAMILIES = {
@@ -29,9 +29,10 @@ _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """``per_language``: about how many labelled rows of a language the classifiers are fitted on, taken by the hash of doc_id."""
+    """``per_language``: about how many labelled rows of a language the classifiers are fitted on, taken by the hash of doc_id; ``sample`` of all languages."""
 
     per_language: int = 800
+    sample: int = 16_000
     buckets: int = 4096
     rounds: int = 150
     rate: float = 0.05
@@ -147,14 +148,14 @@ def fit_language(docs: DataFrame, params: LanguageParams = DEFAULT) -> LanguageM
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return LanguageModel(params)
-    part = 1 << 30
-    limits = F.create_map(*(F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(part, int(part * params.per_language / n)))))
+    bounded_batches(docs.sparkSession)
+    part, most = 1 << 30, min(params.per_language, max(1, params.sample // len(counts)))
+    limits = F.create_map(*(F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(part, int(part * most / n)))))
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(part)) < limits[F.col("lang")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                cut = batch.slice(at, 256)
+            for cut in pieces(batch, rows=256):
                 texts = binary_column(cut, "text")
                 x = features(texts, params.buckets).astype(np.float16)
                 yield pa.record_batch([cut.column("doc_id"), cut.column("lang"), pa.array([row.tobytes() if has_letter(t) else None for row, t in zip(x, texts, strict=True)], pa.binary())], names=["doc_id", "lang", "x"])
@@ -181,10 +182,12 @@ def predict_language(docs: DataFrame, model: LanguageModel, carry: bool = False)
     columns are not read.
     """
 
+    read = reader(docs, carry)
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                cut = batch.slice(at, 256)
+            for cut in pieces(read(batch), rows=256):
                 texts = binary_column(cut, "text")
                 langs, scores = model.predict(features(texts, model.params.buckets))
                 ok = [has_letter(t) for t in texts]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .texts import bounded_batches, pieces
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -102,34 +106,74 @@ class Packer:
         self.sizes = self.sizes[live]
 
 
-class _Ids(dict):
-    """Little-endian 32-bit ids of a text without ASCII white space; short ones are remembered."""
+#: Words of one call to the tokenizer, and the mark that stands between them there.
+TOGETHER, MARK = 500, "\x02"
+_PROBE = "It's  3 o'clock, naïve Ünits of x-y (z) {}".format("supercalifragilistic")
 
-    LIMIT = 1_000_000
 
-    def __init__(self, tokenizer):
-        super().__init__({"": b""})
-        self.tokenizer = tokenizer
+class Encoder:
+    """Little-endian 32-bit ids of texts; those of the words seen last are remembered.
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < self.LIMIT and len(word) < 64:
-            self[word] = ids
-        return ids
+    For a tokenizer that drops white space, a text's ids are those of its parts
+    between ASCII white space, as its pieces, and what normalization changes,
+    never reach across it; a probe of the tokenizer tells. Other tokenizers
+    encode whole texts. New words go to the tokenizer many at a time, with a
+    mark of one id between them. The memory holds two generations of words: the
+    older one goes when the younger is full, and words asked for again pass from
+    the older to the younger.
+    """
 
+    GENERATION, LONGEST = 500_000, 64
 
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> Callable[[str], bytes]:
-    """Encodes a text to the bytes of its ids; a worker's tasks share the words it remembers.
+    def __init__(self, tokenizer):
+        self.tokenizer, self.young, self.old = tokenizer, {}, {}
+        mark = self._ids(MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.by_word = np.array_equal(self._ids(_PROBE), np.concatenate([self._ids(w) for w in _PROBE.split()]))
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if MARK not in w and len(w) <= self.LONGEST] if self.mark is not None else []
+        out = {w: self._ids(w).tobytes() for w in (set(words).difference(plain) if len(plain) < len(words) else ())}
+        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(group) - 1:
+                out.update((w, self._ids(w).tobytes()) for w in group)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(group, [*(4 * ends).tolist(), len(raw)], strict=True):
+                out[w] = raw[begin:end]
+                begin = end + 4
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        asked = set().union(*parts).difference(self.young)
+        known = {w: self.old[w] for w in asked.intersection(self.old)}
+        fresh = self._learn(sorted(asked.difference(known, ("",))))
+        self.young |= known | fresh | {"": b""}
+        get = self.young.__getitem__
+        out = [b"".join(map(get, p)) for p in parts]
+        for w in [w for w in fresh if len(w) > self.LONGEST]:
+            del self.young[w]
+        if len(self.young) >= self.GENERATION:
+            self.young, self.old = {}, self.young
+        return out
 
-    For a tokenizer that drops white space: its pieces, and what normalization
-    changes, never reach across it, so a text's ids are those of its parts
-    between ASCII white space.
-    """
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """A worker's tasks share the words it remembers."""
     from tokenizers import Tokenizer
 
-    ids = _Ids(Tokenizer.from_file(path))
-    return lambda text: b"".join(map(ids.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one core
+    return Encoder(Tokenizer.from_file(path))
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
@@ -140,7 +184,7 @@ def _packed(path: str, end_id: int, limits: Limits, with_ids: bool):
     schema = _PIECES if with_ids else pa.schema(list(_PIECES)[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(path)
+        encode = encoder(path)
         base = TaskContext.get().partitionId() << 40
         packer = Packer(limits, cut=True)
         rows: list[tuple] = []
@@ -154,12 +198,13 @@ def _packed(path: str, end_id: int, limits: Limits, with_ids: bool):
             columns = list(zip(*rows, strict=True))[: len(schema)]
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text or "") + end
+        for part in chain.from_iterable(map(pieces, batches)):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
+                ids += end
                 n = len(ids) // 4
                 keep(packer.add((doc_id, ids), n, n))
-                if len(rows) >= 2000:
+                if len(rows) >= 500:
                     yield out()
                     rows.clear()
         keep(packer.finish())
@@ -180,6 +225,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
     the task's number. Null and empty texts are their end id; rows that repeat a
     doc_id are separate documents; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return docs.mapInArrow(_packed(tokenizer_path, end_id, limits, with_ids), schema)

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one only where none is set (tests, one JVM)."""
+    """Folder named by ``spark.checkpoint.dir``; a local one where none is set, and only in a local master's one JVM."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="fluxmill-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -36,8 +38,18 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _path(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            p, fs = self._path(self.path(name))
+            fs.delete(p, True)
+
+    def keep_only(self, *names: str) -> None:
+        """Removes all tables but those named."""
+        root, fs = self._path(self.root)
+        for f in fs.listStatus(root):
+            if f.getPath().getName() not in names:
+                fs.delete(f.getPath(), True)

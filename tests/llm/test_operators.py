@@ -259,13 +259,41 @@ def test_shards_round_trip_and_commits(spark, tmp_path):
     key = lambda df: sorted(str(tuple(r)) for r in df.select("doc_id", "text", "row").collect())
     assert key(back) == key(docs) and back.filter("shard is null").count() == 0
     base = store.manifest()
-    assert base.version >= 2 and len(base.shards) < 8
+    assert base.version >= 5 and len(base.runs(store.params)) < 4 and store.versions() == [base.version]
     store.append(docs.limit(1))
     with pytest.raises(RuntimeError, match="another writer"):
         store.commit(base, [])
     assert store.read(base.version).count() == docs.count() and store.read().count() == docs.count() + 1
+    with pytest.raises(ValueError, match="no version"):
+        store.read(base.version - 1)
     none = compaction.compact_arrivals(empty(spark), f"file://{tmp_path}/b")
-    assert none.read(schema=docs.schema).count() == 0
+    assert none.read().count() == 0 and none.read().columns == [*docs.columns, "shard"]
+
+
+def test_runs_of_a_tier_are_merged_and_others_left(spark, tmp_path):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/c", compaction.TierParams(target_bytes=1 << 22, smallest_bytes=1 << 12, fanout=3))
+    rows = lambda lo, n: spark.range(lo, lo + n, 1, 4).selectExpr("id AS doc_id", "sha2(cast(id AS string), 512) AS text")
+    store.append(rows(0, 20_000))  # four files are one run: alone in its tier, it stays
+    large = {s["path"] for s in store.compact().shards}
+    assert len(large) == 4
+    for k in range(1, 4):
+        store.append(rows(100_000 * k, 10))
+        store.compact()
+    m = store.manifest()
+    assert large < {s["path"] for s in m.shards} and len(m.runs(store.params)) == 2
+    assert store.read().count() == 20_030
+
+
+def test_shards_keep_clashing_and_late_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", 7, 8), (None, None, None, None)], "doc_id long, text string, _arrival int, shard int")
+    store = compaction.compact_arrivals(docs, f"file://{tmp_path}/d")
+    back = store.read()
+    assert back.columns == ["doc_id", "text", "_arrival", "shard", "shard_1"]
+    assert sorted(map(str, back.drop("shard_1").collect())) == sorted(map(str, docs.collect()))
+    store.append(spark.createDataFrame([(2, "late")], "doc_id long, extra string"))
+    assert {r["doc_id"]: (r["text"], r["extra"]) for r in store.read().collect()} == {1: ("a", None), None: (None, None), 2: (None, "late")}
+    with pytest.raises(ValueError, match="column text"):
+        store.append(spark.createDataFrame([(2, 5)], "doc_id long, text int"))
 
 
 def test_toxicity_finds_the_interaction(spark):
@@ -372,3 +400,60 @@ def test_html_is_read_in_linear_time_and_whole():
     assert htmltext.render("<select><option>one<option selected>two</select> <select><option>1<option>2</select> <select multiple><option>p<option>q</select>") == "two 1 p q"
     assert htmltext.render("<svg>no<g>no<text>yes</text></g><title>no</title></svg><dialog>no</dialog><dialog open>d</dialog><textarea>\n a</textarea>") == "yes\nd\n a"
     assert htmltext.render("<table><tr><td><h1>Title</h1><p>one<p>two</table>") == "Title\n\none\n\ntwo"
+
+
+def test_encoder_forgets_and_falls_back():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    plain = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    encode = packing.Encoder(tok)
+    encode.GENERATION = 20
+    texts = [" ".join(f"wörd{k % 37} o'clock{j} x\x02y \x02 {'z' * 80}" for k in range(30)) for j in range(12)] + ["", "  \n\t"]
+    for _ in range(3):
+        assert encode(texts) == [plain(t) for t in texts]
+        assert len(encode.young) + len(encode.old) < 200 and encode.by_word
+    spaced = Tokenizer(models.WordLevel({"▁a": 0, "▁b": 1, "a": 2, "?": 3}, unk_token="?"))
+    spaced.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="never")
+    other = packing.Encoder(spaced)
+    assert not other.by_word and other(["a b a"]) == [np.array(spaced.encode("a b a").ids, "<u4").tobytes()]
+
+
+def test_near_copies_of_an_id_with_several_texts(spark):
+    short, long_ = " ".join(f"s{k}" for k in range(20)), " ".join(f"t{k}" for k in range(200))
+    rows = [(1, short), (1, long_), (2, short + " x"), (3, long_ + " x"), (4, "other words here")]
+    got = {r["doc_id"]: r["component_id"] for r in minmax.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_leaks_are_the_same_at_every_block_size(spark):
+    leak, other = " ".join(f"b{k}" for k in range(12)), " ".join(f"c{k}" for k in range(12))
+    bench = spark.createDataFrame([(1, leak), (2, other), (3, "short one"), (4, leak)], "item_id long, text string")
+    rows = [(5, f"a {leak} z"), (5, "a " + "clean " * 13), (5, f"x {other} z"), (None, f"{leak} and {other}"), (None, "clean " * 26), (6, "a short one"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = None
+    for block in (fmindex.BLOCK_BYTES, 100, 10):
+        for carry in (False, True):
+            found = fmindex.find_leaks(docs, bench, block_bytes=block, shard_words=20, carry=carry)
+            got = sorted(str((r["doc_id"], r["n_words"], r["spans"], r["items"])) for r in found.collect())
+            want = want or got
+            assert got == want
+    assert sorted(str((r[0], str(r[1]))) for r in found.select("row.*").collect()) == sorted(str((i, str(t))) for i, t in rows)
+    assert sum("[]" not in x for x in want) == 4
+
+
+def test_bits_rank():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 63, 64, 65, 1000):
+        ones = rng.random(n) < 0.3
+        bits = fmindex.Bits(ones)
+        assert bits.rank(np.arange(n + 1)).tolist() == [0, *np.cumsum(ones).tolist()]
+        assert bits.get(np.arange(n)).tolist() == ones.tolist()
+
+
+def test_long_texts_are_cut_of_lines_in_linear_time(spark):
+    text = "\n".join(f"line number {k % 60_000} of a long text" for k in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "line number 5 of a long text\nmine")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in linedup.without_repeated_lines(docs, linedup.LineParams(min_chars=1000)).collect()}
+    assert got[1]["text"].split("\n") == text.split("\n")[:60_000] and got[1]["n_lines_dropped"] == 40_000
+    assert got[2]["text"] == "mine"
