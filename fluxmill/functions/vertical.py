@@ -1,9 +1,14 @@
-"""Vertical profiles as array columns: regridding weights, remapping and averaging kernels."""
+"""Vertical profiles as array columns: regridding weights, remapping and averaging kernels; and the three at once in Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def edges_descend(edges: Column) -> Column:
@@ -62,3 +67,30 @@ def interpolate_levels(profile: Column, source: list[float], target: list[float]
         f = (p - source[k]) / (source[k + 1] - source[k])
         out.append(F.element_at(profile, k + 1) * (1 - f) + F.element_at(profile, k + 2) * f)
     return F.array(*out)
+
+
+#: Columns whose layers are compared at once.
+_ROWS = 2048
+
+
+def seen_columns(sat: np.ndarray, model: np.ndarray, conc: np.ndarray, apriori: np.ndarray, kernel: np.ndarray, dry_air: np.ndarray) -> np.ndarray:
+    """What a satellite sees of model columns, a row each: ``averaging_kernel_column`` of ``weighted_levels`` of ``overlap_weights``."""
+    bottom, top = sat[:, :-1, None], sat[:, 1:, None]
+    thick = np.maximum(0.0, np.minimum(bottom, model[:, None, :-1]) - np.maximum(top, model[:, None, 1:]))
+    total = thick.sum(axis=2)
+    mean = np.einsum("nsm,nm->ns", thick, conc) / np.where(total > 0, total, 1.0)
+    profile = np.where(top[:, :, 0] >= model[:, :1], conc[:, :1], mean)
+    return (apriori + kernel * (profile * dry_air - apriori)).sum(axis=1) / dry_air.sum(axis=1)
+
+
+@F.pandas_udf(T.DoubleType())
+def seen_column(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The same for array columns (satellite edges, model edges, concentrations, prior, kernel, dry air), of any numbers of layers."""
+    for columns in batches:
+        out = np.full(len(columns[0]), np.nan)
+        sizes = pd.Series(list(zip(columns[0].str.len(), columns[1].str.len(), strict=True)))
+        for _, at in sizes.groupby(sizes).groups.items():
+            for k in range(0, len(at), _ROWS):
+                rows = at[k : k + _ROWS]
+                out[rows] = seen_columns(*(np.array(c.iloc[rows].tolist(), float) for c in columns))
+        yield pd.Series(out)

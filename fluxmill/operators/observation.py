@@ -5,26 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vertical import averaging_kernel_column, edges_descend, overlap_weights, weighted_levels
+from ..functions.vertical import edges_descend, seen_column
 
 AT = ["hour_key", "i", "j"]
 
 
 def model_at(superobs: DataFrame, model: DataFrame) -> DataFrame:
-    """``superobs`` with their model column, ``conc``, and the weights of its layers in their own; a missing one raises.
+    """``superobs`` with their model column, ``conc`` and ``pedge``; a missing one raises, and so do edges that don't descend.
 
-    ``model(hour_key, i, j, conc, pedge)``; edges descend.
+    ``model(hour_key, i, j, conc, pedge)``.
     """
-    found = superobs.join(model.select(*AT, "conc", F.col("pedge").alias("_edges")), AT, "left")
-    known = F.when(F.col("_edges").isNotNull(), F.col("_edges")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("no model column at"), *AT)).cast("array<double>"))
-    return found.withColumn("_weights", overlap_weights(F.col("p_sat").cast("array<double>"), edges_descend(known.cast("array<double>")))).drop("_edges")
+    found = superobs.join(model.select(*AT, "conc", F.col("pedge").cast("array<double>").alias("pedge")), AT, "left")
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no model column at"), *AT)).cast("array<double>")
+    return found.withColumn("pedge", edges_descend(F.when(F.col("pedge").isNotNull(), F.col("pedge")).otherwise(missing)))
 
 
 def seen_as(rows: DataFrame) -> DataFrame:
     """The column that the satellite would see of a model's: remapped to its layers, then by its averaging kernel."""
-    profile = weighted_levels(F.col("_weights"), F.col("conc").cast("array<double>"))
-    doubles = [F.col(c).cast("array<double>") for c in ("apriori", "avkern", "dry_air")]
-    return rows.withColumn("model", averaging_kernel_column(*doubles, profile)).drop("_weights", "conc")
+    return rows.withColumn("model", seen_column("p_sat", "pedge", "conc", "apriori", "avkern", "dry_air")).drop("pedge", "conc")
 
 
 def modelled(superobs: DataFrame, model: DataFrame) -> DataFrame:
@@ -35,11 +33,12 @@ def modelled(superobs: DataFrame, model: DataFrame) -> DataFrame:
 def perturbed(superobs: DataFrame, model: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, elem, model): what each perturbed run of ``runs(elem, hour_key, i, j, conc)`` gives at the super-observations.
 
-    One join for all runs; the weights of a super-observation are made once. An
-    observation without any run has a null element, which stops ``sensitivities``.
+    One join for all runs, whose edges are the base run's. An observation
+    without any run raises.
     """
     placed = model_at(superobs, model).drop("conc").join(runs.select("elem", *AT, "conc"), AT, "left")
-    return seen_as(placed).select(*keys, "elem", "model")
+    known = F.when(F.col("elem").isNotNull(), F.col("conc")).otherwise(F.raise_error(F.lit("an observation without perturbed runs")).cast("array<double>"))
+    return seen_as(placed.withColumn("conc", known)).select(*keys, "elem", "model")
 
 
 def sensitivities(values: DataFrame, bases: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,8 +50,7 @@ def sensitivities(values: DataFrame, bases: DataFrame, steps: DataFrame, keys: l
     has a row an element and is broadcast.
     """
     base = bases.select(*keys, "run", F.col("model").alias("_base"))
-    elem = F.when(F.col("elem").isNotNull(), F.col("elem")).otherwise(F.raise_error(F.lit("an observation without perturbed runs")).cast("int"))
-    joined = values.withColumn("elem", elem).join(F.broadcast(steps), "elem").join(base, [*keys, "run"])
+    joined = values.join(F.broadcast(steps), "elem").join(base, [*keys, "run"])
     return joined.select(*keys, "elem", ((F.col("model") - F.col("_base")) / F.col("step")).alias("k"))
 
 

@@ -6,6 +6,7 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
+#: The names below are those of users' files.
 RESOLUTIONS = ("0.125x0.15625", "0.25x0.3125", "0.5x0.625", "2.0x2.5", "4.0x5.0")
 
 
@@ -37,6 +38,33 @@ class RunConfig:
     BufferReductionFactor: int = 4
 
 
+#: Keys that every run names, and those that it names where a switch is on.
+REQUIRED = ("StartDate", "EndDate", "Species", "Res", "isRegional", "LonMin", "LonMax", "LatMin", "LatMax", "PriorError", "ObsError", "Gamma")
+NEEDED_WITH = {
+    "KalmanMode": ("UpdateFreqDays", "NudgeFactor"),
+    "OptimizeBCs": ("PriorErrorBCs",),
+    "OptimizeOH": ("PriorErrorOH",),
+    "ReducedDimensionStateVector": ("NumberOfElements",),
+    "PrecomputedJacobian": ("ReferenceRunDir",),
+    "OffDiagonalPriorCov": ("LengthScalePriorCov",),
+}
+
+
+def problems(values: Mapping) -> list[str]:
+    """All that is wrong with a file's keys: missing ones, those that a switch needs, and bounds off the globe or in the wrong order."""
+    on = [k for k in NEEDED_WITH if k in values and parse_bool(values[k])]
+    found = [f"{k} is missing" for k in REQUIRED if k not in values]
+    found += [f"{k} is missing, which {switch} needs" for switch in on for k in NEEDED_WITH[switch] if k not in values]
+    for axis, most in (("Lon", 180), ("Lat", 90)):
+        low, high = (values.get(f"{axis}{end}") for end in ("Min", "Max"))
+        if isinstance(low, (int, float)) and isinstance(high, (int, float)):
+            if max(abs(low), abs(high)) > most:
+                found.append(f"{axis}Min and {axis}Max must lie within {most} degrees of 0")
+            if low >= high:
+                found.append(f"{axis}Min must be below {axis}Max")
+    return found
+
+
 def flatten(raw: Mapping) -> dict:
     """The section of the chosen species over the common keys; $VARIABLES of strings are expanded."""
     out = {k: v for k, v in raw.items() if not isinstance(v, Mapping)}

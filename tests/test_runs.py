@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fluxmill.functions import geo, scalars
 from fluxmill.operators import boundary, emissions, kalman, observation, plumes, preview, statevector, statistics
+from fluxmill.plans import config
 from fluxmill.sources import catalogue, readers, sinks
 
 
@@ -222,3 +223,25 @@ def test_soil_and_periods(spark):
     full = boundary.trailing_means(boundary.complete_days(daily, "2020-01-01", "2020-01-20"))
     got = {r["day"].day: r["smooth"] for r in full.collect()}
     assert got[1] is None and got[2] == 4.0 and got[20] == 4.0
+
+
+def test_config_problems_are_all_named():
+    good = {"StartDate": 20180501, "EndDate": 20180508, "Species": "CH4", "Res": "0.25x0.3125", "isRegional": True, "LonMin": -10, "LonMax": 10, "LatMin": 0, "LatMax": 5, "PriorError": 0.5, "ObsError": 15, "Gamma": 1}
+    assert config.problems(good) == []
+    bad = {k: v for k, v in good.items() if k != "Gamma"} | {"KalmanMode": "true", "UpdateFreqDays": 7, "LatMin": 5, "LonMax": 190}
+    assert config.problems(bad) == ["Gamma is missing", "NudgeFactor is missing, which KalmanMode needs", "LonMin and LonMax must lie within 180 degrees of 0", "LatMin must be below LatMax"]
+
+
+def test_columns_seen_at_once_match_the_expressions(spark):
+    from fluxmill.functions import vertical as v
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(60):
+        s, m = (5, 9) if k % 3 else (4, 7)
+        sat, model = -np.sort(-rng.uniform(100, 1000, s + 1)), -np.sort(-rng.uniform(150, 980, m + 1))
+        rows.append((k, sat.tolist(), model.tolist(), *(rng.uniform(0.1, 2, n).tolist() for n in (m, s, s, s))))
+    df = spark.createDataFrame(rows, "id int, p array<double>, e array<double>, c array<double>, a array<double>, k array<double>, d array<double>")
+    slow = v.averaging_kernel_column(F.col("a"), F.col("k"), F.col("d"), v.weighted_levels(v.overlap_weights(F.col("p"), F.col("e")), F.col("c")))
+    for r in df.select(v.seen_column("p", "e", "c", "a", "k", "d").alias("x"), slow.alias("y")).collect():
+        assert r["x"] == pytest.approx(r["y"])
