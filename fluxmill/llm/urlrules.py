@@ -8,20 +8,25 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 BAD = "#bad"
 
 
 @dataclass(frozen=True)
 class UrlParams:
-    """Mined rules hold for ``min_support`` of the labelled URLs, ``min_count`` at least, with ``min_confidence``.
+    """Mined rules hold for ``min_support`` of the labelled URLs, ``min_count`` at least, with ``min_confidence``, and ``min_lift`` times as often as URLs are bad at all.
 
     Every token that enough bad URLs have goes into the mining. Itemsets can
-    double with each token that as many URLs share.
+    double with each token that as many URLs share. Rules of up to ``compared``
+    tokens are compared with their parts.
     """
 
     min_support: float = 0.002
     min_count: int = 10
     min_confidence: float = 0.5
+    min_lift: float = 1.5
+    compared: int = 10
     inline_rules: int = 2000
 
 
@@ -72,7 +77,7 @@ def listed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
 def mine_rules(labelled: DataFrame, params: UrlParams = DEFAULT) -> DataFrame:
     """(antecedent, confidence, support) of token combinations in ``labelled(url, bad)`` that tell bad URLs.
 
-    A rule goes if one of its parts is as confident; null urls or labels are not
+    Rules that one of their parts makes needless go; null urls or labels are not
     learned from, and no bad URL gives no rules.
     """
     spark = labelled.sparkSession
@@ -92,14 +97,24 @@ def mine_rules(labelled: DataFrame, params: UrlParams = DEFAULT) -> DataFrame:
     known = F.array(*(F.lit(w) for w in words))
     baskets = rows.select(F.concat(F.array_intersect("t", known), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=params.min_confidence).fit(baskets)
-    rules = model.associationRules.filter(F.col("consequent")[0] == BAD)
-    found = [(sorted(r["antecedent"]), r["confidence"], r["support"]) for r in rules.select("antecedent", "confidence", "support").toLocalIterator()]
-    found.sort(key=lambda r: (len(r[0]), r[0]))
-    kept: list[tuple] = []
-    for rule in found:
-        if not any(set(k[0]) < set(rule[0]) and k[1] >= rule[1] for k in kept):
-            kept.append(rule)
-    return spark.createDataFrame(kept, "antecedent array<string>, confidence double, support double") if kept else empty
+    rules = model.associationRules.filter((F.col("consequent")[0] == BAD) & (F.col("lift") >= params.min_lift))
+    rules = Scratch(spark, "rules").save(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "mined")
+    return rules.join(_needless(rules, params.compared), "antecedent", "left_anti")
+
+
+def _needless(rules: DataFrame, compared: int) -> DataFrame:
+    """(antecedent) of rules of which a part is a rule as confident: it fires wherever they do.
+
+    Each rule names its parts, by the bits of the numbers below 2 to its size,
+    and meets those that are rules; longer ones than ``compared`` may stay, which
+    changes no verdict.
+    """
+    size = F.size("antecedent")
+    part = lambda m: F.filter("antecedent", lambda t, i: F.getbit(m, i) == 1)
+    numbers = F.expr("sequence(1, shiftleft(1, size(antecedent)) - 2)")
+    parts = rules.filter((size > 1) & (size <= compared)).select("antecedent", "confidence", F.explode(F.transform(numbers, part)).alias("part"))
+    known = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("its"))
+    return parts.join(known, "part").filter("its >= confidence").select("antecedent").distinct()
 
 
 def _fires(tokens: Column, rules: list[list[str]]) -> Column:
