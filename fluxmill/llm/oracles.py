@@ -70,4 +70,14 @@ SELECT a.doc_id, a.line_no, a.blank OR (near.line IS NULL AND f.f = (a.doc_id, a
 FROM full_ a LEFT JOIN firsts f ON NOT a.blank AND f.line = a.line LEFT JOIN near ON NOT a.blank AND near.line = a.line
 """
 
-ORACLES = {"op3_minhash": OP3, "op5_line_dedup": OP5, "op9_decontamination": OP9, "op10_embeddings": OP10}
+LISTED = r"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+SELECT page_id, host, p.path, r.h || r.p AS rule, coalesce(r.v, 'allow') AS verdict
+FROM p LEFT JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(r.h || r.p) DESC NULLS LAST, r.h || r.p DESC) = 1
+"""
+ORACLES = {"listed_url_rules": LISTED, "op3_minhash": OP3, "op5_line_dedup": OP5, "op9_decontamination": OP9, "op10_embeddings": OP10}

@@ -252,3 +252,44 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     columns = [F.col("example_id").cast("long"), F.coalesce(F.col("tokens"), F.lit(0)).cast("long"), F.coalesce(F.col("loss_tokens"), F.lit(0)).cast("long")]
     return examples.select(*columns).mapInArrow(run, "example_id long, sequence_id long, offset long")
+
+
+def pack_turns(turns: DataFrame, tokenizer_path: str, limits: Limits = Limits(segments=24, loss=1024), loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """(conv_id, turn, start, length, loss, sequence_id, offset): turns of conversations, packed under all three limits.
+
+    ``turns(conv_id, turn, role, text)``. A turn's tokens bear loss if its role is
+    one of ``loss_roles``. A turn over a limit is cut into pieces that fit;
+    others stay whole. Each task tokenizes and packs what it reads; nothing is
+    shuffled. Null, empty and wordless texts have no token and no piece; rows
+    that repeat a turn are packed one by one; other columns are not read.
+    """
+    schema = "conv_id long, turn long, start long, length long, loss long, sequence_id long, offset long"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer_path)
+        base = TaskContext.get().partitionId() << 40
+        packer = Packer(limits, cut=False)
+
+        def out(pieces_):
+            rows = [(*key, n, base + sequence, offset) for key, _, n, sequence, offset in pieces_]
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            conv, turn, start, loss, length, sequence, offset = columns
+            return pa.record_batch([pa.array(c, pa.int64()) for c in (conv, turn, start, length, loss, sequence, offset)], names=names)
+
+        for part in chain.from_iterable(map(pieces, batches)):
+            placed: list[tuple] = []
+            ids = encode([t or "" for t in part.column("text").to_pylist()])
+            for conv, turn, bears, found in zip(part.column("conv_id").to_pylist(), part.column("turn").to_pylist(), part.column("bears").to_pylist(), ids, strict=True):
+                most = min(limits.tokens, limits.loss) if bears else limits.tokens
+                n = len(found) // 4
+                for start in range(0, n, most):
+                    size = min(most, n - start)
+                    placed += packer.add((conv, turn, start, size * bears), size, size * bears)
+            yield out(placed)
+        yield out(packer.finish())
+
+    bounded_batches(turns.sparkSession)
+    bears = F.coalesce(F.col("role").cast("string").isin(*loss_roles), F.lit(False)).cast("int").alias("bears")
+    columns = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text"), bears]
+    return turns.select(*columns).mapInArrow(run, schema)

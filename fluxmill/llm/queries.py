@@ -87,7 +87,18 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_minhash, op4_url_rules, op5_line_dedup, op6_compaction, op7_language, op8_html_text, op9_decontamination, op10_embeddings)}
+def packed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data, where the limits on segments and loss-bearing tokens bind."""
+    return packing.pack_turns(table(spark, sf_dir, "conversations"), tokenizer_path())
+
+
+def listed_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed rules alone, without mined ones."""
+    none = spark.createDataFrame([], "antecedent array<string>, confidence double, support double")
+    return urlrules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, none)
+
+
+QUERIES = {f.__name__: f for f in (packed_turns, listed_url_rules, op1_packing, op2_toxicity, op3_minhash, op4_url_rules, op5_line_dedup, op6_compaction, op7_language, op8_html_text, op9_decontamination, op10_embeddings)}
 
 
 def queries():

@@ -457,3 +457,60 @@ def test_long_texts_are_cut_of_lines_in_linear_time(spark):
     got = {r["doc_id"]: r for r in linedup.without_repeated_lines(docs, linedup.LineParams(min_chars=1000)).collect()}
     assert got[1]["text"].split("\n") == text.split("\n")[:60_000] and got[1]["n_lines_dropped"] == 40_000
     assert got[2]["text"] == "mine"
+
+
+def test_a_repeated_labelled_id_is_one_row_of_the_sample(spark):
+    rows = [(k, f"{'insult' if k % 2 else 'pleasant'} other words here {k}") for k in range(60)] + [(1, f"insult again {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    machine = toxicity.fit_toxicity(docs, labels, toxicity.ToxicParams(sample=60))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, machine).collect()}
+    assert got == {k: k % 2 for k in range(60)}
+
+
+def test_vectors_of_several_lengths_link_with_their_own(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, (rng.normal(size=(2, 3, 5)[k % 3])).tolist()) for k in range(300)] + [(300, [1.0, 0.0, 1e-9]), (301, [1.0, 0.0, 0.0]), (302, [0.0, 0.0]), (303, []), (304, None), (305, [1.0, float("nan")]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i is not None and v and np.isfinite(v).all() and any(v)}
+    linked = [(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.9]
+    root = components(range(306), linked)
+    n = {i: sum(i in p for p in linked) for i in range(306)}
+    for cell, block in ((4096, 4096), (10, 7)):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivots.near_vectors(df, 0.9, cell=cell, block=block).collect()}
+        assert got.pop(None) == (0, None)
+        assert got == {i: (n[i], root[i]) for i in range(306)}
+
+
+def test_needless_rules_go_and_lifted_ones_stay(spark):
+    rules = spark.createDataFrame([(["a"], 0.9, 0.1), (["a", "b"], 0.9, 0.1), (["a", "b", "c"], 0.95, 0.1), (["b", "c"], 0.6, 0.1), (["d"], 0.8, 0.1)], "antecedent array<string>, confidence double, support double")
+    assert sorted(r[0] for r in urlrules._needless(rules, 10).collect()) == [["a", "b"]]
+    rows = [(f"http://x/common/w{k % 2}/{k}", k % 10 > 2) for k in range(200)]  # 70 of 100 are bad, whatever the token
+    assert urlrules.mine_rules(spark.createDataFrame(rows, "url string, bad boolean")).count() == 0
+
+
+def test_turns_are_packed_under_three_limits(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    rows = [(k // 4, k % 4, "assistant" if k % 2 else "user", " ".join(["word"] * (1 + 37 * k % 90))) for k in range(200)] + [(99, 0, "assistant", "long " * 3000), (99, 1, "user", "long " * 3000), (99, 2, None, None), (99, 3, "user", " ")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    limits = packing.Limits(segments=24, loss=1024)
+    got = packing.pack_turns(turns, queries.tokenizer_path(), limits).collect()
+    by, used = {}, {}
+    for r in got:
+        by.setdefault((r["conv_id"], r["turn"]), []).append((r["start"], r["length"]))
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["loss"]))
+    for conv, turn, _, text in rows:
+        n, at = len(tok.encode(text or "", add_special_tokens=False).ids), 0
+        for start, length in sorted(by.get((conv, turn), [])):
+            assert start == at
+            at += length
+        assert at == n
+    full = 0
+    for parts in used.values():
+        parts.sort()
+        assert sum(p[1] for p in parts) <= 2048 and len(parts) <= 24 and sum(p[2] for p in parts) <= 1024
+        assert all(a[0] + a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+        full += sum(p[1] for p in parts) > 1900 or len(parts) == 24 or sum(p[2] for p in parts) > 950
+    assert full >= len(used) * 0.6
