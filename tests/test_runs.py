@@ -245,3 +245,13 @@ def test_columns_seen_at_once_match_the_expressions(spark):
     slow = v.averaging_kernel_column(F.col("a"), F.col("k"), F.col("d"), v.weighted_levels(v.overlap_weights(F.col("p"), F.col("e")), F.col("c")))
     for r in df.select(v.seen_column("p", "e", "c", "a", "k", "d").alias("x"), slow.alias("y")).collect():
         assert r["x"] == pytest.approx(r["y"])
+
+
+def test_counts_over_a_stream(spark, tmp_path):
+    from fluxmill.streaming import counts
+
+    spark.sql("SELECT TIMESTAMP '2020-01-01' + make_interval(0, 0, 0, 0, id * 6) AS time, id % 2 AS i FROM range(24)").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("time timestamp, i long").parquet(f"{tmp_path}/in")
+    counts.start(counts.daily_cell_counts(stream, ["i"]), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(120)
+    got = {(r["day"].day, r["i"]): r["n_obs"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got and all(n == 2 for n in got.values()) and (1, 0) in got and (6, 1) not in got
