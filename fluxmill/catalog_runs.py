@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import _BC, _VAR, _bc, _fold_cells, _rows, cut, query, r
+from .catalog import _BC, _VAR, ORACLES, _bc, _fold_cells, _rows, cut, query, r
 from .functions import scalars as fs
 from .functions import vertical as fv
 from .functions.geo import spherical_quad_area
@@ -378,6 +378,16 @@ def corrected_profiles(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("day").alias("pixel_id"), cut(F.col("conc")[0]).alias("c1"), cut(F.col("conc")[2]).alias("c3"))
 
 
+@query(ORACLES["lat_fill"].replace("count(bias) >= 8", "count(bias) >= 15"))
+def lat_fill_15(spark: SparkSession, d: str) -> DataFrame:
+    return boundary.latitude_fill(_bc(spark, d)).select("day", "j", cut("filler").alias("filler"))
+
+
+@query(ORACLES["sigma_clip"].replace("CAST(1.5 AS DOUBLE)", "3"))
+def sigma_clip_3(spark: SparkSession, d: str) -> DataFrame:
+    return stations.sigma_clip(view(spark, d, "station"), "site", "op").select("l_orderkey", "l_linenumber", "site", cut("op").alias("op"))
+
+
 # -- cubed spheres --------------------------------------------------------------------------------------------------------
 
 
