@@ -14,8 +14,9 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
     Alternates two star contractions: each node first hands its larger
     neighbours, then its smaller ones, to the smallest it knows, until every
     tree is a star. The number of rounds grows with the logarithm of the
-    longest path. Each minimum is a partial aggregate, so a node with very many
-    links is never gathered in one task; each round is written to the shared
+    longest path. Each minimum is a partial aggregate; the join of a node's links
+    with its minimum is a sort-merge join, of which Spark's adaptive execution
+    splits a node with very many links. Each round is written to the shared
     folder. Self-links and repeated links are harmless; no links give no rows.
     """
     stars = scratch.save(
@@ -39,3 +40,13 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
     leaf = stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     root = stars.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return leaf.union(root)
+
+
+def extended_components(reached: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``reached(node, component)`` after more ``links(a, b)``: only the components that these join are looked at again."""
+    own = lambda end: reached.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    joined = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    roots = scratch.save(connected_components(joined, scratch, name), f"{name}-roots")
+    moved = reached.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+    fresh = roots.join(reached.select("node"), "node", "left_anti").select("node", "component")
+    return moved.select("node", F.coalesce("root", "component").alias("component")).union(fresh)

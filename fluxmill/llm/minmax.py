@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, extended_components
+from .membership import IdFilter, place
 from .scratch import Scratch
 from .texts import LOWER_ASCII, U64, WordHash, binary_column, bounded_batches, hashed, mix, pieces, slices
 
@@ -112,11 +113,13 @@ def _signed(p: MinMaxParams):
     return run
 
 
-def _sets(p: MinMaxParams):
+def _sets(p: MinMaxParams, wanted: IdFilter):
+    """Shingle sets of the documents whose ``place`` the filter holds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(wanted.kept(batch, "place")):
                 sets = shingle_sets(binary_column(part, "text"), p.shingle, cache)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
@@ -180,10 +183,10 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFram
     alike = (F.col("n") * 100 >= F.col("low.n") * params.percent) & (F.col("high.n") * 100 >= F.col("n") * params.percent)
     members = scratch.save(keyed.join(shared, "bucket").select("bucket", "node", F.col("low.node").alias("head"), alike.alias("alike")), "members")
 
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = scratch.save(
-        docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(params), "doc_id long, shingles array<long>"), "sets"
-    )
+    # texts stay where they are: those that the filter lets through in vain have a set that no pair asks for
+    wanted = IdFilter.of(members, "node")
+    placed = docs.filter("doc_id is not null").withColumn("place", place(F.col("doc_id")))
+    sets = scratch.save(placed.mapInArrow(_sets(params, wanted), "doc_id long, shingles array<long>"), "sets")
     heads = members.filter("node <> head and alike").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = scratch.save(_confirmed(heads, sets, params.percent), "links")
     reached = scratch.save(connected_components(links, scratch, "near"), "reached")
@@ -212,8 +215,7 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFram
         .filter((F.col("node") != F.col("head")) & (F.col("c") * 100 >= F.col("n") * p))
         .select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
     )
-    links = scratch.save(links.union(_confirmed(central, sets, p)), "links-2")
-    reached = scratch.save(connected_components(links, scratch, "near-2"), "reached-2")
+    reached = scratch.save(extended_components(reached, scratch.save(_confirmed(central, sets, p), "links-2"), scratch, "near-2"), "reached-2")
 
     # pairs that common shingles alone can't make similar must share a rare one, in both prefixes
     need = F.greatest(F.lit(1), F.ceil(F.col("n") * p / 100 - F.col("c"))).cast("int")
@@ -234,8 +236,7 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFram
         .select(F.col("node").alias("a"), "b")
     )
     pairs = scratch.save(by_rare.union(by_bucket).distinct(), "pairs")
-    links = scratch.save(links.union(_confirmed(pairs, sets, p)), "all-links")
-    groups = scratch.save(connected_components(links, scratch, "all"), "groups")
+    groups = scratch.save(extended_components(reached, scratch.save(_confirmed(pairs, sets, p), "links-3"), scratch, "near-3"), "groups")
 
     grouped = names.join(groups, "node", "left").select("set_hi", "set_lo", F.coalesce("component", "node").alias("component"))
     out = (

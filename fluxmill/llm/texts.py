@@ -55,7 +55,7 @@ def chunks(text: bytes | None) -> Iterator[bytes]:
 class WordHash(dict):
     """64-bit hash of a word, remembered for the short words seen first; the memory is bounded."""
 
-    LIMIT, LONGEST = 500_000, 64
+    LIMIT, LONGEST = 250_000, 64
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)

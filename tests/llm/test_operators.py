@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluxmill.llm import compaction, fmindex, htmltext, language, linedup, minmax, packing, pivots, queries, scratch, toxicity, urlrules
+from fluxmill.llm import compaction, fmindex, htmltext, language, linedup, membership, minmax, packing, pivots, queries, scratch, toxicity, urlrules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, node string, bucket string, spans string"
 
@@ -514,3 +514,18 @@ def test_turns_are_packed_under_three_limits(spark):
         assert all(a[0] + a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
         full += sum(p[1] for p in parts) > 1900 or len(parts) == 24 or sum(p[2] for p in parts) > 950
     assert full >= len(used) * 0.6
+
+
+def test_id_filters_pass_their_ids_and_joins_are_exact(spark, monkeypatch):
+    gone = spark.range(0, 5000, 7).withColumnRenamed("id", "doc_id")
+    docs = spark.range(-50, 3000).selectExpr("id AS doc_id", "'x' AS _gone").union(spark.sql("SELECT CAST(NULL AS long), 'null'")).union(spark.sql("SELECT 3L, 'again'"))
+    for bits in (1 << 26, 1 << 15):
+        monkeypatch.setattr(membership, "BITS", bits)
+        found = membership.IdFilter.of(gone)
+        places = np.array([r[0] for r in gone.select(membership.place(F.col("doc_id"))).collect()])
+        assert found.holds(places).all() and found.holds(np.arange(bits)).sum() <= 715
+        left = membership.without_ids(docs, gone)
+        assert left.columns == docs.columns
+        want = [(k, "x") for k in range(-50, 3000) if k < 0 or k % 7] + [(None, "null"), (3, "again")]
+        assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, want))
+    assert membership.without_ids(docs, gone.limit(0)).count() == docs.count()
