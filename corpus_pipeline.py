@@ -6,16 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxmill.llm import fmindex, language, linedup, minmax, packing
+from fluxmill.llm.membership import without_ids
 from fluxmill.llm.queries import table, tokenizer_path
 from fluxmill.llm.scratch import Scratch
-from fluxmill.llm.texts import free_name
-
-
-def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id ``decided`` holds, with their columns."""
-    name = free_name(docs.columns, "_id")
-    ids = decided.select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a null doc_id stay, and so do wordless texts. Extra columns stay as they are.
     """
     found = minmax.near_duplicates(docs, minmax.MinMaxParams(shingle=5, percent=80))
-    return _only(docs, found.filter("kept"))
+    return without_ids(docs, found.filter("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
