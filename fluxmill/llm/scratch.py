@@ -6,22 +6,11 @@ executor costs a re-read, never a recomputation of the whole chain.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one where none is set, and only in a local master's one JVM."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="fluxmill-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
+from ..sources.scratch import shared_dir
 
 
 class Scratch:
