@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,10 +53,9 @@ def without_ids(docs: DataFrame, gone: DataFrame, column: str = "doc_id") -> Dat
     found = IdFilter.of(gone, column)
     name = free_name(docs.columns, "_gone")
 
-    @F.pandas_udf("boolean")
-    def may_go(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for places in batches:
-            yield pd.Series(found.holds(places.to_numpy()))
+    @F.arrow_udf("boolean")
+    def may_go(places: pa.Array) -> pa.Array:
+        return pa.array(found.holds(places.to_numpy()))
 
     asked = may_go(place(F.col("doc_id").cast("long")))
     ids = gone.select(F.col(column).cast("long").alias(name)).distinct()

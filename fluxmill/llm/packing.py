@@ -123,7 +123,7 @@ class Encoder:
     the older to the younger.
     """
 
-    GENERATION, LONGEST = 250_000, 64
+    GENERATION, LONGEST = 400_000, 64
 
     def __init__(self, tokenizer):
         self.tokenizer, self.young, self.old = tokenizer, {}, {}
