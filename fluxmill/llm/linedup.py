@@ -99,6 +99,8 @@ def line_decisions(docs: DataFrame, params: LineParams = DEFAULT, scratch: Scrat
         .select("k1", "k2", rank.alias("at"), "line", "n").dropDuplicates(["k1", "k2"])
     )
     texts = scratch.save(texts, "texts")
+    scratch.drop("maybe")
+    scratch.settle()
 
     zoned = texts.select("k1", "k2", F.posexplode(_keys(F.col("line"), F.col("n"), params.zones)).alias("slot", "key"))
     again = zoned.groupBy("key").agg(F.min(F.struct("k1", "k2")).alias("a"), F.max(F.struct("k1", "k2")).alias("b")).filter("a <> b").select("key")
@@ -117,6 +119,8 @@ def line_decisions(docs: DataFrame, params: LineParams = DEFAULT, scratch: Scrat
         .select("k1", "k2", "at", "slot", "key", "part", "size")
     )
     parts = scratch.save(parts, "parts")
+    scratch.drop("texts")
+    scratch.settle()
     long_ = F.col("slot") >= params.zones
     places = F.when(F.col("size") > 0, F.sequence(F.lit(1), F.col("size"))).otherwise(F.array().cast("array<int>"))
     holed = parts.select("k1", "k2", "at", "key", "part", long_.alias("long"), F.explode(places).alias("i"))
@@ -134,6 +138,8 @@ def line_decisions(docs: DataFrame, params: LineParams = DEFAULT, scratch: Scrat
         .select("k1", "k2").distinct().withColumn("near", F.lit(True))
     )
     near = scratch.save(near, "near")
+    scratch.drop("parts")
+    scratch.settle()
 
     known = first.select("k1", "k2", F.col("at").alias("first")).join(near, ["k1", "k2"], "left")
     decided = (
@@ -148,7 +154,7 @@ def line_decisions(docs: DataFrame, params: LineParams = DEFAULT, scratch: Scrat
     same_place = F.col("first_doc").eqNullSafe(F.col("doc_id")) & (F.col("first_line") == F.col("line_no"))
     kept = F.col("blank") | (F.col("fresh") & F.coalesce(same_place, F.lit(False)))
     out = scratch.save(decided.select("doc_id", "line_no", *["text_hash"] * by_text, kept.alias("kept"), "first_doc", "first_line"), "decisions")
-    scratch.drop("first", "maybe", "texts", "parts", "near")
+    scratch.drop("first", "near")
     return out
 
 

@@ -183,6 +183,8 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFram
     alike = (F.col("n") * 100 >= F.col("low.n") * params.percent) & (F.col("high.n") * 100 >= F.col("n") * params.percent)
     members = scratch.save(keyed.join(shared, "bucket").select("bucket", "node", F.col("low.node").alias("head"), alike.alias("alike")), "members")
 
+    scratch.settle()
+
     # texts stay where they are: those that the filter lets through in vain have a set that no pair asks for
     wanted = IdFilter.of(members, "node")
     placed = docs.filter("doc_id is not null").withColumn("place", place(F.col("doc_id")))
@@ -191,6 +193,9 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFram
     links = scratch.save(_confirmed(heads, sets, params.percent), "links")
     reached = scratch.save(connected_components(links, scratch, "near"), "reached")
 
+    scratch.drop("links")
+    scratch.settle()
+
     # documents in buckets that still hold several components
     def mixed(components: DataFrame) -> DataFrame:
         placed = members.select("bucket", "node").join(components, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
@@ -217,6 +222,9 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFram
     )
     reached = scratch.save(extended_components(reached, scratch.save(_confirmed(central, sets, p), "links-2"), scratch, "near-2"), "reached-2")
 
+    scratch.drop("links-2")
+    scratch.settle()
+
     # pairs that common shingles alone can't make similar must share a rare one, in both prefixes
     need = F.greatest(F.lit(1), F.ceil(F.col("n") * p / 100 - F.col("c"))).cast("int")
     prefix = F.slice("own", 1, F.greatest(F.lit(0), F.size("own") - need + 1))
@@ -236,8 +244,13 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFram
         .select(F.col("node").alias("a"), "b")
     )
     pairs = scratch.save(by_rare.union(by_bucket).distinct(), "pairs")
+    scratch.drop("asked", "common", "measured", "members")
+    scratch.settle()
     groups = scratch.save(extended_components(reached, scratch.save(_confirmed(pairs, sets, p), "links-3"), scratch, "near-3"), "groups")
 
+    scratch.drop("sets", "pairs", "links-3")
+    scratch.settle()
+
     grouped = names.join(groups, "node", "left").select("set_hi", "set_lo", F.coalesce("component", "node").alias("component"))
     out = (
         signed.join(grouped, ["set_hi", "set_lo"], "left")

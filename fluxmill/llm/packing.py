@@ -112,21 +112,19 @@ _PROBE = "It's  3 o'clock, naïve Ünits of x-y (z) {}".format("supercalifragili
 
 
 class Encoder:
-    """Little-endian 32-bit ids of texts; those of the words seen last are remembered.
+    """Little-endian 32-bit ids of texts; those of the words seen first are remembered.
 
     For a tokenizer that drops white space, a text's ids are those of its parts
     between ASCII white space, as its pieces, and what normalization changes,
     never reach across it; a probe of the tokenizer tells. Other tokenizers
-    encode whole texts. New words go to the tokenizer many at a time, with a
-    mark of one id between them. The memory holds two generations of words: the
-    older one goes when the younger is full, and words asked for again pass from
-    the older to the younger.
+    encode whole texts. Words that are not remembered go to the tokenizer many at
+    a time, with a mark of one id between them.
     """
 
-    GENERATION, LONGEST = 400_000, 64
+    LIMIT, LONGEST = 500_000, 64
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.young, self.old = tokenizer, {}, {}
+        self.tokenizer, self.known = tokenizer, {"": b""}
         mark = self._ids(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
         self.by_word = np.array_equal(self._ids(_PROBE), np.concatenate([self._ids(w) for w in _PROBE.split()]))
@@ -154,16 +152,14 @@ class Encoder:
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        asked = set().union(*parts).difference(self.young)
-        known = {w: self.old[w] for w in asked.intersection(self.old)}
-        fresh = self._learn(sorted(asked.difference(known, ("",))))
-        self.young |= known | fresh | {"": b""}
-        get = self.young.__getitem__
+        fresh = self._learn(list(set().union(*parts).difference(self.known)))
+        before = len(self.known)
+        self.known |= fresh
+        get = self.known.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
-        for w in [w for w in fresh if len(w) > self.LONGEST]:
-            del self.young[w]
-        if len(self.young) >= self.GENERATION:
-            self.young, self.old = {}, self.young
+        room = self.LIMIT - before
+        for w in fresh if room <= 0 else [w for k, w in enumerate(fresh) if k >= room or len(w) > self.LONGEST]:
+            del self.known[w]
         return out
 
 

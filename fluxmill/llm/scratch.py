@@ -27,6 +27,10 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def settle(self) -> None:
+        """Lets go of the shuffle files of steps whose tables are saved: Spark removes them once the driver's garbage is collected."""
+        self.spark._jvm.System.gc()
+
     def _path(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())

@@ -408,11 +408,11 @@ def test_encoder_forgets_and_falls_back():
     tok = Tokenizer.from_file(queries.tokenizer_path())
     plain = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
     encode = packing.Encoder(tok)
-    encode.GENERATION = 20
+    encode.LIMIT = 20
     texts = [" ".join(f"wörd{k % 37} o'clock{j} x\x02y \x02 {'z' * 80}" for k in range(30)) for j in range(12)] + ["", "  \n\t"]
     for _ in range(3):
         assert encode(texts) == [plain(t) for t in texts]
-        assert len(encode.young) + len(encode.old) < 200 and encode.by_word
+        assert len(encode.known) <= 20 and encode.by_word
     spaced = Tokenizer(models.WordLevel({"▁a": 0, "▁b": 1, "a": 2, "?": 3}, unk_token="?"))
     spaced.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="never")
     other = packing.Encoder(spaced)
