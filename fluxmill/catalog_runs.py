@@ -296,7 +296,7 @@ def last_roi_element(spark: SparkSession, d: str) -> DataFrame:
     return statevector.last_roi_element(cells, 1)
 
 
-@query(f"{cte('emission')} SELECT label, CASE WHEN label <= 8 THEN label ELSE 0 END AS roi_label, CASE WHEN label > 8 THEN label - 2 ELSE 0 END AS buffer_label FROM emission GROUP BY label")
+@query(f"{cte('emission')}, e AS (SELECT max(label) - 4 AS edge FROM emission) SELECT label, CASE WHEN label <= edge THEN label ELSE 0 END AS roi_label, CASE WHEN label > edge THEN label - 2 ELSE 0 END AS buffer_label FROM emission, e GROUP BY ALL")
 def split_buffer(spark: SparkSession, d: str) -> DataFrame:
     cells = view(spark, d, "emission").select("label").distinct()
     return statevector.shift_buffer(statevector.split_buffer(cells, 4), 2).select("label", "roi_label", "buffer_label")
