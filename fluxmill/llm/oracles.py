@@ -80,4 +80,10 @@ SELECT page_id, host, p.path, r.h || r.p AS rule, coalesce(r.v, 'allow') AS verd
 FROM p LEFT JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p)
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(r.h || r.p) DESC NULLS LAST, r.h || r.p DESC) = 1
 """
-ORACLES = {"listed_url_rules": LISTED, "op3_minhash": OP3, "op5_line_dedup": OP5, "op9_decontamination": OP9, "op10_embeddings": OP10}
+OP13 = f"""
+WITH t AS (SELECT doc_id, {_LOWER.replace('text', "coalesce(text, '')", 1)} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY t)
+"""
+
+ORACLES = {"listed_url_rules": LISTED, "op3_minhash": OP3, "op5_line_dedup": OP5, "op9_decontamination": OP9, "op10_embeddings": OP10, "op13_exact_dedup": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compaction, fmindex, htmltext, language, linedup, minmax, packing, pivots, toxicity, urlrules
+from . import compaction, fmindex, htmltext, language, linedup, minmax, packing, pivots, quotient, toxicity, urlrules
 from .oracles import ORACLES
 from .scratch import Scratch
 
@@ -87,6 +87,10 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotient.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def packed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instruction data, where the limits on segments and loss-bearing tokens bind."""
     return packing.pack_turns(table(spark, sf_dir, "conversations"), tokenizer_path())
@@ -98,7 +102,7 @@ def listed_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, none)
 
 
-QUERIES = {f.__name__: f for f in (packed_turns, listed_url_rules, op1_packing, op2_toxicity, op3_minhash, op4_url_rules, op5_line_dedup, op6_compaction, op7_language, op8_html_text, op9_decontamination, op10_embeddings)}
+QUERIES = {f.__name__: f for f in (packed_turns, listed_url_rules, op1_packing, op2_toxicity, op3_minhash, op4_url_rules, op5_line_dedup, op6_compaction, op7_language, op8_html_text, op9_decontamination, op10_embeddings, op13_exact_dedup)}
 
 
 def queries():
