@@ -80,10 +80,51 @@ SELECT page_id, host, p.path, r.h || r.p AS rule, coalesce(r.v, 'allow') AS verd
 FROM p LEFT JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p)
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(r.h || r.p) DESC NULLS LAST, r.h || r.p DESC) = 1
 """
+#: The dynamic program with whole strings: each state keeps its cheapest edits, audit and repaired text. crc32 is by bits.
+OP12 = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS key FROM conversations
+), coded AS (
+  SELECT *, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: ord(key[i])::BIGINT),
+    lambda crc, b: list_reduce(range(0, 8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS code FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy FROM coded WHERE code <> 0
+), placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
+marked AS (
+  SELECT *, left(role, 1) AS initial, rtrim(text, E' \t\n\x0b\x0c\r') AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again FROM placed
+), rows_ AS (
+  SELECT *, CASE WHEN bare = '' THEN 3 WHEN again THEN 2 WHEN right(bare, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS fault FROM marked
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 3)::BIGINT AS blank,
+    count(*) FILTER (fault = 2)::BIGINT AS duplicate, count(*) FILTER (fault = 1)::BIGINT AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM rows_) GROUP BY conv_id
+), runs(f, run, mid, rc, made) AS (VALUES (0, '', 0, 0, ''), (1, '', 1, 0, ''), (2, '', 2, 0, ''), (3, '', 3, 0, ''), (0, 'I', 2, 5, E'user:\n'), (1, 'I', 2, 5, E'user:\n'), (2, 'I', 3, 5, E'assistant:\n'), (3, 'I', 2, 5, E'user:\n'),
+  (0, 'II', 3, 10, E'user:\nassistant:\n'), (1, 'II', 3, 10, E'user:\nassistant:\n'), (2, 'II', 2, 10, E'assistant:\nuser:\n'), (3, 'II', 3, 10, E'user:\nassistant:\n')),
+edits(mid, initial, edit, t, ec, becomes) AS (VALUES (0, NULL, 'D', 0, 2, NULL), (1, NULL, 'D', 1, 2, NULL), (2, NULL, 'D', 2, 2, NULL), (3, NULL, 'D', 3, 2, NULL),
+  (0, 's', 'K', 1, 0, NULL), (0, 'u', 'K', 2, 0, NULL), (1, 'u', 'K', 2, 0, NULL), (3, 'u', 'K', 2, 0, NULL), (2, 'a', 'K', 3, 0, NULL),
+  (0, NULL, 'R', 2, 1, 'user'), (1, NULL, 'R', 2, 1, 'user'), (3, NULL, 'R', 2, 1, 'user'), (2, NULL, 'R', 3, 1, 'assistant')),
+macro AS (SELECT f, t, initial, edit, run || edit AS code, rc + ec AS c, made, becomes FROM runs JOIN edits USING (mid)),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS pos, 0 AS state, {'c': 0, 'a': '', 'r': ''} AS m FROM (SELECT DISTINCT conv_id FROM rows_)
+  UNION ALL
+  SELECT dp.conv_id, dp.pos + 1, x.t, min({'c': m.c + x.c + CASE WHEN x.edit <> 'D' AND r.fault = 1 THEN 5 ELSE 0 END, 'a': m.a || x.code,
+    'r': m.r || x.made || CASE x.edit WHEN 'D' THEN '' WHEN 'K' THEN r.role || ':' || r.text || chr(10) ELSE x.becomes || ':' || r.text || chr(10) END})
+  FROM dp JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.pos = dp.pos + 1 JOIN macro x ON x.f = dp.state AND (x.initial IS NULL OR x.initial = r.initial) AND (x.edit = 'D' OR r.fault < 2)
+  GROUP BY dp.conv_id, dp.pos, x.t
+), ends AS (
+  SELECT dp.conv_id, min({'c': m.c + e.c, 'a': m.a || e.run, 'r': m.r || e.made}) AS m FROM dp JOIN counted n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.pos
+  JOIN (VALUES (0, 0, '', ''), (1, 10, 'II', E'user:\nassistant:\n'), (2, 5, 'I', E'assistant:\n'), (3, 0, '', '')) e(state, c, run, made) USING (state) GROUP BY dp.conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(m.c, 0)::BIGINT AS cost, coalesce(m.a, '') AS audit, sha256(coalesce(left(m.r, length(m.r) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted c ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON a.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
 OP13 = f"""
 WITH t AS (SELECT doc_id, {_LOWER.replace('text', "coalesce(text, '')", 1)} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY t)
 """
 
-ORACLES = {"listed_url_rules": LISTED, "op3_minhash": OP3, "op5_line_dedup": OP5, "op9_decontamination": OP9, "op10_embeddings": OP10, "op13_exact_dedup": OP13}
+ORACLES = {"listed_url_rules": LISTED, "op3_minhash": OP3, "op5_line_dedup": OP5, "op9_decontamination": OP9, "op10_embeddings": OP10, "op12_conversation_repair": OP12, "op13_exact_dedup": OP13}
