@@ -80,6 +80,23 @@ SELECT page_id, host, p.path, r.h || r.p AS rule, coalesce(r.v, 'allow') AS verd
 FROM p LEFT JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p)
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(r.h || r.p) DESC NULLS LAST, r.h || r.p DESC) = 1
 """
+_TERMS = rf"regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS w FROM documents),
+q AS (SELECT row_number() OVER () AS item, item_id, list_distinct({_TERMS}) AS w FROM benchmark),
+size AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+t AS (SELECT item, unnest(w) AS term FROM q),
+p AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM t) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, size GROUP BY term, n),
+damping AS (SELECT k, doc_id, 20 * (50 + (50 * len(w)::BIGINT * n) // l) AS m FROM d, size WHERE len(w) > 0),
+scores AS (
+  SELECT item, k, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + m)))::BIGINT AS score
+  FROM t JOIN p USING (term) JOIN weights USING (term) JOIN damping USING (k) GROUP BY item, k
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked JOIN q USING (item) WHERE rank <= 50
+"""
+
 #: The dynamic program with whole strings: each state keeps its cheapest edits, audit and repaired text. crc32 is by bits.
 OP12 = r"""
 WITH RECURSIVE keyed AS (
@@ -127,4 +144,4 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM t WINDOW w AS (PARTITION BY t)
 """
 
-ORACLES = {"listed_url_rules": LISTED, "op3_minhash": OP3, "op5_line_dedup": OP5, "op9_decontamination": OP9, "op10_embeddings": OP10, "op12_conversation_repair": OP12, "op13_exact_dedup": OP13}
+ORACLES = {"listed_url_rules": LISTED, "op3_minhash": OP3, "op5_line_dedup": OP5, "op9_decontamination": OP9, "op10_embeddings": OP10, "op11_ranked_search": OP11, "op12_conversation_repair": OP12, "op13_exact_dedup": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compaction, fmindex, htmltext, language, linedup, minmax, packing, pivots, quotient, repair, toxicity, urlrules
+from . import compaction, fmindex, htmltext, language, linedup, maxscore, minmax, packing, pivots, quotient, repair, toxicity, urlrules
 from .oracles import ORACLES
 from .scratch import Scratch
 
@@ -87,6 +87,10 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_digest(repair.repair_conversations(repair.damage(table(spark, sf_dir, "conversations"))))
 
@@ -106,7 +110,7 @@ def listed_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, none)
 
 
-QUERIES = {f.__name__: f for f in (packed_turns, listed_url_rules, op1_packing, op2_toxicity, op3_minhash, op4_url_rules, op5_line_dedup, op6_compaction, op7_language, op8_html_text, op9_decontamination, op10_embeddings, op12_conversation_repair, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (packed_turns, listed_url_rules, op1_packing, op2_toxicity, op3_minhash, op4_url_rules, op5_line_dedup, op6_compaction, op7_language, op8_html_text, op9_decontamination, op10_embeddings, op11_ranked_search, op12_conversation_repair, op13_exact_dedup)}
 
 
 def queries():
