@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,25 +54,9 @@ def normal_equations_blocks(rows: DataFrame, n: int) -> DataFrame:
     by row, in n groups of a row for each task.
     """
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n, n + 1))
-        for batch in batches:
-            k = np.asarray(batch.column("k").flatten(), float).reshape(batch.num_rows, n)
-            w = 1.0 / batch.column("variance").to_numpy(zero_copy_only=False)
-            y = batch.column("residual").to_numpy(zero_copy_only=False)
-            weighted = k * w[:, None]
-            total[:, 1:] += weighted.T @ k
-            total[:, 0] += weighted.T @ y
-        yield pa.record_batch([pa.array(np.arange(1, n + 1), pa.int32()), pa.array(list(total))], names=["i", "row"])
+    from .ensemble import normal_stack
 
-    def total(table: pa.Table) -> pa.Table:
-        found = np.zeros(n + 1)
-        for row in table.column("row").chunks:
-            found += np.asarray(row.flatten(), float).reshape(len(row), n + 1).sum(axis=0)
-        return pa.table({"i": table.column("i").slice(0, 1), "row": pa.array([found], pa.list_(pa.float64()))})
-
-    parts = rows.select("k", "residual", "variance").mapInArrow(partial, "i int, row array<double>")
-    return parts.groupBy("i").applyInArrow(total, "i int, row array<double>")
+    return normal_stack(rows.select("k", "residual", F.array("variance").alias("variances")), n, 1).select("i", "row")
 
 
 def long_form(blocks: DataFrame) -> DataFrame:
@@ -207,20 +188,6 @@ def hyper_grid(spark, **lists: list[float]) -> DataFrame:
     return out.select(number.cast("int").alias("member"), *lists)
 
 
-def ensemble(ktk: np.ndarray, kty: np.ndarray, e: Elements, lists: dict[str, list[float]]) -> list[dict]:
-    """Solutions for all combinations of prior_err, obs_err (relative to the sums'), gamma, err_bc and err_oh.
-
-    K'K is summed once; an observation error only scales it.
-    """
-    names, out = list(lists), []
-    for member, values in enumerate(product(*lists.values())):
-        p = dict(zip(names, values, strict=True))
-        cov, solve = prior_covariance(e, p.get("prior_err", 0.5), p.get("err_bc", 0.0), p.get("err_oh", 0.0))
-        s = solve_gaussian(ktk, kty, e, cov, solve, p.get("gamma", 1.0) / p.get("obs_err", 1.0) ** 2)
-        out.append({"member": member, **p, "solution": s})
-    return out
-
-
 def qualified(members: DataFrame, low: float = 0.5, high: float = 2.0) -> DataFrame:
     """Members whose Ja is within bounds; all, if none is."""
     ok = F.col("ja").between(low, high)

@@ -2,8 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fluxmill.operators import blocks, covariance
+from fluxmill.operators import ensemble as ens
 from fluxmill.operators import inversion as inv
-from fluxmill.plans.inversion_run import invert
+from fluxmill.plans.inversion_run import invert, members_of
+from fluxmill.sources.scratch import Saved
 
 
 def test_one_element_by_hand():
@@ -122,3 +125,88 @@ def test_blocks_add_up_over_many_tasks(spark):
     rows = spark.createDataFrame([(row.tolist(), float(v), 2.0) for row, v in zip(k, y, strict=True)], "k array<double>, residual double, variance double").repartition(7)
     ktk, kty = inv.collect_normal(inv.normal_equations_blocks(rows, 6), 6)
     assert ktk == pytest.approx(k.T @ k / 2) and kty == pytest.approx(k.T @ y / 2)
+
+
+def ensemble_case(seed=4, n=7, m=400):
+    rng = np.random.default_rng(seed)
+    k, truth = rng.uniform(0.2, 1, (m, n)), rng.uniform(0.6, 1.5, n)
+    return k, k @ (truth - 1) + rng.normal(size=m), rng.integers(1, 9, m).astype(float)
+
+
+def variances_of(err, p):
+    s2 = lambda q: err**2 * (0.45 / q + 0.55) + 4.5**2
+    return s2(p) / s2(1.0) * err**2
+
+
+def observations(spark, k, y, p):
+    return spark.createDataFrame([(float(v), 0.0, float(c), row.tolist()) for v, c, row in zip(y, p, k, strict=True)], "sat double, model double, obs_count double, k array<double>").repartition(5)
+
+
+def test_every_observation_error_has_its_own_weights(spark):
+    """A list of errors isn't a scaling: each member equals a run with its error alone, and the textbook's solve."""
+    k, y, p = ensemble_case()
+    lists = {"prior_err": [0.5, 0.8], "obs_err": [5.0, 10.0, 15.0], "gamma": [0.25, 1.0], "err_bc": [3.0], "err_oh": [0.2]}
+    e = inv.Elements(7, bc=True, oh=True)
+    members, solved = members_of(observations(spark, k, y, p), 7, 15.0, lists, e)
+    got = {}
+    for r in solved.collect():
+        got.setdefault(r["member"], {})[r["elem"]] = r
+    assert members.count() == 12 == len(got)
+    for m in members.collect():
+        w = 1 / variances_of(m["obs_err"], p)
+        s = inv.solve_gaussian((k * w[:, None]).T @ k, (k * w[:, None]).T @ y, e, *inv.prior_covariance(e, m["prior_err"], 3.0, 0.2), m["gamma"])
+        rows = [got[m["member"]][i] for i in range(1, 8)]
+        assert [r["xhat"] for r in rows] == pytest.approx(s.xhat) and m["ja"] == pytest.approx(s.ja) and m["dofs"] == pytest.approx(np.trace(s.a))
+        assert np.array([r["s_post"] for r in rows]) == pytest.approx(s.s_post) and np.array([r["kernel"] for r in rows]) == pytest.approx(s.a)
+    scaled = inv.solve_gaussian(*(x / 4 for x in ((k / variances_of(5.0, p)[:, None]).T @ k, (k / variances_of(5.0, p)[:, None]).T @ y)), e, *inv.prior_covariance(e, 0.5, 3.0, 0.2), 1.0)
+    ten = next(m["member"] for m in members.collect() if (m["prior_err"], m["obs_err"], m["gamma"]) == (0.5, 10.0, 1.0))
+    assert [got[ten][i]["xhat"] for i in range(1, 8)] != pytest.approx(scaled.xhat, abs=1e-4)
+    mean = ens.mean_matrix(solved, members)
+    good = [r["member"] for r in inv.qualified(members).collect()]
+    want = np.mean([[got[m][i]["s_post"] for i in range(1, 8)] for m in good], axis=0)
+    assert {(r["i"], r["j"]): r["value"] for r in mean.collect()} == pytest.approx({(i + 1, j + 1): want[i, j] for i in range(7) for j in range(7)})
+
+
+def test_lognormal_members_with_buffer_errors(spark):
+    k, y, p = ensemble_case(6, 9)
+    lists = {"gamma": [0.5, 1.0], "prior_err": [2.0], "obs_err": [10.0, 15.0], "err_bc": [1.0], "err_buffer": [0.3, 0.6], "err_oh": [0.3]}
+    e = inv.Elements(9, bc=True, oh=True)
+    members, solved = members_of(observations(spark, k, y, p), 9, 15.0, lists, e, lognormal=True, n_buffer=2)
+    rows = solved.collect()
+    start = np.array([1.0] * 4 + [0.0] * 4 + [1.0])
+    for m in members.collect():
+        mean, post, ja = direct_lognormal(k, y + k @ start, variances_of(m["obs_err"], p), 2, True, 1, 2.0, m["gamma"], m["err_buffer"], 1.0, 0.3)
+        mine = sorted((r for r in rows if r["member"] == m["member"]), key=lambda r: r["elem"])
+        assert [r["xhat"] for r in mine] == pytest.approx(mean) and np.array([r["s_post"] for r in mine]) == pytest.approx(post) and m["ja"] == pytest.approx(ja)
+    assert len({round(m["ja"], 9) for m in members.collect()}) == 8
+
+
+def test_full_prior_reaches_the_solve(spark):
+    k, y, p = ensemble_case(8, 6)
+    rng = np.random.default_rng(3)
+    places = spark.createDataFrame([(i + 1, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(30, 33, (4, 2)))], "elem int, lat double, lon double")
+    pairs = covariance.with_buffer(covariance.covariance_pairs(covariance.distinct_elements(places), 200.0), 4, 2)
+    c = covariance.correlation_matrix(pairs, 6)
+    assert c[4:, 4:].tolist() == np.eye(2).tolist() and not c[:4, 4:].any() and 0 < c[0, 1] < 1
+    w = 1 / variances_of(15.0, p)
+    ktk, kty = (k * w[:, None]).T @ k, (k * w[:, None]).T @ y
+    s = np.linalg.inv(ktk + np.linalg.inv(c * 0.25))
+    _, post = invert(observations(spark, k, y, p), 6, 15.0, {"prior_err": [0.5]}, correlation=c)
+    rows = post.orderBy("elem").collect()
+    assert [r["xhat"] for r in rows] == pytest.approx(1 + s @ kty) and [r["variance"] for r in rows] == pytest.approx(np.diag(s))
+    for size in (1, 2, 4, 6, 50):
+        entries = [(i + 1, j + 1, float(ktk[i, j])) for i in range(6) for j in range(6)] + [(i + 1, 0, float(kty[i])) for i in range(6)]
+        found = blocks.posterior_in_blocks(spark.createDataFrame(entries, "i int, j int, value double"), pairs.select("i", "j", (F.col("c") * 0.25).alias("value")), 6, 1.0, size).orderBy("elem").collect()
+        assert [r["xhat"] for r in found] == pytest.approx(1 + s @ kty) and [r["variance"] for r in found] == pytest.approx(np.diag(s))
+        assert [r["averaging_kernel"] for r in found] == pytest.approx(np.diag(np.eye(6) - s @ np.linalg.inv(c * 0.25)))
+
+
+def test_priors_that_cannot_be_are_refused(spark):
+    twice = spark.createDataFrame([(1, 30.0, 1.0), (1, 31.0, 1.0)], "elem int, lat double, lon double")
+    with pytest.raises(Exception, match="more than one row for element 1"):
+        covariance.covariance_pairs(covariance.distinct_elements(twice), 200.0).collect()
+    with pytest.raises(ValueError, match="element 2 has 0"):
+        covariance.correlation_matrix(spark.createDataFrame([(1, 1, 1.0)], "i long, j long, c double"), 2)
+    odd = spark.createDataFrame([(1, 1, 1.0), (1, 2, 2.0), (2, 1, 2.0), (2, 2, 1.0)], "i int, j int, value double")
+    with pytest.raises(ValueError, match="positive definite"):
+        blocks.inverse(blocks.to_blocks(odd, 2, 1), 2, 1, Saved(spark, "t"), "x")
