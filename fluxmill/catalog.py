@@ -302,9 +302,10 @@ def vertical_remap(spark: SparkSession, d: str) -> DataFrame:
     return o.select("pixel_id", cut(column, 6).alias("column_mean"), cut(F.col("p")[0], 6).alias("lowest"))
 
 
-@query("SELECT CAST(k + 1 AS INT) AS period, DATE '2018-05-01' + CAST(k * 7 AS INT) AS start, DATE '2018-05-01' + CAST(k * 7 + 7 AS INT) AS \"end\" FROM range(0, 4) t(k)")
+@query("SELECT CAST(k + 1 AS INT) AS period, a + CAST(k * 7 AS INT) AS start, a + CAST(k * 7 + 7 AS INT) AS \"end\" FROM (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) + 1 AS b FROM events), range(0, 1000) t(k) WHERE a + CAST(k * 7 + 7 AS INT) <= b")
 def kalman_periods(spark: SparkSession, d: str) -> DataFrame:
-    return kalman.make_periods(spark, date(2018, 5, 1), date(2018, 6, 1), 7)
+    span = view(spark, d, "pixel").agg(F.min(F.to_date("time")).alias("a"), F.date_add(F.max(F.to_date("time")), 1).alias("b")).first()
+    return kalman.make_periods(spark, span["a"], span["b"], 7)
 
 
 def _fold_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -312,15 +313,19 @@ def _fold_cells(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("elem").alias("cell_id"), (F.col("elem") % 9 + 1).cast("double").alias("flux"), F.lit(1.0).alias("area_m2"), (F.col("elem") % 4 != 0).alias("roi"))
 
 
-@query(f"""WITH c AS (SELECT s_suppkey AS cell_id, CAST(s_suppkey % 9 + 1 AS DOUBLE) AS flux, s_suppkey % 4 <> 0 AS roi, CAST(s_suppkey % 3 - CAST(0.5 AS DOUBLE) AS DOUBLE) AS l1, CAST(s_suppkey % 5 + 1 AS DOUBLE) / 3 AS l2 FROM supplier),
+@query(f"""{cte('emission')}, w AS (SELECT CAST(k + 1 AS INT) AS period, DATE '1993-01-01' + CAST(k * 500 AS INT) AS a, DATE '1993-01-01' + CAST(k * 500 + 500 AS INT) AS b FROM range(0, 3) t(k)),
+e AS (SELECT period, cell_id, sum(m) AS flux FROM (SELECT period, cell_id, sector, avg(flux) AS m FROM emission JOIN w ON date >= a AND date < b WHERE sector <> 'SoilAbsorb' GROUP BY ALL) GROUP BY ALL),
+c AS (SELECT s_suppkey AS cell_id, coalesce(f.flux, 0) AS flux, coalesce(g.flux, 0) AS flux2, s_suppkey % 4 <> 0 AS roi, CAST(s_suppkey % 3 - CAST(0.5 AS DOUBLE) AS DOUBLE) AS l1, CAST(s_suppkey % 5 + 1 AS DOUBLE) / 3 AS l2
+  FROM supplier LEFT JOIN e f ON f.cell_id = s_suppkey AND f.period = 1 LEFT JOIN e g ON g.cell_id = s_suppkey AND g.period = 2),
 n1 AS (SELECT *, flux * l1 AS post, 0.1::DOUBLE * flux + 0.9::DOUBLE * greatest(flux * l1, 0) AS nudged FROM c), s1 AS (SELECT sum(post) FILTER (roi) / sum(nudged) FILTER (roi) AS f FROM n1),
-p2 AS (SELECT cell_id, flux, roi, l2, CASE WHEN roi THEN nudged * f / flux ELSE 1 END AS sf FROM n1, s1), n2 AS (SELECT *, flux * l2 * sf AS post, 0.1::DOUBLE * flux + 0.9::DOUBLE * greatest(flux * l2 * sf, 0) AS nudged FROM p2), s2 AS (SELECT sum(post) FILTER (roi) / sum(nudged) FILTER (roi) AS f FROM n2)
-SELECT CAST(1 AS INT) AS period, cell_id, 1.0::DOUBLE AS sf FROM c UNION ALL SELECT 2, cell_id, {r('sf', 6)} FROM p2 UNION ALL SELECT 3, cell_id, {r('CASE WHEN roi THEN nudged * f / flux ELSE 1 END', 6)} FROM n2, s2""")
+p2 AS (SELECT cell_id, flux2, roi, l2, CASE WHEN roi AND flux <> 0 THEN nudged * f / flux ELSE 1 END AS sf FROM n1, s1), n2 AS (SELECT *, flux2 * l2 * sf AS post, 0.1::DOUBLE * flux2 + 0.9::DOUBLE * greatest(flux2 * l2 * sf, 0) AS nudged FROM p2), s2 AS (SELECT sum(post) FILTER (roi) / sum(nudged) FILTER (roi) AS f FROM n2)
+SELECT CAST(1 AS INT) AS period, cell_id, 1.0::DOUBLE AS sf FROM c UNION ALL SELECT 2, cell_id, {r('sf', 6)} FROM p2 UNION ALL SELECT 3, cell_id, {r('CASE WHEN roi AND flux2 <> 0 THEN nudged * f / flux2 ELSE 1 END', 6)} FROM n2, s2""")
 def kalman_fold(spark: SparkSession, d: str) -> DataFrame:
     cells = _fold_cells(spark, d)
     latest = [F.col("cell_id") % 3 - 0.5, (F.col("cell_id") % 5 + 1).cast("double") / 3.0, F.lit(1.0)]
     periods = cells.select("cell_id", F.posexplode(F.array(*(x.cast("double") for x in latest))).alias("p", "sf")).select((F.col("p") + 1).alias("period"), "cell_id", "sf")
-    return kalman.replay(periods, cells, 0.1).select("period", "cell_id", cut("sf", 6).alias("sf"))
+    fluxes = kalman.period_fluxes(view(spark, d, "emission"), kalman.make_periods(spark, date(1993, 1, 1), date(1997, 2, 9), 500))
+    return kalman.replay(periods, cells, fluxes, 0.1).select("period", "cell_id", cut("sf", 6).alias("sf"))
 
 
 @query(f"{cte('pixel')}, a AS (SELECT CAST(time AS DATE) AS day, sum(value) AS v FROM pixel GROUP BY 1) SELECT day, {r('avg(v) OVER (ORDER BY day ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)', 3)} AS smooth FROM a")

@@ -65,32 +65,47 @@ def test_osse_truth_has_mean_one(spark):
     assert noisy.agg(F.stddev("sat")).first()[0] == pytest.approx(0.2, rel=0.03)
 
 
-def replayed(flux, area, roi, posteriors, fraction):
-    sf = [np.ones(len(flux))]
-    for latest in posteriors:
-        post = flux * latest * sf[-1]
+def replayed(fluxes, area, roi, posteriors, fraction):
+    """Factors before each period; ``fluxes`` has a row for each period that ends."""
+    sf = [np.ones(len(area))]
+    for flux, p in zip(fluxes, posteriors):
+        post = flux * p * sf[-1]
         nudged = fraction * flux + (1 - fraction) * np.maximum(post, 0)
         scale = (post * area)[roi].sum() / (nudged * area)[roi].sum()
         sf.append(np.where(roi, nudged * scale / flux, 1.0))
     return sf
 
 
-def test_sixty_periods_replay_in_linear_plans(spark):
+def test_many_periods_replay_in_linear_plans(spark):
+    """Each period draws to its own emissions, which change from one to the next."""
     rng = np.random.default_rng(4)
-    flux, area, roi = rng.uniform(1, 5, 6), rng.uniform(1, 2, 6), np.array([True] * 5 + [False])
-    posteriors = rng.uniform(0.5, 1.5, (12, 6))
-    cells = spark.createDataFrame([(k, float(flux[k]), float(area[k]), bool(roi[k])) for k in range(6)], "cell_id int, flux double, area_m2 double, roi boolean")
-    periods = spark.createDataFrame([(p + 1, k, float(posteriors[p, k])) for p in range(12) for k in range(6)], "period int, cell_id int, sf double")
-    out = kalman.replay(periods, cells, 0.1)
+    fluxes, area, roi = rng.uniform(1, 5, (20, 6)), rng.uniform(1, 2, 6), np.array([True] * 5 + [False])
+    posteriors = rng.uniform(-0.2, 1.5, (20, 6))
+    cells = spark.createDataFrame([(k, float(area[k]), bool(roi[k])) for k in range(6)], "cell_id int, area_m2 double, roi boolean")
+    emission = spark.createDataFrame([(p + 1, k, float(fluxes[p, k])) for p in range(20) for k in range(6)], "period int, cell_id int, flux double").coalesce(1)
+    periods = spark.createDataFrame([(p + 1, k, float(posteriors[p, k])) for p in range(20) for k in range(6)], "period int, cell_id int, sf double").coalesce(1)
+    out = kalman.replay(periods, cells.coalesce(1), emission, 0.1)
     got = {(r["period"], r["cell_id"]): r["sf"] for r in out.collect()}
-    want = replayed(flux, area, roi, posteriors[:-1], 0.1)
-    assert all(got[p + 1, k] == pytest.approx(want[p][k]) for p in range(12) for k in range(6))
-    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    want = replayed(fluxes, area, roi, posteriors[:-1], 0.1)
+    assert len(got) == 120 and all(got[p + 1, k] == pytest.approx(want[p][k]) for p in range(20) for k in range(6))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("Union") == 0
+    one = replayed(np.tile(fluxes[0], (20, 1)), area, roi, posteriors[:-1], 0.1)
+    assert not np.allclose(one[-1], want[-1])
+
+
+def test_period_fluxes_leave_out_soil_and_change(spark):
+    rows = [("2020-01-01", 1, "Oil", 2.0), ("2020-01-02", 1, "Oil", 4.0), ("2020-01-01", 1, "SoilAbsorb", -9.0), ("2020-01-01", 1, "Total", 99.0), ("2020-01-03", 1, "Oil", 10.0), ("2020-01-03", 1, "Gas", 1.0)]
+    emission = spark.createDataFrame(rows, "date string, cell_id int, sector string, flux double").withColumn("date", F.to_date("date"))
+    periods = kalman.make_periods(spark, date(2020, 1, 1), date(2020, 1, 5), 2)
+    assert {r["period"]: r["flux"] for r in kalman.period_fluxes(emission, periods).collect()} == {1: 3.0, 2: 11.0}
 
 
 def test_a_stopped_run_goes_on_where_it_was(spark, tmp_path):
     cells = spark.createDataFrame([(k, 2.0, 1.0, True) for k in range(3)], "cell_id int, flux double, area_m2 double, roi boolean")
     periods = kalman.make_periods(spark, date(2020, 1, 1), date(2020, 1, 29), 7)
+    fluxes = np.array([[2.0, 1.0, 3.0], [1.0, 1.0, 4.0], [2.0, 5.0, 1.0], [1.0, 1.0, 1.0]])
+    emission = spark.createDataFrame([(p + 1, k, float(fluxes[p, k])) for p in range(4) for k in range(3)], "period int, cell_id int, flux double")
     calls = []
 
     def invert(p, bounds, prior):
@@ -99,13 +114,13 @@ def test_a_stopped_run_goes_on_where_it_was(spark, tmp_path):
         return prior.select("cell_id", (F.lit(1.0) + F.col("cell_id") / 10).alias("sf"))
 
     archive = f"file://{tmp_path}/archive"
-    kalman.run_periods(periods, cells, invert, 0.1, archive, last=2)
+    kalman.run_periods(periods, cells, emission, invert, 0.1, archive, last=2)
     assert kalman.resume_period(spark, archive, [1, 2, 3, 4], advance=True) == 3
     assert kalman.resume_period(spark, archive, [1, 2, 3, 4], advance=False) == 1
-    out = kalman.run_periods(periods, cells, invert, 0.1, archive)
+    out = kalman.run_periods(periods, cells, emission, invert, 0.1, archive)
     assert calls == [1, 2, 3, 4] and out.count() == 12
     got = {(r["period"], r["cell_id"]): r["prior_sf"] for r in out.collect()}
-    want = replayed(np.full(3, 2.0), np.ones(3), np.ones(3, bool), [np.array([1.0, 1.1, 1.2])] * 3, 0.1)
+    want = replayed(fluxes, np.ones(3), np.ones(3, bool), [np.array([1.0, 1.1, 1.2])] * 3, 0.1)
     assert all(got[p + 1, k] == pytest.approx(want[p][k]) for p in range(4) for k in range(3))
 
 
