@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as fs
 from .functions import vertical as fv
 from .functions.geo import box_overlap
-from .operators import boundary, covariance, emissions, inversion, kalman, plumes, quality, stations, statevector, superobs
+from .operators import boundary, clustering, covariance, emissions, inversion, kalman, plumes, quality, stations, statevector, superobs
 from .plans.adapters import cte, view
 from .sources import catalogue
 
@@ -453,4 +453,4 @@ def weight_table_regrid(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
     p = view(spark, d, "place").withColumn("sensitivity", (F.col("elem") % 11).cast("double") / 11.0)
-    return statevector.cluster(p, 8).select("elem", "cluster")
+    return clustering.cluster(p.withColumn("cell_id", F.col("elem")), 8).select("elem", "cluster")

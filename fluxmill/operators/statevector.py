@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import unit_sphere
-from ..sources.scratch import Saved
-
 #: Fixed value: radius in metres of the sphere of clustering features.
 RADIUS = 6378137.0
 
@@ -106,10 +103,10 @@ def shift_buffer(cells: DataFrame, by: int) -> DataFrame:
     return cells.withColumn("buffer_label", F.when(F.col("buffer_label") != 0, F.col("buffer_label") - by).otherwise(0))
 
 
-def top_clusters(cells: DataFrame, threshold: float) -> DataFrame:
-    """(label, sensitivity, n_cells) of the clusters whose sensitivities sum to the threshold, the most sensitive first."""
-    out = cells.filter("label >= 1").groupBy("label").agg(F.sum("sensitivity").alias("sensitivity"), F.count("*").alias("n_cells"))
-    return out.filter(F.col("sensitivity") >= threshold).orderBy(F.desc("sensitivity"), "label")
+def top_clusters(cells: DataFrame, threshold: float, n: int | None = None) -> DataFrame:
+    """(label, sensitivity, n_cells) of the clusters whose sensitivities sum to the threshold; with ``n`` only the most sensitive n, the least label on ties."""
+    out = cells.filter("label >= 1").groupBy("label").agg(F.sum("sensitivity").alias("sensitivity"), F.count("*").alias("n_cells")).filter(F.col("sensitivity") >= threshold)
+    return out if n is None else out.orderBy(F.desc("sensitivity"), "label").limit(n)
 
 
 def last_roi_element(cells: DataFrame, rings: int, extra: int = 4) -> DataFrame:
@@ -120,55 +117,9 @@ def last_roi_element(cells: DataFrame, rings: int, extra: int = 4) -> DataFrame:
     return cells.join(F.broadcast(edge)).filter(inner).agg(F.max("label").alias("last"))
 
 
-def cluster(cells: DataFrame, k: int, weights: tuple[float, ...] = (10.0, 10.0, 10.0, 1.0), seed: int = 0) -> DataFrame:
-    """Labels 1..k of k-means over place on the sphere and sensitivity, standardized and weighted; null where there is no sensitivity."""
-    x, y, z = unit_sphere(F.col("lat"), F.col("lon"), RADIUS)
-    unknown = cells.filter("sensitivity is null").withColumn("cluster", F.lit(None).cast("int"))
-    rows = cells.filter("sensitivity is not null").withColumns({"_x": x, "_y": y, "_z": z}).withColumn("_s", F.col("sensitivity").cast("double"))
-    names = ["_x", "_y", "_z", "_s"]
-    rows = VectorAssembler(inputCols=names, outputCol="_raw").transform(rows)
-    rows = StandardScaler(inputCol="_raw", outputCol="_std", withMean=True).fit(rows).transform(rows)
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    scaled = F.zip_with(vector_to_array("_std"), F.array(*map(F.lit, weights)), lambda a, w: a * w)
-    rows = rows.withColumn("_f", array_to_vector(scaled))
-    model = KMeans(k=k, seed=seed, featuresCol="_f", predictionCol="_c").fit(rows)
-    return model.transform(rows).withColumn("cluster", F.col("_c") + 1).drop(*names, "_raw", "_std", "_f", "_c").unionByName(unknown)
-
-
 def cluster_buffer(cells: DataFrame, offset: int, divisor: int = 4, clusters: int | None = None, seed: int = 0) -> DataFrame:
     """Buffer cells in n // divisor clusters by place, numbered after ``offset``."""
     k = max(2, clusters or cells.count() // divisor)
     rows = VectorAssembler(inputCols=["lon", "lat"], outputCol="_f").transform(cells)
     model = KMeans(k=k, seed=seed, featuresCol="_f", predictionCol="_c").fit(rows)
     return model.transform(rows).withColumn("label", F.col("_c") + 1 + offset).drop("_f", "_c")
-
-
-def aggregate_clusters(cells: DataFrame, n_elements: int, threshold: float, max_level: int = 4, seed: int = 0) -> DataFrame:
-    """Elements by levels: cells that inform enough stay native, the rest are joined in coarser and coarser clusters.
-
-    ``cells(cell_id, lat, lon, sensitivity)``; level by level, the clusters whose
-    sensitivities sum to the threshold are kept, and what is left at the end
-    fills the remaining elements. Cells without a sensitivity are no elements.
-    """
-    cells = cells.filter("sensitivity is not null")
-    save = Saved(cells.sparkSession, "clusters")
-    left, kept, used = cells, None, 0
-    for level in range(max_level):
-        size, n = 2**level, left.count()
-        k = n // size
-        if k < 2 or used >= n_elements - 1:
-            break
-        rows = left.withColumn("cluster", F.row_number().over(Window.orderBy("cell_id"))) if size == 1 else cluster(left, k, seed=seed)
-        totals = rows.groupBy("cluster").agg(F.sum("sensitivity").alias("t")).filter(F.col("t") >= threshold)
-        best = totals.orderBy(F.desc("t"), "cluster").limit(n_elements - 1 - used)
-        numbered = best.withColumn("label", F.row_number().over(Window.orderBy(F.desc("t"), "cluster")) + used).select("cluster", "label")
-        taken = rows.join(numbered, "cluster").select(*cells.columns, "label")
-        taken = save(taken, f"taken-{level}")
-        left = save(left.join(taken.select("cell_id"), "cell_id", "left_anti"), f"left-{level}")
-        kept = taken if kept is None else kept.unionByName(taken)
-        used = kept.agg(F.coalesce(F.max("label"), F.lit(0))).first()[0]
-    room, n = n_elements - used, left.count()
-    rest = cluster(left, min(room, n), seed=seed) if min(room, n) > 1 else left.withColumn("cluster", F.lit(1))
-    rest = rest.select(*cells.columns, (F.col("cluster") + used).alias("label"))
-    return rest if kept is None else kept.unionByName(rest)

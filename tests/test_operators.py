@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import numpy as np
 from fluxmill.functions.geo import clipped_areas, point_in_polygon
-from fluxmill.operators import boundary, emissions, kalman, plumes, quality, statevector, superobs
+from fluxmill.operators import boundary, clustering, emissions, kalman, plumes, quality, statevector, superobs
 from fluxmill.plans import config
 from fluxmill.sources import catalogue
 
@@ -84,7 +84,7 @@ def test_numbering_and_clusters(spark):
     cells = spark.createDataFrame([(j * 3 + i, i, j, float(j), float(i), 0.1 * i) for i in range(3) for j in range(3)], "cell_id long, i int, j int, lat double, lon double, sensitivity double")
     got = {(r["i"], r["j"]): r["label"] for r in statevector.number_cells(cells).collect()}
     assert (got[0, 0], got[2, 2]) == (9, 1)
-    assert statevector.cluster(cells, 3).select("cluster").distinct().count() == 3
+    assert clustering.cluster(cells, 3).select("cluster").distinct().count() == 3
 
 
 def test_config():

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxmill.functions import geo, scalars
-from fluxmill.operators import boundary, emissions, kalman, observation, plumes, preview, statevector, statistics
+from fluxmill.operators import boundary, clustering, emissions, kalman, observation, plumes, preview, statevector, statistics
 from fluxmill.plans import config
 from fluxmill.sources import catalogue, readers, sinks
 
@@ -126,10 +126,8 @@ def test_a_stopped_run_goes_on_where_it_was(spark, tmp_path):
 
 def test_state_vector_helpers(spark):
     cells = spark.createDataFrame([(k, 30 + k * 0.25, -100.0, None if k == 0 else float(k), 1 + k // 3) for k in range(12)], "cell_id int, lat double, lon double, sensitivity double, label int")
-    clusters = statevector.cluster(cells, 3).collect()
+    clusters = clustering.cluster(cells, 3).collect()
     assert len(clusters) == 12 and [r["cell_id"] for r in clusters if r["cluster"] is None] == [0]
-    levels = statevector.aggregate_clusters(cells.drop("label"), 5, 9.0)
-    assert levels.count() == 11 and levels.agg(F.max("label")).first()[0] <= 5
     statevector.contained((-100, -100, 30, 32), cells)
     with pytest.raises(ValueError, match="reaches beyond"):
         statevector.contained((-101, -100, 30, 32), cells)
