@@ -216,15 +216,6 @@ def jacobian_fd(spark: SparkSession, d: str) -> DataFrame:
     return inversion.finite_difference(base, runs, steps).select("obs_id", "elem", cut("k", 5).alias("k"))
 
 
-@query(f"""WITH g AS (SELECT CAST(pi * 6 + oi * 3 + gi AS INT) AS member, p, o, g FROM (VALUES (0, 0.5), (1, 0.75)) a(pi, p), (VALUES (0, 10.0), (1, 15.0)) b(oi, o), (VALUES (0, 0.25), (1, 0.5), (2, 1.0)) c(gi, g)),
-j AS (SELECT member, CAST(p AS DOUBLE) AS prior_err, CAST(o AS DOUBLE) AS obs_err, CAST(g AS DOUBLE) AS gamma, CAST(g AS DOUBLE) * 30 / (CAST(p AS DOUBLE) * CAST(o AS DOUBLE)) AS ja FROM g)
-SELECT member, prior_err, obs_err, gamma, {r('ja', 6)} AS ja FROM j WHERE ja BETWEEN 0.5 AND 2.0 OR NOT EXISTS (SELECT 1 FROM j WHERE ja BETWEEN 0.5 AND 2.0)""")
-def ensemble_grid(spark: SparkSession, d: str) -> DataFrame:
-    grid = inversion.hyper_grid(spark, prior_err=[0.5, 0.75], obs_err=[10.0, 15.0], gamma=[0.25, 0.5, 1.0])
-    members = grid.withColumn("ja", F.col("gamma") * 30 / (F.col("prior_err") * F.col("obs_err")))
-    return inversion.qualified(members).select("member", "prior_err", "obs_err", "gamma", cut("ja", 6).alias("ja"))
-
-
 @query(f"""{cte('place')} SELECT elem, CAST(CASE WHEN abs(lat - (30 + CAST(0.5 AS DOUBLE) * i)) < 0.5 THEN i END AS INT) AS i FROM (SELECT elem, lat, greatest(0, least(15, ceil((lat - 30) / CAST(0.5 AS DOUBLE) - CAST(0.5 AS DOUBLE)))) AS i FROM place)""")
 def nearest_cell(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "place").select("elem", fs.nearest_index(F.col("lat"), 30.0, 0.5, 16, 0.5).alias("i"))

@@ -89,15 +89,20 @@ def scaled_jacobian(spark: SparkSession, d: str) -> DataFrame:
 # -- priors and posteriors ------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH c AS (SELECT * FROM (VALUES (1, 1), (0, 2)) t(regional, n_oh)), e AS (SELECT *, CAST(g AS INT) AS elem FROM c, range(1, 10) u(g)),
-s AS (SELECT regional, n_oh, elem, CASE WHEN elem > 9 - n_oh THEN 0.04::DOUBLE WHEN elem > 5 - n_oh THEN {D('100')} ELSE 0.25::DOUBLE END AS v FROM e)
-SELECT regional = 1 AS regional, elem, {r('v', 6)} AS variance, {r('CASE WHEN elem > 9 - n_oh THEN v * n_oh / (9 - n_oh) ELSE v END', 6)} AS step_variance FROM s""")
+@query(f"""{cte('emission')}, t AS (SELECT label, avg(flux) AS f, avg(CASE WHEN sector = 'SoilAbsorb' THEN flux ELSE 0 END) AS s, avg(CASE WHEN sector <> 'SoilAbsorb' THEN flux ELSE 0 END) AS e FROM emission GROUP BY label),
+g AS (SELECT label, power(sqrt(power(e * 0.5::DOUBLE, 2) + power(s * 0.3::DOUBLE, 2)) / abs(f), 2) AS v FROM t), m AS (SELECT max(label) AS n FROM t), c(regional, n_oh) AS (VALUES (1, 1), (0, 2)),
+e AS (SELECT regional, n_oh, label AS elem, v FROM g, c UNION ALL SELECT regional, n_oh, n + b, {D('100')} FROM m, c, range(1, 5) u(b) UNION ALL SELECT regional, n_oh, n + 4 + o, {D('0.04')} FROM m, c, range(1, 3) u(o) WHERE o <= n_oh)
+SELECT regional = 1 AS regional, CAST(elem AS INT) AS elem, {r('v', 6)} AS variance, {r('CASE WHEN elem > n + 4 THEN v * n_oh / (n + 4) ELSE v END', 6)} AS step_variance FROM e, m""")
 def prior_variances(spark: SparkSession, d: str) -> DataFrame:
+    """Variances of emission elements whose errors know the soil sink, with boundary and hydroxyl elements after them."""
+    soil = F.when(F.col("sector") == emissions.SOIL, F.col("flux")).otherwise(0.0)
+    cells = view(spark, d, "emission").select("label", "flux", soil.alias("soil"), (F.col("flux") - soil).alias("flux_no_soil"))
+    errors = [x["error"] for x in emissions.soil_aware_error(cells, 0.5, 0.3).orderBy("label").collect()]  # one an element
     rows = []
     for regional in (True, False):
-        e = inversion.Elements(9, bc=True, oh=True, regional=regional)
-        cov, solve = inversion.prior_covariance(e, 0.5, 10.0, 0.2)
-        rows += [(regional, k + 1, float(cov[k, k]), float(solve[k, k])) for k in range(9)]
+        e = inversion.Elements(len(errors) + 4 + (1 if regional else 2), bc=True, oh=True, regional=regional)
+        cov, solve = inversion.prior_covariance(e, np.array(errors + [0.0] * (e.n - len(errors))), 10.0, 0.2)
+        rows += [(regional, k + 1, float(cov[k, k]), float(solve[k, k])) for k in range(e.n)]
     df = spark.createDataFrame(rows, "regional boolean, elem int, variance double, step_variance double")
     return df.select("regional", "elem", cut("variance", 6).alias("variance"), cut("step_variance", 6).alias("step_variance"))
 
@@ -122,10 +127,9 @@ def gaussian_posterior_oh(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{cte('emission')}, g AS (SELECT CASE WHEN sector IN ('Landfills', 'Wastewater') THEN 'Waste' WHEN sector IN ('Oil', 'Gas') THEN 'Oil/Gas' ELSE sector END AS "group", label, sum(flux * area_m2) AS x FROM emission WHERE sector <> 'SoilAbsorb' GROUP BY ALL),
 w AS (SELECT "group", label, x / sum(x) OVER (PARTITION BY "group") AS w FROM g) SELECT a."group" AS a, b."group" AS b, {r('sum(a.w * b.w * a.label)', 6)} AS value FROM w a JOIN w b USING (label) GROUP BY ALL""")
 def reduced_by_sector(spark: SparkSession, d: str) -> DataFrame:
-    found = emissions.sector_weights(view(spark, d, "emission")).toPandas().pivot(index="group", columns="label", values="weight").fillna(0.0).sort_index()
-    m = inversion.reduce_by_sector(np.diag(found.columns.to_numpy(float)), found.to_numpy())
-    rows = [(a, b, float(m[i, j])) for i, a in enumerate(found.index) for j, b in enumerate(found.index)]
-    return spark.createDataFrame(rows, "a string, b string, value double").select("a", "b", cut("value", 6).alias("value"))
+    weights = emissions.sector_weights(view(spark, d, "emission"))
+    matrix = weights.select("label").distinct().select(F.col("label").alias("i"), F.col("label").alias("j"), F.col("label").cast("double").alias("value"))
+    return inversion.reduced_by_sector(weights, matrix).select("a", "b", cut("value", 6).alias("value"))
 
 
 @query(f"""{cte('emission')}, t AS (SELECT label, avg(flux) AS f, avg(CASE WHEN sector = 'SoilAbsorb' THEN flux ELSE 0 END) AS s, avg(CASE WHEN sector <> 'SoilAbsorb' THEN flux ELSE 0 END) AS e FROM emission GROUP BY label)
@@ -219,9 +223,9 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*(c if t == "string" else cut(c).alias(c) for c, t in out.dtypes))
 
 
-@query(f"{cte('pixel', 'place')} SELECT i AS site FROM pixel WHERE j < 5 INTERSECT SELECT elem % 30 FROM place")
+@query(f"{cte('pixel', 'place')} SELECT i AS site FROM pixel INTERSECT SELECT elem % 30 FROM place")
 def shared_sites(spark: SparkSession, d: str) -> DataFrame:
-    a = view(spark, d, "pixel").filter("j < 5").select(F.col("i").alias("site"))
+    a = view(spark, d, "pixel").select(F.col("i").alias("site"))
     return statistics.shared_sites(a, view(spark, d, "place").select((F.col("elem") % 30).alias("site")))
 
 
@@ -231,23 +235,23 @@ def first_by_place(spark: SparkSession, d: str) -> DataFrame:
     return out.select("kind", "pixel_id", cut("value", 6).alias("value"))
 
 
-@query(f"""{cte('place')}, p AS (SELECT elem, CAST(round_even(lat * 4, 0) AS BIGINT) AS y, CAST(round_even(lon * 4, 0) AS BIGINT) AS x FROM place WHERE elem % 2 = 0), e AS (SELECT min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM p),
+@query(f"""{cte('place')}, p AS (SELECT elem, CAST(round_even(lat * 4, 0) AS BIGINT) AS y, CAST(round_even(lon * 4, 0) AS BIGINT) AS x FROM place), e AS (SELECT min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM p),
 l AS (SELECT y, x FROM (SELECT unnest(generate_series(y0, y1)) AS y FROM e), (SELECT unnest(generate_series(x0, x1)) AS x FROM e)) SELECT {r('l.y * 0.25::DOUBLE', 2)} AS lat, {r('l.x * 0.25::DOUBLE', 2)} AS lon, count(elem) AS n FROM l LEFT JOIN p USING (y, x) GROUP BY ALL""")
 def dense_lattice(spark: SparkSession, d: str) -> DataFrame:
-    rows = view(spark, d, "place").filter("elem % 2 = 0").select("lat", "lon", "elem")
+    rows = view(spark, d, "place").select("lat", "lon", "elem")
     out = statistics.on_lattice(rows, 0.25)
     return out.groupBy(cut("lat", 2).alias("lat"), cut("lon", 2).alias("lon")).agg(F.count("elem").alias("n"))
 
 
 # -- previews -------------------------------------------------------------------------------------------------------------
 
-_ELEMENTS = f"""{cte('emission', 'pixel')}, c AS (SELECT i % 12 + 1 AS label, count(*) AS n_obs, count(DISTINCT CAST(time AS DATE)) AS n_superobs FROM pixel WHERE i % 12 < 10 GROUP BY 1),
+_ELEMENTS = f"""{cte('emission', 'pixel')}, c AS (SELECT i % 10 + 1 AS label, count(*) AS n_obs, count(DISTINCT CAST(time AS DATE)) AS n_superobs FROM pixel GROUP BY 1),
 g AS (SELECT label, sum(flux * area_m2 * {D('31536000')} * {D('1e-9')}) AS em, count(*) AS n_cells FROM emission WHERE label >= 1 GROUP BY label),
 s AS (SELECT label, em, n_cells, 25000::DOUBLE * n_cells AS len, coalesce(n_obs, 0) AS n_obs, coalesce(n_superobs, 0) AS n_superobs FROM g LEFT JOIN c USING (label))"""
 
 
 def _elements(spark: SparkSession, d: str) -> DataFrame:
-    counts = view(spark, d, "pixel").filter("i % 12 < 10").groupBy((F.col("i") % 12 + 1).alias("label")).agg(F.count("*").alias("n_obs"), F.count_distinct(F.to_date("time")).alias("n_superobs"))
+    counts = view(spark, d, "pixel").groupBy((F.col("i") % 10 + 1).alias("label")).agg(F.count("*").alias("n_obs"), F.count_distinct(F.to_date("time")).alias("n_superobs"))
     return preview.element_summary(view(spark, d, "emission"), counts, preview.LENGTHS["0.25x0.3125"])
 
 
@@ -552,10 +556,13 @@ def interpolated_levels(spark: SparkSession, d: str) -> DataFrame:
     return out.select("pixel_id", *(cut(F.col("x")[k], 5).alias(f"l{k + 1}") for k in range(4)))
 
 
-@query("SELECT CAST(y * 100 + m * 10 AS INT) AS step, CAST(y AS INT) AS years, CAST(m AS INT) AS months, CAST(5 AS INT) AS days FROM range(0, 3) a(y), range(0, 3) b(m)")
+@query(f"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, min(CAST(o_orderdate AS DATE)) OVER () AS s FROM orders), m AS (SELECT *, (year(d) - year(s)) * 12 + month(d) - month(s) - CASE WHEN day(d) < day(s) THEN 1 ELSE 0 END AS n FROM o)
+SELECT o_orderkey, CAST(n // 12 AS INT) AS years, CAST(n % 12 AS INT) AS months, CAST(CASE WHEN day(d) >= day(s) THEN day(d) - day(s) ELSE day(d) - day(s) + day(last_day(CAST(date_trunc('month', s) AS DATE) + to_months(CAST(n AS INT)))) END AS INT) AS days FROM m""")
 def run_durations(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(100 * y + 10 * m, *fs.run_duration(date(2018, 2, 10), date(2018 + y, 2 + m, 15))) for y in range(3) for m in range(3)]
-    return spark.createDataFrame(rows, "step int, years int, months int, days int")
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.to_date("o_orderdate").alias("end"))
+    first = orders.agg(F.min("end").alias("start"))
+    spans = orders.join(F.broadcast(first)).select("o_orderkey", fs.run_duration_columns(F.col("start"), F.col("end")).alias("s"))
+    return spans.select("o_orderkey", "s.*")
 
 
 @query(f"{cte('pixel')}, e AS (SELECT DISTINCT CAST(j AS INT) AS elem FROM pixel) SELECT elem, CAST(pos AS INT) AS side, CASE WHEN elem % 4 = pos THEN {D('10')} ELSE {D('0')} END AS value FROM e, range(0, 4) t(pos)")
@@ -576,7 +583,7 @@ def preview_pixels(spark: SparkSession, d: str) -> DataFrame:
     return preview.observed(px)
 
 
-@query(f"{cte('pixel')} SELECT pixel_id FROM pixel WHERE time >= TIMESTAMP '2024-01-05' AND time < TIMESTAMP '2024-01-06'")
+@query(f"{cte('pixel')} SELECT pixel_id FROM pixel WHERE CAST(time AS DATE) = (SELECT min(CAST(time AS DATE)) FROM pixel)")
 def first_times(spark: SparkSession, d: str) -> DataFrame:
-    px = view(spark, d, "pixel").filter("time >= timestamp '2024-01-05'").withColumn("time", F.to_date("time"))
+    px = view(spark, d, "pixel").withColumn("time", F.to_date("time"))
     return sinks.first_time_only(px, "time").filter("time is not null").select("pixel_id")

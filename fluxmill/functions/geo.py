@@ -50,22 +50,6 @@ def overlap_area(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Ser
         yield pd.Series(clipped_areas(_corners(lon, width), _corners(lat, width), *(b.to_numpy(float) for b in box)))
 
 
-@F.pandas_udf(T.BooleanType())
-def point_in_polygon(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Whether (x, y) lies strictly within the ring (px, py), by crossing number."""
-    for x, y, px, py in batches:
-        out = []
-        for a, b, u, v in zip(x, y, px, py, strict=True):
-            u, v = np.asarray(u, float), np.asarray(v, float)
-            u2, v2 = np.roll(u, -1), np.roll(v, -1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cross = ((v > b) != (v2 > b)) & (a < (u2 - u) * (b - v) / (v2 - v) + u)
-            side = (u2 - u) * (b - v) - (v2 - v) * (a - u)
-            on = (np.abs(side) < 1e-12) & (np.minimum(u, u2) <= a) & (a <= np.maximum(u, u2)) & (np.minimum(v, v2) <= b) & (b <= np.maximum(v, v2))
-            out.append(bool(cross.sum() % 2) and not on.any())
-        yield pd.Series(out)
-
-
 def cell_area_m2(lat: Column, dlat: float, dlon: float, radius: float = 6371000.0) -> Column:
     """Area of a latitude-longitude cell on the sphere."""
     top, bottom = F.radians(lat + dlat / 2), F.radians(lat - dlat / 2)

@@ -139,6 +139,15 @@ def run_duration(start: date, end: date) -> tuple[int, int, int]:
     return months // 12, months % 12, days
 
 
+def run_duration_columns(start: Column, end: Column) -> Column:
+    """``run_duration`` as a struct of columns (years, months, days)."""
+    short = F.day(end) < F.day(start)
+    n = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start) - short.cast("int")
+    borrowed = F.day(F.last_day(F.add_months(F.trunc(start, "month"), n)))
+    days = F.day(end) - F.day(start) + F.when(short, borrowed).otherwise(0)
+    return F.struct(F.floor(n / 12).cast("int").alias("years"), F.pmod(n, F.lit(12)).cast("int").alias("months"), days.cast("int").alias("days"))
+
+
 def boundary_perturbation(element: Column, last: int, value: float) -> Column:
     """North, south, east and west: ``value`` at the side that element modulo last + 1 names, else 0."""
     return F.array(*(F.when(element % (last + 1) == k, float(value)).otherwise(0.0) for k in range(4)))

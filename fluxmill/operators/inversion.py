@@ -241,6 +241,16 @@ def reduce_by_sector(matrix: np.ndarray, w: np.ndarray, pseudo: bool = False) ->
     return out @ np.linalg.pinv(w @ w.T) if pseudo else out
 
 
+def reduced_by_sector(weights: DataFrame, matrix: DataFrame) -> DataFrame:
+    """(a, b, value) of W M W' for ``weights(group, label, weight)`` and ``matrix(i, j, value)``: two joins, with sums by group before the second."""
+    left = weights.select(F.col("group").alias("a"), F.col("label").alias("i"), F.col("weight").alias("wa"))
+    right = weights.select(F.col("group").alias("b"), F.col("label").alias("j"), F.col("weight").alias("wb"))
+    half = matrix.join(left, "i").groupBy("a", "j").agg(F.sum(F.col("wa") * F.col("value")).alias("value"))
+    out = half.join(right, "j").groupBy("a", "b").agg(F.sum(F.col("wb") * F.col("value")).alias("value"))
+    # zero entries of W leave out pairs of groups that share no element
+    return weights.select(F.col("group").alias("a")).distinct().join(weights.select(F.col("group").alias("b")).distinct()).join(out, ["a", "b"], "left").select("a", "b", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def to_correlation(cov: DataFrame) -> DataFrame:
     """(i, j, c) over the roots of its diagonal; null where that is 0."""
     d = cov.filter("i = j").select(F.col("i").alias("k"), F.sqrt("c").alias("s"))

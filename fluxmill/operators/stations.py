@@ -45,3 +45,15 @@ def rolling_days(df: DataFrame, key: list[str], time: str, value: str, days: int
 
 def high_sites(obs: DataFrame, limit: float = 2000.0) -> DataFrame:
     return obs.filter(F.col("gc") > limit).select("site").distinct()
+
+
+def band_means(obs: DataFrame, place: str, edges: list[float], period: Column) -> DataFrame:
+    """(band, period, op, gc, n): means by bands (a, b] of ``place`` and by ``period``, a named column; rows outside the bands go."""
+    rows = obs.select(half_open_bin(F.col(place), edges).alias("band"), period, "op", "gc").filter("band is not null")
+    return rows.groupBy("band", rows.columns[1]).agg(F.avg("op").alias("op"), F.avg("gc").alias("gc"), F.count("*").alias("n"))
+
+
+def site_means(obs: DataFrame, period: Column) -> DataFrame:
+    """(site, period, op, gc, n)."""
+    rows = obs.select("site", period, "op", "gc")
+    return rows.groupBy("site", rows.columns[1]).agg(F.avg("op").alias("op"), F.avg("gc").alias("gc"), F.count("*").alias("n"))

@@ -58,3 +58,22 @@ def log_paths(lines: DataFrame) -> DataFrame:
     """(path, found) from a dry run's log: paths that were opened, and those required but not found."""
     path = F.regexp_extract("value", r"(/\S+\.nc4?)", 1)
     return lines.select(path.alias("path"), (~F.lower("value").contains("not found")).alias("found")).filter("path <> ''").groupBy("path").agg(F.max("found").alias("found"))
+
+
+def with_reference(targets: DataFrame, references: DataFrame, value: str = "path") -> DataFrame:
+    """``targets(orbit, ...)`` with ``reference``, the ``value`` of the one row of ``references(orbit, value)`` of their orbit.
+
+    Orbits are numbers, so 00012 and 12 are the same. More than one reference
+    for an orbit raises; a target without one has null, and ``unreferenced``
+    names them.
+    """
+    number = lambda df: df.withColumn("_o", F.col("orbit").cast("long"))
+    one = number(references).groupBy("_o").agg(F.count("*").alias("_n"), F.min(value).alias("_r"))
+    told = F.raise_error(F.concat(F.lit("more than one reference for orbit "), F.col("_o").cast("string"))).cast(references.schema[value].dataType)
+    one = one.select("_o", F.when(F.col("_n") == 1, F.col("_r")).otherwise(told).alias("reference"))
+    return number(targets).join(one, "_o", "left").drop("_o")
+
+
+def unreferenced(paired: DataFrame) -> DataFrame:
+    """Distinct orbits of ``with_reference`` that have no reference."""
+    return paired.filter("reference is null").select("orbit").distinct()

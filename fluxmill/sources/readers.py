@@ -77,6 +77,44 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return found.select(place[0].cast("double").alias("lon"), place[1].cast("double").alias("lat"), "f.properties.*")
 
 
+def read_polygons(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """(poly_id, rings) of a GeoJSON's polygons, a row for each part of a multipolygon; other shapes are left out.
+
+    ``poly_id`` is the property ``name``, or the feature's number. A file is a
+    collection, or has a feature a line.
+    """
+    feature = "geometry:struct<type:string,coordinates:string>,properties:map<string,string>"
+    schema = f"{feature.replace('geometry:', 'geometry ').replace(',properties:', ', properties ')}, features array<struct<{feature}>>"
+    lines, whole = (spark.read.schema(schema).option("multiLine", many).json(path) for many in (False, True))
+    whole = whole.select(F.explode("features").alias("f")).select("f.*")
+    found = lines.select("geometry", "properties") if lines.filter("geometry is not null").limit(1).count() else whole
+    found = found.withColumn("poly_id", F.col("properties")[name] if name else F.monotonically_increasing_id().cast("string"))
+    one = F.array(F.from_json("geometry.coordinates", "array<array<array<double>>>"))
+    many = F.from_json("geometry.coordinates", "array<array<array<array<double>>>>")
+    parts = F.when(F.col("geometry.type") == "Polygon", one).when(F.col("geometry.type") == "MultiPolygon", many)
+    return found.select("poly_id", F.explode(parts).alias("rings"))
+
+
+def readable(spark: SparkSession, paths: list[str], at_once: int = 8) -> tuple[list[str], dict[str, str]]:
+    """Those of ``paths`` that can be read to their end, and why each other can't; a broken file stops nothing.
+
+    Every file is scanned by a job of its own, some at once: a corrupt page
+    within a file shows only when it is decoded.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def problem(path: str) -> str | None:
+        try:
+            spark.read.parquet(path).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # whatever a reader raises is the file's report
+            return str(e).split("\n")[0][:300]
+        return None
+
+    with ThreadPoolExecutor(at_once) as pool:
+        found = dict(zip(paths, pool.map(problem, paths), strict=True))
+    return [p for p in paths if found[p] is None], {p: why for p, why in found.items() if why is not None}
+
+
 #: Named point-source readers; each takes (spark, path) and gives the plume layout.
 PLUME_SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 

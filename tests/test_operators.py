@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import numpy as np
-from fluxmill.functions.geo import clipped_areas, point_in_polygon
+from fluxmill.functions.geo import clipped_areas
 from fluxmill.operators import boundary, clustering, emissions, kalman, plumes, quality, statevector, superobs
 from fluxmill.plans import config
 from fluxmill.sources import catalogue
@@ -30,12 +30,6 @@ def test_superobservations_share_a_pixel_by_area(spark):
     assert out[0]["hour_key"] == "20240101_00"
 
 
-def test_points_in_polygon_are_strictly_inside(spark):
-    df = spark.createDataFrame([(0.5, 0.5), (1.0, 0.5), (2.0, 2.0)], "x double, y double")
-    ring = [F.array(*map(F.lit, v)) for v in ((0.0, 1.0, 1.0, 0.0), (0.0, 0.0, 1.0, 1.0))]
-    assert [r[0] for r in df.select(point_in_polygon("x", "y", *ring)).collect()] == [True, False, False]
-
-
 def test_unknown_product_is_an_error(spark):
     with pytest.raises(ValueError, match="unknown satellite product"):
         quality.read_and_filter(spark.range(1), "Other", None, None, (0, 1), (0, 1))

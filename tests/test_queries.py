@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from fluxmill import catalog, catalog_runs  # noqa: F401
+from fluxmill import catalog, catalog_more, catalog_runs  # noqa: F401
 
 SF = Path("/root/testdata/sf0.001")
 
