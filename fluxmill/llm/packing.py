@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .texts import bounded_batches, pieces
 
 
@@ -250,42 +251,137 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return examples.select(*columns).mapInArrow(run, "example_id long, sequence_id long, offset long")
 
 
-def pack_turns(turns: DataFrame, tokenizer_path: str, limits: Limits = Limits(segments=24, loss=1024), loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """(conv_id, turn, start, length, loss, sequence_id, offset): turns of conversations, packed under all three limits.
+def _counted(path: str):
+    """Rows with the number of their ids."""
 
-    ``turns(conv_id, turn, role, text)``. A turn's tokens bear loss if its role is
-    one of ``loss_roles``. A turn over a limit is cut into pieces that fit;
-    others stay whole. Each task tokenizes and packs what it reads; nothing is
-    shuffled. Null, empty and wordless texts have no token and no piece; rows
-    that repeat a turn are packed one by one; other columns are not read.
-    """
-    schema = "conv_id long, turn long, start long, length long, loss long, sequence_id long, offset long"
-    names = [x.split()[0] for x in schema.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path)
+        for part in chain.from_iterable(map(pieces, batches)):
+            n = [len(found) // 4 for found in encode([t or "" for t in part.column("text").to_pylist()])]
+            yield pa.record_batch([part.column("conv_id"), part.column("turn"), part.column("bears"), pa.array(n, pa.int64())], names=["conv_id", "turn", "bears", "n"])
+
+    return run
+
+
+def exchanges(turns: list[tuple]) -> Iterator[list[tuple]]:
+    """Runs of ``turns(turn, n, loss)`` that end with the last loss-bearing one in a row: answers with all that they answer."""
+    held: list[tuple] = []
+    for t in turns:
+        if held and held[-1][2] and not t[2]:
+            yield held
+            held = []
+        held.append(t)
+    if held:
+        yield held
+
+
+def within_limits(turns: list[tuple], limits: Limits) -> Iterator[list[tuple]]:
+    """A conversation's ``turns(turn, n, loss)`` in examples (turn, start, n, loss) that fit: whole if it does, else cut between exchanges, and only an exchange over a limit between or within turns."""
+    total = lambda part: (sum(t[1] for t in part), sum(t[2] for t in part))
+    fits = lambda part: total(part)[0] <= limits.tokens and total(part)[1] <= limits.loss
+    if fits(turns):
+        yield [(t, 0, n, loss) for t, n, loss in turns]
+        return
+    held: list[tuple] = []
+    for unit in exchanges(turns):
+        if fits(held + unit):
+            held += unit
+            continue
+        if held:
+            yield [(t, 0, n, loss) for t, n, loss in held]
+            held = []
+        if fits(unit):
+            held = list(unit)
+            continue
+        room, loss_room, out = limits.tokens, limits.loss, []
+        for t, n, loss in unit:
+            start = 0
+            while start < n:
+                most = min(room, loss_room) if loss else room
+                if not most:
+                    yield out
+                    room, loss_room, out = limits.tokens, limits.loss, []
+                    continue
+                size = min(most, n - start)
+                out.append((t, start, size, size if loss else 0))
+                room, loss_room, start = room - size, loss_room - (size if loss else 0), start + size
+        if out:
+            yield out
+    if held:
+        yield [(t, 0, n, loss) for t, n, loss in held]
+
+
+_TURNS = "conv_id long, turn long, start long, length long, loss long, sequence_id long, offset long"
+
+
+def _examples_packed(limits: Limits, first: int):
+    """Sorted rows of conversations to placed turns; ``first`` keeps the sequences of two kinds of tasks apart."""
+    names, most = [x.split()[0] for x in _TURNS.split(", ")], 4 * limits.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
-        base = TaskContext.get().partitionId() << 40
-        packer = Packer(limits, cut=False)
+        base = (TaskContext.get().partitionId() << 40) + first
+        packer, rows = Packer(limits, cut=False), []
 
-        def out(pieces_):
-            rows = [(*key, n, base + sequence, offset) for key, _, n, sequence, offset in pieces_]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            conv, turn, start, loss, length, sequence, offset = columns
-            return pa.record_batch([pa.array(c, pa.int64()) for c in (conv, turn, start, length, loss, sequence, offset)], names=names)
+        def keep(placed) -> None:
+            for (conv, parts), _, _, sequence, offset in placed:
+                for turn, start, n, loss in parts:
+                    rows.append((conv, turn, start, n, loss, base + sequence, offset))
+                    offset += n
 
-        for part in chain.from_iterable(map(pieces, batches)):
-            placed: list[tuple] = []
-            ids = encode([t or "" for t in part.column("text").to_pylist()])
-            for conv, turn, bears, found in zip(part.column("conv_id").to_pylist(), part.column("turn").to_pylist(), part.column("bears").to_pylist(), ids, strict=True):
-                most = min(limits.tokens, limits.loss) if bears else limits.tokens
-                n = len(found) // 4
-                for start in range(0, n, most):
-                    size = min(most, n - start)
-                    placed += packer.add((conv, turn, start, size * bears), size, size * bears)
-            yield out(placed)
-        yield out(packer.finish())
+        def take(conv, turns: list[tuple]) -> None:
+            for parts in within_limits(turns, limits):
+                keep(packer.add((conv, parts), sum(p[2] for p in parts), sum(p[3] for p in parts)))
 
+        def out() -> pa.RecordBatch:
+            done = pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 7)], names=names)
+            rows.clear()
+            return done
+
+        held, conv_id, size = [], None, 0
+        for batch in batches:
+            for conv, turn, bears, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # a conversation that can't fit is handed on at the ends of its exchanges, so that it needn't be held whole
+                if held and (conv != conv_id or conv is None or (size > most and held[-1][2] and not bears) or size > 8 * most):
+                    take(conv_id, held)
+                    held, size = [], 0
+                held.append((turn, n, n if bears else 0))
+                conv_id, size = conv, size + n
+            yield out()
+        if held:
+            take(conv_id, held)
+        keep(packer.finish())
+        yield out()
+
+    return run
+
+
+def pack_conversations(turns: DataFrame, tokenizer_path: str, limits: Limits = Limits(segments=24, loss=1536), loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """(conv_id, turn, start, length, loss, sequence_id, offset): conversations, packed whole under all three limits.
+
+    ``turns(conv_id, turn, role, text)``. The example is the conversation, and
+    one segment: its turns lie in order in one sequence, so every answer is
+    trained with its prompt. Tokens bear loss in turns of ``loss_roles``. A
+    conversation over a limit is cut between exchanges, a run of turns up to its
+    answers, and only an exchange over a limit within.
+
+    Texts are encoded where they lie; only counts are dealt out. Conversations
+    within the limits are so by their turns' number and size that no key is hot;
+    those over them are dealt by ranges of turns, and may be cut there as well.
+    Null, empty and wordless texts have no token and no piece; a row without
+    conv_id is a conversation of its own; rows that repeat a turn are packed one
+    by one, and other columns are not read.
+    """
     bounded_batches(turns.sparkSession)
-    bears = F.coalesce(F.col("role").cast("string").isin(*loss_roles), F.lit(False)).cast("int").alias("bears")
-    columns = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text"), bears]
-    return turns.select(*columns).mapInArrow(run, schema)
+    scratch = Scratch(turns.sparkSession, "conversations")
+    bears = F.coalesce(F.col("role").cast("string").isin(*loss_roles), F.lit(False)).alias("bears")
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text"), bears)
+    counted = scratch.save(rows.mapInArrow(_counted(tokenizer_path), "conv_id long, turn long, bears boolean, n long").filter("n > 0"), "counted")
+    loss = F.sum(F.when(F.col("bears"), F.col("n")).otherwise(0))
+    over = counted.filter("conv_id is not null").groupBy("conv_id").agg(F.sum("n").alias("n"), loss.alias("loss"), F.count("*").alias("c"))
+    # a conversation of very many turns without tokens to speak of is dealt like a long one
+    over = over.filter((F.col("n") > limits.tokens) | (F.col("loss") > limits.loss) | (F.col("c") > limits.tokens)).select("conv_id", F.lit(True).alias("over"))
+    known = counted.join(over, "conv_id", "left").select("conv_id", "turn", "bears", "n", F.coalesce("over", F.lit(False)).alias("over"))
+    order = ["conv_id", "turn"]
+    short = known.filter("not over").drop("over").repartition(F.coalesce("conv_id", F.xxhash64("turn", "n"))).sortWithinPartitions(*order)
+    long_ = known.filter("over").drop("over").withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order, "tie").sortWithinPartitions(*order, "tie").drop("tie")
+    return short.mapInArrow(_examples_packed(limits, 0), _TURNS).unionAll(long_.mapInArrow(_examples_packed(limits, 1 << 39), _TURNS))

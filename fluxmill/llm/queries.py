@@ -100,8 +100,8 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instruction data, where the limits on segments and loss-bearing tokens bind."""
-    return packing.pack_turns(table(spark, sf_dir, "conversations"), tokenizer_path())
+    """Instruction data: whole conversations, where the limits on segments and loss-bearing tokens bind."""
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"), tokenizer_path())
 
 
 def listed_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

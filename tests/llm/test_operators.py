@@ -489,31 +489,55 @@ def test_needless_rules_go_and_lifted_ones_stay(spark):
     assert urlrules.mine_rules(spark.createDataFrame(rows, "url string, bad boolean")).count() == 0
 
 
-def test_turns_are_packed_under_three_limits(spark):
+def test_conversations_are_packed_whole_under_three_limits(spark):
+    """Every answer lies in its prompt's sequence, after it, unless its conversation is over a limit; then its exchange stays together."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    rows = [(k // 4, k % 4, "assistant" if k % 2 else "user", " ".join(["word"] * (1 + 37 * k % 90))) for k in range(200)] + [(99, 0, "assistant", "long " * 3000), (99, 1, "user", "long " * 3000), (99, 2, None, None), (99, 3, "user", " ")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    word = lambda n: " ".join(["word"] * n)
+    rows = [(k // 4, k % 4, "assistant" if k % 2 else "user", word(1 + 37 * k % 90)) for k in range(400)]
+    rows += [(500, t, "assistant" if t % 2 else "user", word(60 + t % 7)) for t in range(300)]  # over all limits, exchange by exchange
+    rows += [(501, 0, "user", word(30)), (501, 1, "assistant", word(3000)), (502, 0, "user", word(5000)), (502, 1, "assistant", word(20))]
+    rows += [(503, 2, None, None), (503, 3, "user", " "), (None, 0, "user", "word"), (None, 1, "assistant", "word word"), (504, None, "assistant", "word"), (505, 0, "user", word(5)), (505, 0, "user", word(5))]
+    turns = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, tie int, n int").repartition(5)
     limits = packing.Limits(segments=24, loss=1024)
-    got = packing.pack_turns(turns, queries.tokenizer_path(), limits).collect()
+    got = packing.pack_conversations(turns, queries.tokenizer_path(), limits).collect()
     by, used = {}, {}
     for r in got:
-        by.setdefault((r["conv_id"], r["turn"]), []).append((r["start"], r["length"]))
-        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["loss"]))
-    for conv, turn, _, text in rows:
-        n, at = len(tok.encode(text or "", add_special_tokens=False).ids), 0
-        for start, length in sorted(by.get((conv, turn), [])):
+        by.setdefault((r["conv_id"], r["turn"]), []).append((r["start"], r["length"], r["sequence_id"], r["offset"]))
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["loss"], r["conv_id"]))
+    count = lambda text: len(tok.encode(text or "", add_special_tokens=False).ids)
+    for conv, turn, role, text in rows[:-2]:
+        at = 0
+        for start, length, *_ in sorted(by.get((conv, turn), [])):
             assert start == at
             at += length
-        assert at == n
-    full = 0
+        assert at == count(text)
+    assert len(by[505, 0]) == 2
     for parts in used.values():
         parts.sort()
-        assert sum(p[1] for p in parts) <= 2048 and len(parts) <= 24 and sum(p[2] for p in parts) <= 1024
-        assert all(a[0] + a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
-        full += sum(p[1] for p in parts) > 1900 or len(parts) == 24 or sum(p[2] for p in parts) > 950
-    assert full >= len(used) * 0.6
+        assert sum(p[1] for p in parts) <= 2048 and len({p[3] for p in parts}) <= 24 and sum(p[2] for p in parts) <= 1024
+        assert parts[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+    for conv in range(100):
+        placed = [by[conv, t][0] for t in range(4) if (conv, t) in by]
+        assert len({p[2] for p in placed}) == 1 and all(a[3] + a[1] == b[3] for a, b in zip(placed, placed[1:]))
+    together = sum(by[500, t][0][2] == by[500, t + 1][0][2] for t in range(0, 300, 2))
+    assert together >= 150 - 4  # ranges of turns may cut where tasks meet
+    full = sum(sum(p[1] for p in parts) > 1800 or sum(p[2] for p in parts) > 900 for parts in used.values())
+    assert full >= len(used) * 0.5
+    none = packing.pack_conversations(turns.limit(0), queries.tokenizer_path(), limits)
+    assert none.count() == 0
+
+
+def test_packed_query_keeps_conversations_together(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = queries.QUERIES["packed_turns"](spark, sf).collect()
+    total, where = {}, {}
+    for r in rows:
+        n, loss = total.get(r["conv_id"], (0, 0))
+        total[r["conv_id"]] = n + r["length"], loss + r["loss"]
+        where.setdefault(r["conv_id"], set()).add(r["sequence_id"])
+    assert all(len(where[c]) == 1 for c, (n, loss) in total.items() if n <= 2048 and loss <= 1536) and len(where) > 10
 
 
 def test_id_filters_pass_their_ids_and_joins_are_exact(spark, monkeypatch):
