@@ -46,12 +46,18 @@ IMPLIED_END = {
 SCOPE = frozenset("td th caption table html template button".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+_SIMPLE = re.compile(r"([a-z][a-z0-9-]*|\*)?(#[\w-]+)?((?:\.[\w-]+)*)", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 #: A column is padded to its widest cell, but no wider than this; longer cells stay whole.
 WIDEST = 60
 #: Levels of lists and quotes that indent a line; text of deeper ones stands at the last of them.
 DEEPEST = 40
+#: Tables within tables that are aligned; deeper ones are text, so that a page's text is padded so often at most.
+NESTED = 3
+#: Empty places that spans may make beside a table's cells, and characters of padding for those of its text; a table beyond either isn't aligned.
+PLACES, PADDING = 4, 8
 
 @dataclass
 class Node:
@@ -126,12 +132,72 @@ def parse(source: str) -> Node:
             places.setdefault(tag, []).append(len(stack))
             stack.append(node)
             at += tag in ("pre", "listing") and source.startswith("\n", at)  # a first line end is not shown
+    apply_sheets(root)
     return root
 
 
 def visible(node: Node) -> bool:
     a = node.attributes
-    return node.tag not in UNSEEN and "hidden" not in a and not (node.tag == "dialog" and "open" not in a) and not _INVISIBLE.search(a.get("style", "")) and not (node.tag == "input" and a.get("type") == "hidden")
+    display = _DISPLAY.findall(a.get("style", ""))
+    return node.tag not in UNSEEN and "hidden" not in a and not (node.tag == "dialog" and "open" not in a) and not (display and display[-1].lower() == "none") and not (node.tag == "input" and a.get("type") == "hidden")
+
+
+def veiled(node: Node, within: bool) -> bool:
+    """Whether a node's own text is hidden: by its visibility, else by that of what it lies ``within``."""
+    found = _VISIBILITY.findall(node.attributes.get("style", ""))
+    return within if not found or found[-1].lower() == "inherit" else found[-1].lower() in ("hidden", "collapse")
+
+
+def _rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a style sheet's own rules; what stands in at-rules is left out."""
+    css, at, depth, begin, skip = re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.S), 0, 0, 0, False
+    head = ""
+    for m in re.finditer(r"[{};]", css):
+        if m[0] == "{":
+            if not depth:
+                head = css[begin : m.start()].strip()
+                skip = head.startswith("@")
+            depth, at = depth + 1, m.end() if not depth else at
+        elif m[0] == "}" and depth:
+            depth -= 1
+            if not depth:
+                if not skip:
+                    yield head, css[at : m.start()]
+                begin = m.end()
+        elif m[0] == ";" and not depth:
+            begin = m.end()  # an at-rule without a block
+
+
+def apply_sheets(root: Node) -> None:
+    """Adds to nodes' styles what the page's style sheets say of display and visibility, by selectors of one element: tag, #id, .class.
+
+    The more specific selector wins, then the later one, and an element's own
+    style over both. Selectors with combinators or conditions are left out.
+    """
+    nodes, todo, sheets = [], [root], []
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo += [c for c in node.children if isinstance(c, Node)]
+        if node.tag == "style":
+            sheets.append("".join(c for c in node.children if isinstance(c, str)))
+    found: dict[str, list] = {}
+    # nodes come last child first, and so do their sheets
+    for order, (heads, body) in enumerate(rule for css in reversed(sheets) for rule in _rules(css)):
+        said = [(name, v[-1]) for name, v in (("display", _DISPLAY.findall(body)), ("visibility", _VISIBILITY.findall(body))) if v]
+        for head in heads.split(",") if said else ():
+            m = _SIMPLE.fullmatch(head.strip())
+            if m and m[0]:
+                classes = [c for c in m[3].split(".") if c]
+                key = m[2] or (f".{classes[0]}" if classes else (m[1] or "*").lower())
+                found.setdefault(key, []).append(((bool(m[2]), len(classes), bool(m[1]) and m[1] != "*"), order, (m[1] or "*").lower(), m[2], frozenset(classes), said))
+    for node in nodes if found else ():
+        a = node.attributes
+        classes = frozenset(a.get("class", "").split())
+        keys = [node.tag, "*", f"#{a.get('id', '')}", *(f".{c}" for c in classes)]
+        rules = sorted((r for k in keys for r in found.get(k, ()) if r[2] in ("*", node.tag) and r[3] in (None, f"#{a.get('id', '')}") and r[4] <= classes), key=lambda r: r[:2])
+        if rules:
+            a["style"] = ";".join([f"{n}:{v}" for r in rules for n, v in r[5]] + [a.get("style", "")])
 
 
 class _Out:
@@ -190,33 +256,33 @@ class _Out:
             self.gap = False
 
 
-def _parts(table: Node) -> Iterator[Node | str]:
-    """What a table shows, in order: rows, and whatever else lies in it or its row groups; cells outside a row open one."""
-    implied, stack = None, list(reversed(table.children))
+def _parts(table: Node, hidden: bool = False) -> Iterator[tuple[Node | str, bool]]:
+    """What a table shows, in order, and whether it is hidden: rows, and whatever else lies in it or its row groups; cells outside a row open one."""
+    implied, stack = None, [(c, hidden) for c in reversed(table.children)]
     while stack:
-        node = stack.pop()
+        node, veil = stack.pop()
         if isinstance(node, str):
             if node.strip():
                 if implied:
                     yield implied
                     implied = None
-                yield node
+                yield node, veil
             continue
         if not visible(node) or node.tag in ("colgroup", "col"):
             continue
         if node.tag in ("td", "th"):
-            implied = implied or Node("tr")
-            implied.children.append(node)
+            implied = implied or (Node("tr"), veil)
+            implied[0].children.append(node)
             continue
         if implied:
             yield implied
             implied = None
         if node.tag in ("thead", "tbody", "tfoot"):
-            stack += [_END, *reversed(node.children)]
+            stack += [(_END, veil), *((c, veiled(node, veil)) for c in reversed(node.children))]
         elif node.tag == "form":  # browsers take a form among rows as empty; its rows are the table's
-            stack += reversed(node.children)
+            stack += [(c, veil) for c in reversed(node.children)]
         elif node is not _END:
-            yield node
+            yield node, veil
     if implied:
         yield implied
 
@@ -232,45 +298,83 @@ def _span(cell: Node | str, name: str, most: int) -> int:
 
 def _is_layout(table: Node) -> bool:
     """Whether no row has two cells, so that there is nothing to align."""
-    return all(isinstance(p, str) or p.tag != "tr" or len(_cells(p)) < 2 for p in _parts(table))
+    return all(isinstance(p, str) or p.tag != "tr" or len(_cells(p)) < 2 for p, _ in _parts(table))
 
 
-def _table(table: Node) -> list[str]:
-    """A table's captions and whatever else is outside its rows, then the rows; cells are padded to their column's width.
+def _cell_lines(cell: Node | str, hidden: bool, depth: int) -> list[str]:
+    """A cell's text as one line, or as the lines of what it holds if a table within it is aligned."""
+    if isinstance(cell, str):
+        return [] if hidden else [_BLANK.sub(" ", cell).strip()]
+    lines, aligned = _rendered(cell, depth + 1, hidden)
+    if aligned:
+        return lines
+    text = _BLANK.sub(" ", " ".join(lines)).strip()
+    return [text] if text else []
 
-    A cell that spans rows keeps its columns empty in the rows below. Tables
-    within a cell are part of its text.
-    """
-    rows, lines, below = [], [], {}
-    for part in _parts(table):
-        if isinstance(part, str):
-            lines.append(_BLANK.sub(" ", part).strip())
-            continue
-        if part.tag != "tr":
-            lines += _render(part, flat=True)
-            continue
-        cells: list[str] = []
+
+def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[list[str]]] | None:
+    """Cells (lines, colspan, rowspan) of rows in their columns; none if spans make too many empty places."""
+    real, empty, below, out = sum(map(len, rows)), 0, {}, []
+    for cells in rows:
+        placed: list[list[str]] = []
 
         def skip_held() -> None:
-            while below.get(len(cells), 0) > 0:
-                below[len(cells)] -= 1
-                cells.append("")
+            nonlocal empty
+            while below.get(len(placed), 0) > 0:
+                below[len(placed)] -= 1
+                placed.append([])
+                empty += 1
 
-        for cell in _cells(part):
+        for lines, across, down in cells:
             skip_held()
-            text = cell if isinstance(cell, str) else " ".join(_render(cell, flat=True))
-            down = _span(cell, "rowspan", 65_534) or 65_534  # 0 reaches to the end
-            for k in range(max(1, _span(cell, "colspan", 100))):
+            for k in range(across):
                 if down > 1:
-                    below[len(cells)] = down - 1
-                cells.append("" if k else _BLANK.sub(" ", text).strip())
+                    below[len(placed)] = down - 1
+                placed.append([] if k else lines)
+            empty += across - 1
         skip_held()
-        for k in [k for k, n in below.items() if k > len(cells) and n > 0]:
+        if empty > PLACES * real + 256:
+            return None
+        for k in [k for k, n in below.items() if k > len(placed) and n > 0]:
             below[k] -= 1
-        if any(cells):
+        out.append(placed)
+    return out
+
+
+def _table(table: Node, depth: int, hidden: bool) -> list[str]:
+    """A table's captions and whatever else is outside its rows, then the rows; cells are padded to their column's width.
+
+    A cell that spans rows keeps its columns empty in the rows below, as far as
+    there are rows. A table whose spans or padding would outgrow its text isn't
+    aligned: its cells stand two spaces apart.
+    """
+    rows, lines, size = [], [], 0
+    for part, veil in _parts(table, hidden):
+        if isinstance(part, str):
+            lines += [] if veil else [_BLANK.sub(" ", part).strip()]
+        elif part.tag != "tr":
+            lines += _rendered(part, NESTED, veil)[0]
+        else:
+            veil = veiled(part, veil)
+            cells = []
+            for cell in _cells(part):
+                down = _span(cell, "rowspan", 65_534) or 65_534  # 0 reaches to the end
+                cells.append((_cell_lines(cell, veil, depth), max(1, _span(cell, "colspan", 100)), down))
+                size += 9 + sum(map(len, cells[-1][0]))
             rows.append(cells)
-    widths = [min(WIDEST, max(len(r[k]) for r in rows if k < len(r))) for k in range(max(map(len, rows), default=0))]
-    return lines + ["  ".join(c.ljust(w) for c, w in zip(r, widths, strict=False)).rstrip() for r in rows]
+    placed = _placed(rows)
+    shown = [] if placed is None else [r for r in placed if any(r)]
+    widths = [min(WIDEST, max(max(map(len, r[k]), default=0) for r in shown if k < len(r))) for k in range(max(map(len, shown), default=0))]
+    ends = [0]
+    for w in widths:
+        ends.append(ends[-1] + w + 2)
+    if placed is None or sum(ends[len(r)] * max(map(len, r), default=0) for r in shown) > PADDING * size + 4096:
+        plain = ["  ".join(" ".join(c) for c, _, _ in cells if c) for cells in rows]
+        return lines + [x for x in plain if x]
+    for r in shown:
+        for k in range(max(map(len, r))):
+            lines.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(r, widths, strict=False)).rstrip())
+    return lines
 
 
 def _options(select: Node) -> list[str]:
@@ -288,15 +392,17 @@ def _options(select: Node) -> list[str]:
     return [o.attributes.get("label") or "".join(c for c in o.children if isinstance(c, str)) for o in found]
 
 
-def _render(root: Node, flat: bool = False) -> list[str]:
-    """Lines of a tree; in a ``flat`` one tables are blocks like others."""
-    out, lists = _Out(), []
+def _rendered(root: Node, depth: int = 0, hidden: bool = False) -> tuple[list[str], bool]:
+    """Lines of a tree, and whether any table in it is aligned; from ``NESTED`` tables on, tables are blocks like others."""
+    out, lists, aligned = _Out(), [], False
     # a stack of steps, so that deep pages need no recursion
-    steps: list[tuple] = [("open", root, False)]
+    steps: list[tuple] = [("open", root, False, veiled(root, hidden))]
     while steps:
-        what, node, pre = steps.pop()
+        what, node, pre, veil = steps.pop()
         if what == "text":
-            if pre:
+            if veil:
+                pass
+            elif pre:
                 out.exact(node)
             else:
                 out.inline(node)
@@ -316,12 +422,12 @@ def _render(root: Node, flat: bool = False) -> list[str]:
             else:
                 out.gap = True
         elif node.tag == "select":
-            for text in _options(node):
+            for text in () if veil else _options(node):
                 out.inline(f" {text} ")
-        elif node.tag == "table" and node is not root and not flat and not _is_layout(node):
+        elif node.tag == "table" and node is not root and depth < NESTED and not _is_layout(node):
             out.end_line(gap=True)
-            out.whole(_table(node))
-            out.gap = True
+            out.whole(_table(node, depth, veil))
+            out.gap = aligned = True
         else:
             if node.tag in BLOCK or node.tag in ("td", "th"):
                 out.end_line(gap=node.tag in SPACED and not (node.tag in ("ul", "ol", "menu", "dir") and lists))
@@ -335,30 +441,33 @@ def _render(root: Node, flat: bool = False) -> list[str]:
                     kind, number = lists[-1]
                     out.prefix = f"{number}. " if kind == "ol" else "- "
                     lists[-1][1] += 1
-                steps.append(("close", node, pre))
+                steps.append(("close", node, pre, veil))
             inner = pre or node.tag in ("pre", "listing", "plaintext", "textarea")
             for child in reversed(node.children):
                 if isinstance(child, str):
                     if node.tag not in DRAWN:
-                        steps.append(("text", child, inner))
+                        steps.append(("text", child, inner, veil))
                 elif visible(child):
-                    steps.append(("open", child, inner))
+                    steps.append(("open", child, inner, veiled(child, veil)))
     out.end_line()
-    return [x.rstrip() for x in out.lines]
+    return [x.rstrip() for x in out.lines], aligned
 
 
 def render(source: str | None) -> str:
     """The visible text of a page, as lines with blank lines between spaced blocks."""
-    return "\n".join(_render(parse(source))).strip("\n") if source else ""
+    return "\n".join(_rendered(parse(source))[0]).strip("\n") if source else ""
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, text, n_blocks): one row per row of ``pages(page_id, html)``.
 
     Whole pages are rendered, with the text of drawings, the options that a
-    select shows, and text areas; tables of one column, and tables within cells,
-    are blocks of text. The time is in proportion to a page's length, however
-    deep its elements nest. n_blocks counts the parts between blank lines.
+    select shows, and text areas; tables of one column are blocks of text. Time
+    and output are in proportion to a page's length, however deep its elements
+    nest and however far its cells span: tables in more than ``NESTED`` others,
+    and those whose spans or padding outgrow their text, aren't aligned.
+    Elements may be hidden by attributes, by their style, or by simple selectors
+    of the page's style sheets; what is visible within a hidden one is shown. n_blocks counts the parts between blank lines.
     Null and empty pages, and those without visible text, give an empty text and
     no blocks. Repeated rows are rendered one by one; other columns are not read.
     """

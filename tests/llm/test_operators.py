@@ -553,3 +553,27 @@ def test_id_filters_pass_their_ids_and_joins_are_exact(spark, monkeypatch):
         want = [(k, "x") for k in range(-50, 3000) if k < 0 or k % 7] + [(None, "null"), (3, "again")]
         assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, want))
     assert membership.without_ids(docs, gone.limit(0)).count() == docs.count()
+
+
+def test_html_output_is_bounded_by_the_page():
+    """Rows whose spans pile up, wide spans beside wide cells, and deep tables: none makes more than some times its own length."""
+    spanned = "<table>" + "<tr><td rowspan=65534>a<td>b" * 4000 + "</table>"
+    wide = "<table><tr>" + ("<td>" + "x" * 60) * 100 + "<tr><td colspan=100><td>y" * 4000 + "</table>"
+    deep = "<table><tr><td>k<td>" * 3000 + "end"
+    for page in (spanned, wide, deep):
+        text = htmltext.render(page)
+        assert len(text) <= 10 * len(page) + 5000
+    assert htmltext.render(spanned).count("a") == 4000 and htmltext.render(deep).count("k") == 3000 and "end" in htmltext.render(deep)
+
+
+def test_html_visibility_is_inherited_and_undone():
+    page = '<div style="visibility:hidden">no<p style="visibility: visible">yes</p><table><tr><td>a<td style="visibility:visible">b</table></div><p>after'
+    assert htmltext.render(page).split() == ["yes", "b", "after"]
+    sheet = """<style>/* .shown{display:none} */ .gone, #x > b, p.odd { color:red; display : none } @media print { .printed{display:none} } @import 'a'; #it{visibility:hidden} span{display:none} span.kept{display:inline}</style>
+    <div class="a gone">no</div><p class=odd>no</p><b class=odd>yes</b><div class=shown>one</div><div class=printed>two</div><div id=it>no<i style="visibility:visible">three</i></div><span>no</span><span class=kept>four</span> <span style="display:inline">five</span>"""
+    assert htmltext.render(sheet).split() == ["yes", "one", "two", "three", "four", "five"]
+
+
+def test_html_tables_within_cells_keep_their_columns():
+    page = "<table><tr><td>k<td><table><tr><td>1<td>2222<tr><td>33<td>4</table><td>z<tr><td>long<td>x<td>y</table>"
+    assert htmltext.render(page).split("\n") == ["k     1   2222  z", "      33  4", "long  x         y"]
