@@ -214,14 +214,17 @@ class ShardStore:
         return len(gone)
 
 
-def compact_arrivals(docs: DataFrame, root: str, arrivals: int = 4, params: TierParams = TierParams()) -> ShardStore:
+def compact_arrivals(docs: DataFrame, root: str, arrivals: int = 4, params: TierParams = TierParams(), keep: int = 1) -> ShardStore:
     """Takes ``docs`` in as ``arrivals`` runs by the hash of doc_id, each with its commit and compaction, and gives the store.
 
+    The ``keep`` newest versions stay readable; a version comes with each
+    arrival and with each merge.
+
     Rows are kept whatever they hold: null ids, null texts and repeated rows
     included, with all columns under their own names. An empty table gives an
     empty version with its columns.
     """
     store = ShardStore(docs.sparkSession, root, params)
     store.append_each(docs, F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(arrivals)))
-    store.vacuum()
+    store.vacuum(keep)
     return store

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from . import compaction, fmindex, htmltext, language, linedup, maxscore, minmax
 from .oracles import ORACLES
 from .scratch import Scratch
 
+#: Versions of the compacted table that stay readable.
+KEPT_VERSIONS = 10
 #: (host, path, verdict) of the listed URL rules.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -61,12 +65,19 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    store = compaction.compact_arrivals(docs, Scratch(spark, "shards").path("documents"))
+    store = compaction.compact_arrivals(docs, Scratch(spark, "shards").path("documents"), keep=KEPT_VERSIONS)
     version = store.manifest().version
     rows = store.read()
     return rows.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_text"), "shard", F.lit(version).alias("version"))
 
 
+def shard_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(version, doc_id) of every row that each version of the compacted table holds."""
+    store = compaction.compact_arrivals(table(spark, sf_dir, "documents"), Scratch(spark, "shards").path("documents"), keep=KEPT_VERSIONS)
+    parts = [store.read(v).select(F.lit(v).alias("version"), "doc_id") for v in store.versions()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit_language(docs.filter(~_held_out(4, 2)))
@@ -110,7 +121,7 @@ def listed_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, none)
 
 
-QUERIES = {f.__name__: f for f in (packed_turns, listed_url_rules, op1_packing, op2_toxicity, op3_minhash, op4_url_rules, op5_line_dedup, op6_compaction, op7_language, op8_html_text, op9_decontamination, op10_embeddings, op11_ranked_search, op12_conversation_repair, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (packed_turns, listed_url_rules, shard_versions, op1_packing, op2_toxicity, op3_minhash, op4_url_rules, op5_line_dedup, op6_compaction, op7_language, op8_html_text, op9_decontamination, op10_embeddings, op11_ranked_search, op12_conversation_repair, op13_exact_dedup)}
 
 
 def queries():

@@ -17,9 +17,9 @@ BAD = "#bad"
 class UrlParams:
     """Mined rules hold for ``min_support`` of the labelled URLs, ``min_count`` at least, with ``min_confidence``, and ``min_lift`` times as often as URLs are bad at all.
 
-    Every token that enough bad URLs have goes into the mining. Itemsets can
-    double with each token that as many URLs share. Rules of up to ``compared``
-    tokens are compared with their parts.
+    Every token that enough bad URLs have goes into the mining; those that occur
+    in the same URLs count as one. Rules of up to ``compared`` tokens are
+    compared with their parts.
     """
 
     min_support: float = 0.002
@@ -78,10 +78,13 @@ def mine_rules(labelled: DataFrame, params: UrlParams = DEFAULT) -> DataFrame:
     """(antecedent, confidence, support) of token combinations in ``labelled(url, bad)`` that tell bad URLs.
 
     Rules that one of their parts makes needless go; null urls or labels are not
-    learned from, and no bad URL gives no rules.
+    learned from, and no bad URL gives no rules. Tokens that stand in the same
+    URLs, such as a site's constant path, make the same rules, and their itemsets
+    would double with each: the least of them is mined for all. Tokens that
+    nearly always stand together are still mined apart.
     """
     spark = labelled.sparkSession
-    rows = labelled.filter("url is not null and bad is not null").select(tokens_of(F.col("url")).alias("t"), F.col("bad").cast("boolean").alias("bad"))
+    rows = labelled.filter("url is not null and bad is not null").select(F.col("url").cast("string").alias("url"), tokens_of(F.col("url")).alias("t"), F.col("bad").cast("boolean").alias("bad"))
     n, bad = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))).first()
     empty = spark.createDataFrame([], "antecedent array<string>, confidence double, support double")
     if not n or not bad:
@@ -89,9 +92,12 @@ def mine_rules(labelled: DataFrame, params: UrlParams = DEFAULT) -> DataFrame:
     support = max(params.min_support, params.min_count / n)
     if support > 1:
         return empty
-    counts = rows.select("bad", F.explode("t").alias("t")).groupBy("t").agg(F.sum(F.col("bad").cast("long")).alias("b"))
-    # no rule can hold any other token; there are at most (tokens a URL) / support
-    words = [r["t"] for r in counts.filter(F.col("b") >= support * n).orderBy("t").collect()]
+    # tokens of the same URLs have the same sums of their rows' hashes
+    rows = rows.withColumn("id", F.xxhash64("url")).withColumn("id2", F.xxhash64("url", F.lit(1)))
+    total = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    counts = rows.select("bad", "id", "id2", F.explode("t").alias("t")).groupBy("t").agg(F.sum(F.col("bad").cast("long")).alias("b"), F.count("*").alias("c"), total("id").alias("s"), total("id2").alias("s2"))
+    # no rule can hold any other token; there are at most (tokens a URL) / support, and of those of the same URLs the least stands for all
+    words = [r["t"] for r in counts.filter(F.col("b") >= support * n).groupBy("b", "c", "s", "s2").agg(F.min("t").alias("t")).orderBy("t").collect()]
     if not words:
         return empty
     known = F.array(*(F.lit(w) for w in words))

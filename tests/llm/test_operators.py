@@ -577,3 +577,29 @@ def test_html_visibility_is_inherited_and_undone():
 def test_html_tables_within_cells_keep_their_columns():
     page = "<table><tr><td>k<td><table><tr><td>1<td>2222<tr><td>33<td>4</table><td>z<tr><td>long<td>x<td>y</table>"
     assert htmltext.render(page).split("\n") == ["k     1   2222  z", "      33  4", "long  x         y"]
+
+
+def test_constant_paths_do_not_double_the_rules(spark):
+    """Thirty tokens that half or all of the URLs share are one to the miner."""
+    path = "/".join(f"part{k}" for k in range(30))
+    rows = [(f"https://x.org/{path}/p{k}" if k % 2 else f"https://y.org/q{k}", k % 2 == 1 and k % 10 != 1) for k in range(300)]
+    mined = urlrules.mine_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert [(r["antecedent"], r["confidence"]) for r in mined] == [(["org", "part0"], 0.8)] or all("part0" in r["antecedent"] or "x" in r["antecedent"] for r in mined) and len(mined) <= 3
+    every = [(f"https://x.org/{path}/w{k % 3}/{k}", k % 3 == 0) for k in range(300)]
+    lifted = urlrules.mine_rules(spark.createDataFrame(every, "url string, bad boolean"), urlrules.UrlParams(min_lift=1.0, min_confidence=0.3)).collect()
+    assert len(lifted) <= 4 and ["w0"] in [r["antecedent"] for r in lifted]
+    judged = urlrules.judge_urls(spark.createDataFrame([(k, u) for k, (u, _) in enumerate(every)], "page_id long, url string"), [], spark.createDataFrame([r for r in lifted if r["confidence"] == 1], "antecedent array<string>, confidence double, support double"))
+    assert {r["page_id"]: r["verdict"] for r in judged.collect()} == {k: "block" if k % 3 == 0 else "allow" for k in range(300)}
+
+
+def test_earlier_versions_stay_readable(spark, tmp_path):
+    """Each arrival's version holds what came until then; the merge of four loses and repeats nothing."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    store = compaction.compact_arrivals(docs, f"file://{tmp_path}/t", keep=10)
+    versions = store.versions()
+    assert versions == list(range(1, len(versions) + 1)) and len(versions) >= 5
+    rows = [sorted(r["doc_id"] for r in store.read(v).collect()) for v in versions]
+    assert 0 < len(rows[0]) < 400 and rows[3] == rows[-1] == list(range(400))
+    assert all(set(a) <= set(b) and len(a) == len(set(a)) for a, b in zip(rows, rows[1:]))
+    found = queries.QUERIES["shard_versions"](spark, "/root/testdata/sf0.001").groupBy("version").count().orderBy("version").collect()
+    assert [r["version"] for r in found] == versions and found[-1]["count"] == queries.table(spark, "/root/testdata/sf0.001", "documents").count()
