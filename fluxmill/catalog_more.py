@@ -94,6 +94,19 @@ def full_prior_posterior_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks.posterior_in_blocks(equations, prior, 3, 1.0, size=2).select("elem", cut("xhat", 5).alias("xhat"), cut("variance", 8).alias("variance"))
 
 
+_ONE = f"{cte('obs_model')}, s AS (SELECT line % 6 + 1 AS elem, sum(k1 * k1 / {_VAR15}) AS s, sum(k1 * (sat - model) / {_VAR15}) AS y FROM obs_model GROUP BY 1), p AS (SELECT *, CASE WHEN elem = 1 THEN {D('0.25')} WHEN elem < 6 THEN {D('4')} ELSE {D('0.04')} END AS v FROM s)"
+
+
+@query(f"{_ONE} SELECT CAST(elem AS INT) AS elem, {r('CASE WHEN elem BETWEEN 2 AND 5 THEN 0 ELSE 1 END + y / (s + 1 / (CASE WHEN elem = 6 THEN v / 5 ELSE v END))', 5)} AS xhat, {r('1 / (s + 1 / v)', 8)} AS variance, {r('1 - 1 / (s + 1 / v) / v', 6)} AS averaging_kernel FROM p")
+def boundary_posterior(spark: SparkSession, d: str) -> DataFrame:
+    """An emission element, four boundary elements and a hydroxyl one; each observation sees one of them."""
+    obs = view(spark, d, "obs_model")
+    seen = F.array(*(F.when(F.col("line") % 6 == e, F.col("k1")).otherwise(0.0) for e in range(6)))
+    e = inv.Elements(6, bc=True, oh=True)
+    _, post = invert(obs.select("sat", "model", "obs_count", seen.alias("k")), 6, 15.0, {"prior_err": [0.5], "err_bc": [2.0], "err_oh": [0.2]}, e)
+    return post.select("elem", cut("xhat", 5).alias("xhat"), cut("variance", 8).alias("variance"), cut("averaging_kernel", 6).alias("averaging_kernel"))
+
+
 # -- polygons and grids ---------------------------------------------------------------------------------------------------
 
 GRID = polygons.Lattice(-105.0, 0.3125, 24, 30.0, 0.25, 20)
@@ -201,6 +214,22 @@ def five_clusters(spark: SparkSession, d: str) -> DataFrame:
     return statevector.top_clusters(cells, 100.0, 5).select("label", cut("sensitivity", 3).alias("sensitivity"), "n_cells")
 
 
+_REGION = "cx BETWEEN -103.5 AND -99.5 AND cy BETWEEN 31 AND 33.5"
+
+
+@query(f"""{cte('pixel')}, c AS (SELECT i, j, {D('-105')} + i * {D('0.3125')} AS cx, 30 + j * {D('0.25')} AS cy, avg(value) AS flux FROM pixel GROUP BY i, j),
+e AS (SELECT greatest({D('-104.5')}, min(cx)) AS x0, least({D('-98.5')}, max(cx)) AS x1, greatest({D('30')}, min(cy)) AS y0, least({D('34.5')}, max(cy)) AS y1 FROM c),
+d AS (SELECT *, CASE WHEN flux < 45 OR cx < x0 + {D('0.3')} OR cx > x1 - {D('0.3')} OR cy < y0 + {D('0.3')} OR cy > y1 - {D('0.3')} THEN 'unused' WHEN {_REGION} THEN 'roi' ELSE 'buffer' END AS kind FROM c, e WHERE cx BETWEEN x0 AND x1 AND cy BETWEEN y0 AND y1)
+SELECT i, j, kind, CASE WHEN kind = 'roi' THEN count(*) OVER (PARTITION BY kind) + 1 - row_number() OVER (PARTITION BY kind ORDER BY j, i) END AS label FROM d""")
+def native_state_vector(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of the region; a buffer's are k-means, so SQL tells only that they are buffer."""
+    px = view(spark, d, "pixel")
+    cells = px.select("i", "j").distinct().select((F.col("i") * 100 + F.col("j")).alias("cell_id"), "i", "j", (30 + F.col("j") * 0.25).alias("lat"), (-105 + F.col("i") * 0.3125).alias("lon"))
+    flux = px.groupBy((F.col("i") * 100 + F.col("j")).alias("cell_id")).agg(F.avg("value").alias("flux"))
+    out = statevector.make_state_vector(cells, flux, (-103.5, -99.5, 31.0, 33.5), (1.0, 1.0), (0.3, 0.3), 45.0)
+    return out.select("i", "j", "kind", F.when(F.col("kind") == "roi", F.col("label")).alias("label"))
+
+
 @query()
 def aggregated_elements(spark: SparkSession, d: str) -> DataFrame:
     """Half as many elements as places, of four places at most."""

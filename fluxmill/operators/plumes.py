@@ -45,6 +45,20 @@ def _reaches(counts: dict[int, int], first: int, last: int, k: int) -> list[int]
     return out
 
 
+def within_labels(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """``points(lon, lat)`` strictly within the bounding box of ``cells(lat, lon, label)`` that have a label; none if no cell has.
+
+    A box of over half the globe crosses the antimeridian: it is the two strips
+    on either side of it. For other regions see ``polygons.points_within``.
+    """
+    box = cells.filter("label > 0").agg(F.min("lon").alias("_x0"), F.max("lon").alias("_x1"), F.min("lat").alias("_y0"), F.max("lat").alias("_y1"))
+    x, y = F.col("lon"), F.col("lat")
+    whole = (x > F.col("_x0")) & (x < F.col("_x1"))
+    strips = ((x > F.col("_x1")) & (x < 180)) | ((x > -180) & (x < F.col("_x0")))
+    inside = (y > F.col("_y0")) & (y < F.col("_y1")) & F.when(F.col("_x1") - F.col("_x0") > 180, strips).otherwise(whole)
+    return points.join(F.broadcast(box)).filter(inside).select(*points.columns)
+
+
 def nearest_cells(points: DataFrame, cells: DataFrame, k: int, step: float) -> DataFrame:
     """The k nearest cells of each point, on the unit sphere; all where there are fewer.
 

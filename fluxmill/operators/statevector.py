@@ -123,3 +123,42 @@ def cluster_buffer(cells: DataFrame, offset: int, divisor: int = 4, clusters: in
     rows = VectorAssembler(inputCols=["lon", "lat"], outputCol="_f").transform(cells)
     model = KMeans(k=k, seed=seed, featuresCol="_f", predictionCol="_c").fit(rows)
     return model.transform(rows).withColumn("label", F.col("_c") + 1 + offset).drop("_f", "_c")
+
+
+def make_state_vector(cells: DataFrame, emission: DataFrame, region: tuple[float, float, float, float] | None, buffer: tuple[float, float] = (0.0, 0.0), trim: tuple[float, float] = (0.0, 0.0), threshold: float = 0.0, divisor: int = 4, seed: int = 0) -> DataFrame:
+    """(cell_id, i, j, lat, lon, label, kind): the native state vector of a region (west, east, south, north), or of the whole globe for None.
+
+    ``cells(cell_id, i, j, lat, lon)`` is the land cover's grid and ``emission(
+    cell_id, flux)`` the mean emissions with the soil sink's magnitude. The
+    domain is the region and ``buffer`` degrees of longitude and latitude around
+    it, as far as there are cells. Cells within ``trim`` of its edge, which are
+    not advected, and those below the threshold are ``unused``, without a label;
+    missing emissions are below nothing. The region's other cells are numbered
+    from the last, and what is left around it is clustered by place into a
+    ``divisor``-th as many elements, whose labels follow. On the whole globe
+    there is no buffer, and cells beyond the kept latitudes are left out.
+    """
+    rows = cells.join(emission.select("cell_id", "flux"), "cell_id", "left")
+    low = F.coalesce(F.col("flux") < threshold, F.lit(False))
+    if region is None:
+        rows = rows.filter(F.col("lat").between(*GLOBAL_LATITUDES)).withColumn("kind", F.when(low, "unused").otherwise("roi"))
+    else:
+        contained(region, cells)
+        west, east, south, north = region
+        e = cells.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+        x0, x1 = max(west - buffer[0], e[0]), min(east + buffer[0], e[1])
+        y0, y1 = max(south - buffer[1], e[2]), min(north + buffer[1], e[3])
+        edge = (F.col("lon") < x0 + trim[0]) | (F.col("lon") > x1 - trim[0]) | (F.col("lat") < y0 + trim[1]) | (F.col("lat") > y1 - trim[1])
+        inside = F.col("lon").between(west, east) & F.col("lat").between(south, north)
+        rows = rows.filter(F.col("lon").between(x0, x1) & F.col("lat").between(y0, y1))
+        rows = rows.withColumn("kind", F.when(edge | low, "unused").when(inside, "roi").otherwise("buffer"))
+    names = ["cell_id", "i", "j", "lat", "lon"]
+    roi = number_cells(rows.filter("kind = 'roi'").select(*names)).select(*names, F.col("label").cast("long").alias("label"), F.lit("roi").alias("kind"))
+    unused = rows.filter("kind = 'unused'").select(*names, F.lit(None).cast("long").alias("label"), "kind")
+    around = rows.filter("kind = 'buffer'").select(*names)
+    n = around.count()
+    if not n:
+        return roi.unionByName(unused)
+    k, last = n // divisor, roi.count()
+    grouped = cluster_buffer(around, last, divisor, seed=seed) if k > 1 else around.withColumn("label", F.lit(last + 1))
+    return roi.unionByName(unused).unionByName(grouped.select(*names, F.col("label").cast("long").alias("label"), F.lit("buffer").alias("kind")))

@@ -16,9 +16,23 @@ SATELLITE = """orbit int, scanline int, ground_pixel int, time timestamp, lat fl
   apriori array<float>, avkern array<float>, swir_albedo float, nir_albedo float, surface_class int, chi2_swir float"""
 
 
-def read_satellite(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels with pressure edges in hPa, profiles from the ground up, surface flags and blended albedo; NaN is null."""
+def read_satellite(spark: SparkSession, path: str, product: str | None = None) -> DataFrame:
+    """Pixels with pressure edges in hPa, profiles from the ground up, surface flags and blended albedo; NaN is null.
+
+    With a ``product``, files must be of its kind: the names of the blended ones
+    hold BLND, and theirs alone; blended pixels stand in one row of scanlines, 0.
+    Any other product raises.
+    """
     df = spark.read.schema(SATELLITE).parquet(path)
+    if product is not None:
+        if product not in ("Operational", "Blended"):
+            raise ValueError(f"unknown satellite product {product!r}")
+        name = F.regexp_extract(F.input_file_name(), "([^/]*)/?[^/]*$", 0)
+        right = name.contains("BLND") == F.lit(product == "Blended")
+        said = F.raise_error(F.concat(F.lit(f"not a file of the {product.lower()} product: "), name)).cast("int")
+        df = df.withColumn("orbit", F.when(right, F.col("orbit")).otherwise(said))
+        if product == "Blended":
+            df = df.withColumn("scanline", F.lit(0))
     top, step = F.col("surface_pressure") / 100.0, F.col("pressure_interval") / 100.0
     sc, f9 = surface_flags(F.col("surface_class"))
     return df.select(
@@ -66,6 +80,15 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
 
 
+def read_periods(spark: SparkSession, path: str) -> DataFrame:
+    """(period, start, end) of a CSV with Starts, Ends and period_number, dates as yyyyMMdd and ends exclusive."""
+    df = spark.read.option("header", True).csv(path)
+    if not {"Starts", "Ends", "period_number"} <= set(df.columns):
+        raise ValueError(f"{path} needs the columns Starts, Ends and period_number; it has {df.columns}")
+    day = lambda c, name: F.to_date(c, "yyyyMMdd").alias(name)
+    return df.select(F.col("period_number").cast("int").alias("period"), day("Starts", "start"), day("Ends", "end"))
+
+
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """One row per point feature: lon, lat and the properties; a file is a collection, or has a feature a line."""
     found = spark.read.json(path)

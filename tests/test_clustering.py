@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluxmill.operators import clustering
+from fluxmill.operators import clustering, plumes, statevector
 
 CELLS = "cell_id long, lat double, lon double, sensitivity double"
 
@@ -96,3 +96,33 @@ def test_reduced_state_vector_keeps_its_buffer(spark):
     out = clustering.reduce_state_vector(labelled, 30, 90, 5)
     got = {r["cell_id"]: r["label"] for r in out.collect()}
     assert len(got) == 100 and [got[k] for k in range(90, 100)] == list(range(21, 31)) and set(got[k] for k in range(90)) == set(range(1, 21))
+
+
+def test_state_vector_of_a_region_and_of_the_globe(spark):
+    rows = [(i * 100 + j, i, j, 10.0 + j, 20.0 + i) for i in range(20) for j in range(16)]
+    cells = spark.createDataFrame(rows, "cell_id long, i int, j int, lat double, lon double")
+    flux = spark.createDataFrame([(r[0], 0.0 if r[1] == 9 else 5.0) for r in rows if r[0] != 1008], "cell_id long, flux double")
+    out = statevector.make_state_vector(cells, flux, (27.0, 32.0, 15.0, 20.0), (4.0, 3.0), (1.0, 1.0), 1.0).collect()
+    by = {(r["i"], r["j"]): r for r in out}
+    assert {(r["i"], r["j"]) for r in out} == {(i, j) for i in range(3, 17) for j in range(2, 14)}
+    kind = {k: r["kind"] for k, r in by.items()}
+    assert kind[3, 5] == kind[16, 5] == kind[8, 2] == kind[8, 13] == kind[9, 8] == "unused"  # the edge, and low emissions
+    assert kind[7, 5] == kind[12, 10] == kind[10, 8] == "roi" and kind[6, 5] == kind[8, 11] == "buffer"
+    roi = sorted(((r["j"], r["i"]), r["label"]) for r in out if r["kind"] == "roi")
+    assert [n for _, n in roi] == list(range(len(roi), 0, -1))
+    buffer = {r["label"] for r in out if r["kind"] == "buffer"}
+    n = sum(r["kind"] == "buffer" for r in out)
+    assert buffer == set(range(len(roi) + 1, len(roi) + n // 4 + 1)) and all(r["label"] is None for r in out if r["kind"] == "unused")
+    with pytest.raises(ValueError, match="reaches beyond"):
+        statevector.make_state_vector(cells, flux, (27.0, 60.0, 15.0, 20.0))
+    globe = spark.createDataFrame([(k, k, 0, -80.0 + 20 * k, 0.0) for k in range(9)], "cell_id long, i int, j int, lat double, lon double")
+    got = statevector.make_state_vector(globe, globe.select("cell_id", F.lit(1.0).alias("flux")), None).collect()
+    assert {r["cell_id"]: r["label"] for r in got} == {k: 9 - k for k in range(1, 9)}
+
+
+def test_points_within_the_labels_box(spark):
+    points = spark.createDataFrame([(1, 10.0, 5.0), (2, 0.0, 5.0), (3, 179.0, 5.0), (4, -179.0, 5.0)], "id int, lon double, lat double")
+    near = spark.createDataFrame([(0.0, 0.0, 1), (10.0, 20.0, 2), (80.0, 100.0, None)], "lat double, lon double, label int")
+    far = spark.createDataFrame([(0.0, -170.0, 1), (10.0, 175.0, 2)], "lat double, lon double, label int")
+    found = lambda cells: sorted(r["id"] for r in plumes.within_labels(points, cells).collect())
+    assert found(near) == [1] and found(far) == [3, 4] and found(near.filter("label is null")) == []

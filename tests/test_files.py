@@ -62,3 +62,24 @@ def test_broken_files_are_named_and_stop_nothing(spark, tmp_path):
     bad.write_bytes(b"PAR1 not parquet")
     ok, why = readers.readable(spark, [good[0], str(bad), good[1]])
     assert ok == good and list(why) == [str(bad)] and why[str(bad)]
+
+
+def test_products_are_told_by_their_names(spark, tmp_path):
+    rows = spark.sql("SELECT 7 AS orbit, 3 AS scanline, 1 AS ground_pixel, 1000D AS value, 96000F AS surface_pressure, 7900F AS pressure_interval, array(1F, 2F) AS dry_air, array(3F, 4F) AS apriori, array(5F, 6F) AS avkern, 0.1F AS swir_albedo, 0.2F AS nir_albedo, 249 AS surface_class")
+    for name in ("S5P_BLND_1.parquet", "S5P_OFFL_1.parquet"):
+        rows.write.parquet(f"{tmp_path}/{name}")
+    blended = readers.read_satellite(spark, f"{tmp_path}/S5P_BLND_1.parquet", "Blended").first()
+    plain = readers.read_satellite(spark, f"{tmp_path}/S5P_OFFL_1.parquet", "Operational").first()
+    assert (blended["scanline"], plain["scanline"]) == (0, 3) and list(plain["dry_air"]) == [2, 1] and plain["pressures"] == pytest.approx([960, 881, 802])
+    with pytest.raises(Exception, match="not a file of the blended product"):
+        readers.read_satellite(spark, f"{tmp_path}/S5P_OFFL_1.parquet", "Blended").collect()
+    with pytest.raises(ValueError, match="unknown satellite product"):
+        readers.read_satellite(spark, str(tmp_path), "CO2")
+
+
+def test_periods_of_a_file(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("Starts,Ends,period_number\n20200101,20200108,1\n20200108,20200115,2\n")
+    assert [tuple(r) for r in readers.read_periods(spark, str(tmp_path / "p.csv")).collect()] == [(1, date(2020, 1, 1), date(2020, 1, 8)), (2, date(2020, 1, 8), date(2020, 1, 15))]
+    (tmp_path / "q.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError, match="needs the columns"):
+        readers.read_periods(spark, str(tmp_path / "q.csv"))
