@@ -149,6 +149,12 @@ def rasterised_polygons(spark: SparkSession, d: str) -> DataFrame:
     return polygons.rasterised(_shapes(spark, d, _DIAMOND), GRID)
 
 
+@query()
+def polygon_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Square kilometres of the diamonds, with geodesics for edges."""
+    return polygons.ellipsoid_areas(_shapes(spark, d, _DIAMOND)).select("poly_id", cut(F.col("area") / 1e6, 3).alias("km2"))
+
+
 @query()
 def regridding_weights(spark: SparkSession, d: str) -> DataFrame:
     """Weights from the pixels' grid to one of half a degree over the same cells."""

@@ -67,3 +67,49 @@ def spherical_quad_area(lons: list[Column], lats: list[Column], radius: float =
         return 2 * F.atan2(F.abs(triple), 1 + dot(a, b) + dot(b, c) + dot(c, a))
 
     return (excess((0, 1, 2)) + excess((0, 2, 3))) * radius * radius
+
+
+#: Semi-axes in metres of the ellipsoids of 1866 (Clarke) and 1984.
+CLARKE_1866, WGS84 = (6378206.4, 6356583.8), (6378137.0, 6356752.314245179)
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(48)
+
+
+def zone_area(lat: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Area between the equator and a latitude (radians) of an ellipsoid, for each radian of longitude."""
+    e = np.sqrt(1 - (b / a) ** 2)
+    s = np.sin(lat)
+    return b * b / 2 * (s / (1 - (e * s) ** 2) + np.arctanh(e * s) / e)
+
+
+def geodesic_strips(lon0: np.ndarray, lat0: np.ndarray, lon1: np.ndarray, lat1: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Signed areas between the equator and geodesics of an ellipsoid, positive where they run east in the north; ends in degrees.
+
+    The geodesic's azimuth at the equator comes from the inverse problem, by
+    iterating the longitude on the auxiliary sphere; the area is then an integral
+    along the arc. Ends that lie nearly opposite each other aren't solved.
+    """
+    f = 1 - b / a
+    dlon = np.radians((lon1 - lon0 + 180) % 360 - 180)
+    u0, u1 = (np.arctan((1 - f) * np.tan(np.radians(x))) for x in (lat0, lat1))
+    omega = dlon.copy()
+    for _ in range(60):
+        so, co = np.sin(omega), np.cos(omega)
+        ss = np.hypot(np.cos(u1) * so, np.cos(u0) * np.sin(u1) - np.sin(u0) * np.cos(u1) * co)
+        cs = np.sin(u0) * np.sin(u1) + np.cos(u0) * np.cos(u1) * co
+        sigma = np.arctan2(ss, cs)
+        sin_a = np.clip(np.where(ss > 0, np.cos(u0) * np.cos(u1) * so / np.where(ss > 0, ss, 1), 0.0), -1, 1)
+        start = np.arctan2(np.sin(u0), np.cos(u0) * np.where(ss > 0, np.cos(u0) * np.sin(u1) - np.sin(u0) * np.cos(u1) * co, 1.0) / np.where(ss > 0, ss, 1.0))
+        k2 = (a * a / (b * b) - 1) * (1 - sin_a**2)
+        half = sigma / 2
+        at = start[:, None] + half[:, None] * (1 + _NODES)
+        slow = (2 - f) / (1 + (1 - f) * np.sqrt(1 + k2[:, None] * np.sin(at) ** 2))
+        fresh = dlon + f * sin_a * half * (slow @ _WEIGHTS)
+        done = np.max(np.abs(fresh - omega), initial=0.0) < 1e-14
+        omega = fresh
+        if done:
+            break
+    sin_b = np.sqrt(np.maximum(0.0, 1 - sin_a**2))[:, None] * np.sin(at)
+    cos2_b = np.maximum(1e-300, 1 - sin_b**2)
+    lat = np.arctan(sin_b / np.sqrt(cos2_b) / (1 - f))
+    speed = sin_a[:, None] / cos2_b - f * sin_a[:, None] * slow
+    return np.where(sigma > 0, half * ((zone_area(lat, a, b) * speed) @ _WEIGHTS), 0.0)

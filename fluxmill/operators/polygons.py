@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import CLARKE_1866, geodesic_strips, zone_area
 from .plumes import nearest_cells
 
 
@@ -147,3 +151,23 @@ def countries_of(cells: DataFrame, edges: DataFrame, g: Lattice, step: float = 2
     middle = centroids(edges).select(F.col("poly_id").alias("country"), F.col("lon").alias("country_lon"), F.col("lat").alias("country_lat"))
     named = placed.join(nearest, "cell_id", "left").withColumn("country", F.coalesce("country", "_near")).drop("_near")
     return named.join(middle, "country", "left")
+
+
+def ellipsoid_areas(edges: DataFrame, axes: tuple[float, float] = CLARKE_1866) -> DataFrame:
+    """(poly_id, area): square metres within geodesic edges on an ellipsoid, holes taken out.
+
+    Each edge adds the strip between it and the equator. A ring around a pole,
+    whose edges turn through a whole circle, has the rest of its hemisphere.
+    """
+    a, b = axes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x0, y0, x1, y1 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1"))
+            turn = (x1 - x0 + 180) % 360 - 180
+            yield pa.record_batch([batch.column("poly_id"), pa.array(geodesic_strips(x0, y0, x1, y1, a, b)), pa.array(turn)], names=["poly_id", "strip", "turn"])
+
+    kind = edges.schema["poly_id"].dataType.simpleString()
+    sums = edges.select("poly_id", "x0", "y0", "x1", "y1").mapInArrow(run, f"poly_id {kind}, strip double, turn double").groupBy("poly_id").agg(F.sum("strip").alias("s"), F.sum("turn").alias("t"))
+    half = float(2 * np.pi * zone_area(np.array(np.pi / 2), a, b))
+    return sums.select("poly_id", F.abs(F.when(F.abs("t") > 180, half - F.abs("s")).otherwise(F.col("s"))).alias("area"))

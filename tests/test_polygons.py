@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fluxmill.functions.geo import CLARKE_1866, WGS84, zone_area
 from fluxmill.operators import polygons, regridding
 from fluxmill.operators.polygons import Lattice
 
@@ -121,3 +122,17 @@ def test_weights_at_the_pole_and_partly_covered(spark):
     assert set(w) == {1, 2} and sum(w[1].values()) == pytest.approx(1, abs=1e-9) and sum(w[2].values()) < 1
     same = {(r["dst"], r["src"]): r["w"] for r in regridding.conservative_weights(polar, polar, 16).collect()}
     assert all(same[k, k] == pytest.approx(1, abs=1e-9) for k in range(12)) and len(same) == 12
+
+
+def test_areas_on_the_ellipsoid(spark):
+    """Closed forms: a parallel around the pole in short edges, an eighth of the ellipsoid, a cell of meridians and near parallels."""
+    parallel = [[-180 + 0.2 * k, -70.0] for k in range(1800)]
+    shapes = [("pole", [parallel]), ("octant", [[[0.0, 0.0], [90.0, 0.0], [90.0, 90.0]]]), ("holed", [[[0.0, 0.0], [4.0, 0.0], [4.0, 3.0], [0.0, 3.0]], [[1.0, 1.0], [2.0, 1.0], [2.0, 2.0], [1.0, 2.0]]]), ("hole", [[[1.0, 1.0], [2.0, 1.0], [2.0, 2.0], [1.0, 2.0]]]), ("whole", [[[0.0, 0.0], [4.0, 0.0], [4.0, 3.0], [0.0, 3.0]]])]
+    edges = polygons.ring_edges(spark.createDataFrame(shapes, RINGS))
+    got = {r["poly_id"]: r["area"] for r in polygons.ellipsoid_areas(edges, WGS84).collect()}
+    assert got["pole"] == pytest.approx(510065621724088.44 / 2 - 2 * np.pi * zone_area(np.radians(70.0), *WGS84), rel=1e-6)
+    assert got["octant"] == pytest.approx(510065621724088.44 / 8, rel=1e-9)  # an eighth of the ellipsoid
+    assert got["holed"] == pytest.approx(got["whole"] - got["hole"], rel=1e-12)
+    clarke = {r["poly_id"]: r["area"] for r in polygons.ellipsoid_areas(edges.filter("poly_id = 'hole'"), CLARKE_1866).collect()}
+    flat = np.radians(1) * (zone_area(np.radians(2.0), *CLARKE_1866) - zone_area(np.radians(1.0), *CLARKE_1866))
+    assert clarke["hole"] == pytest.approx(flat, rel=2e-5)  # geodesics bulge beyond parallels by less
