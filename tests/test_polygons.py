@@ -126,7 +126,7 @@ def test_weights_at_the_pole_and_partly_covered(spark):
 
 def test_areas_on_the_ellipsoid(spark):
     """Closed forms: a parallel around the pole in short edges, an eighth of the ellipsoid, a cell of meridians and near parallels."""
-    parallel = [[-180 + 0.2 * k, -70.0] for k in range(1800)]
+    parallel = [[-180 + 0.05 * k, -70.0] for k in range(7200)]
     shapes = [("pole", [parallel]), ("octant", [[[0.0, 0.0], [90.0, 0.0], [90.0, 90.0]]]), ("holed", [[[0.0, 0.0], [4.0, 0.0], [4.0, 3.0], [0.0, 3.0]], [[1.0, 1.0], [2.0, 1.0], [2.0, 2.0], [1.0, 2.0]]]), ("hole", [[[1.0, 1.0], [2.0, 1.0], [2.0, 2.0], [1.0, 2.0]]]), ("whole", [[[0.0, 0.0], [4.0, 0.0], [4.0, 3.0], [0.0, 3.0]]])]
     edges = polygons.ring_edges(spark.createDataFrame(shapes, RINGS))
     got = {r["poly_id"]: r["area"] for r in polygons.ellipsoid_areas(edges, WGS84).collect()}
