@@ -112,4 +112,7 @@ def geodesic_strips(lon0: np.ndarray, lat0: np.ndarray, lon1: np.ndarray, lat1:
     cos2_b = np.maximum(1e-300, 1 - sin_b**2)
     lat = np.arctan(sin_b / np.sqrt(cos2_b) / (1 - f))
     speed = sin_a[:, None] / cos2_b - f * sin_a[:, None] * slow
-    return np.where(sigma > 0, half * ((zone_area(lat, a, b) * speed) @ _WEIGHTS), 0.0)
+    strips = np.where(sigma > 0, half * ((zone_area(lat, a, b) * speed) @ _WEIGHTS), 0.0)
+    # at a pole an edge turns from one meridian to the other
+    polar = np.where(np.abs(lat0) > np.abs(lat1), lat0, lat1)
+    return np.where(np.abs(polar) > 90 - 1e-12, dlon * zone_area(np.radians(np.clip(polar, -90, 90)), a, b), strips)
