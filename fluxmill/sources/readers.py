@@ -173,6 +173,17 @@ def _paged_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("plume_id").alias("id"), place[0].alias("lon"), place[1].alias("lat"), F.col("emission_auto").alias("emission_rate"), F.col("emission_uncertainty_auto").alias("emission_rate_std"), F.col("scene_timestamp").alias("time"), "instrument")
 
 
+#: Properties of detected plumes, and what they are here.
+DETECTED = {"ch4_fluxrate": "emission_rate", "ch4_fluxrate_std": "emission_rate_std", "tile_date": "time", "satellite": "instrument"}
+
+
+@plume_source("detected_geojson")
+def _detected(spark: SparkSession, path: str) -> DataFrame:
+    """A published collection of detected plumes, in kg/h, at the places of their properties."""
+    rows = spark.read.schema("features array<struct<properties:struct<lon:double,lat:double,ch4_fluxrate:double,ch4_fluxrate_std:double,tile_date:string,satellite:string>>>").option("multiLine", True).json(path).select(F.explode("features.properties").alias("p")).select("p.*")
+    return rows.withColumnsRenamed(DETECTED).withColumn("time", F.to_timestamp("time"))
+
+
 @plume_source("geojson")
 def _geojson(spark: SparkSession, path: str) -> DataFrame:
     return read_geojson(spark, path)

@@ -53,6 +53,23 @@ def perturbation_lines(factors: DataFrame, template: str) -> DataFrame:
     return factors.orderBy("elem").select(F.concat(*(fill.get(p, F.lit(p)) for p in parts)).alias("value"))
 
 
+def replaced_perturbations(lines: DataFrame, factors: DataFrame, last: int) -> DataFrame:
+    """(file, number, value) of perturbation files' ``lines(file, number, value)`` with their element's factor replaced.
+
+    A file's element is in its name, as _0012.txt; the first line that begins
+    with ELEM_0012 gets the factor of ``factors(elem, factor)``. Files of
+    elements after ``last``, which are no emissions, and those without a factor
+    stay as they are.
+    """
+    label = F.regexp_extract("file", r"(\d{4})\.txt$", 1)
+    rows = lines.withColumns({"_label": label, "_e": F.nullif(label, F.lit("")).cast("int")})
+    own = F.startswith("value", F.concat(F.lit("ELEM_"), F.col("_label"))) & (F.col("_e") <= last)
+    first = rows.filter(own).groupBy("file").agg(F.min("number").alias("_first"))
+    rows = rows.join(first, "file", "left").join(factors.select(F.col("elem").alias("_e"), "factor"), "_e", "left")
+    fresh = F.concat(F.lit("ELEM_"), "_label", F.lit("  "), F.rpad(F.col("_e").cast("string"), 6, " "), F.col("factor").cast("string"))
+    return rows.select("file", "number", F.when((F.col("number") == F.col("_first")) & F.col("factor").isNotNull(), fresh).otherwise(F.col("value")).alias("value"))
+
+
 def write_geojson(points: DataFrame, path: str) -> None:
     """A feature collection of points (lon, lat) with all other columns as properties, one feature a line of JSON."""
     others = [F.col(f"`{c}`") for c in points.columns if c not in ("lon", "lat")]

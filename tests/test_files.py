@@ -1,12 +1,15 @@
 """Polygon files, reference orbits, hourly splits and broken files."""
 
 import json
+import threading
 from datetime import date
+from http.server import BaseHTTPRequestHandler, HTTPServer
+from urllib.parse import parse_qs, urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
-from fluxmill.sources import catalogue, hourly, readers
+from fluxmill.sources import catalogue, hourly, paged, readers, sinks
 
 SQUARE, HOLE = [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], [[1, 1], [2, 1], [2, 2], [1, 2], [1, 1]]
 
@@ -83,3 +86,47 @@ def test_periods_of_a_file(spark, tmp_path):
     (tmp_path / "q.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError, match="needs the columns"):
         readers.read_periods(spark, str(tmp_path / "q.csv"))
+
+
+def test_pages_of_a_plume_service(spark):
+    plumes = [{"plume_id": f"p{k}", "geometry_json": {"coordinates": [k / 10, -k / 10]}, "emission_auto": None if k == 3 else float(k), "emission_uncertainty_auto": 1.5, "scene_timestamp": "2024-01-02T03:04:05Z", "instrument": "emi", "first_light": k % 5 == 0} for k in range(23)]
+    asked, short = [], []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = parse_qs(urlparse(self.path).query)
+            limit, offset = int(q["limit"][0]), int(q["offset"][0])
+            asked.append((offset, limit, q["bbox"]))
+            items = plumes[offset : offset + limit - (1 if short and limit > 1 else 0)]
+            body = json.dumps({"total_count": len(plumes), "items": items}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/plumes"
+        got = paged.read_paged(spark, url, (-1.0, -5.0, 3.0, 1.0), 10)
+        rows = {r["id"]: r for r in got.collect()}
+        assert set(rows) == {f"p{k}" for k in range(23) if k % 5} and rows["p3"]["emission_rate"] is None and rows["p4"]["lon"] == 0.4
+        assert {a[:2] for a in asked if a[1] > 1} == {(0, 10), (10, 10), (20, 10)} and asked[0][2] == ["-1.0", "-5.0", "3.0", "1.0"]
+        short.append(1)
+        with pytest.raises(Exception, match="instead of"):
+            paged.read_paged(spark, url, (-1.0, -5.0, 3.0, 1.0), 10).collect()
+    finally:
+        server.shutdown()
+
+
+def test_detected_plumes_and_perturbation_files(spark, tmp_path):
+    feature = {"type": "Feature", "geometry": None, "properties": {"lon": 1.5, "lat": 2.5, "ch4_fluxrate": 100.0, "ch4_fluxrate_std": 9.0, "tile_date": "2024-02-03T10:00:00", "satellite": "S2", "other": 1}}
+    (tmp_path / "d.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature]}))
+    row = readers.read_plumes(spark, "detected_geojson", str(tmp_path / "d.geojson")).first()
+    assert (row["lon"], row["emission_rate"], row["instrument"], row["time"].isoformat(), row["datasource"]) == (1.5, 100.0, "S2", "2024-02-03T10:00:00", "detected_geojson")
+    lines = [("r/Perturbations_0012.txt", 0, "# head"), ("r/Perturbations_0012.txt", 1, "ELEM_0012  12    1.0"), ("r/Perturbations_0012.txt", 2, "ELEM_0012  again"), ("r/Perturbations_0020.txt", 0, "ELEM_0020  20    1.0"), ("r/Perturbations_0003.txt", 0, "ELEM_0003  3     1.0")]
+    out = sinks.replaced_perturbations(spark.createDataFrame(lines, "file string, number int, value string"), spark.createDataFrame([(12, 1.5), (20, 9.0)], "elem int, factor double"), 15)
+    got = {(r["file"][-8:-4], r["number"]): r["value"] for r in out.collect()}
+    assert got == {("0012", 0): "# head", ("0012", 1): "ELEM_0012  12    1.5", ("0012", 2): "ELEM_0012  again", ("0020", 0): "ELEM_0020  20    1.0", ("0003", 0): "ELEM_0003  3     1.0"}

@@ -268,3 +268,33 @@ def test_counts_over_a_stream(spark, tmp_path):
     counts.start(counts.daily_cell_counts(stream, ["i"]), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(120)
     got = {(r["day"].day, r["i"]): r["n_obs"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got and all(n == 2 for n in got.values()) and (1, 0) in got and (6, 1) not in got
+
+
+def test_a_filter_run_inverts_each_period(spark, tmp_path):
+    """Two elements on three cells; each period's posterior, nudged to its own emissions, is the next one's prior."""
+    from fluxmill.operators import inversion as inv
+    from fluxmill.plans.kalman_run import run_filter
+
+    rng = np.random.default_rng(9)
+    cells = spark.createDataFrame([(1, 1, 1.0, True), (2, 2, 2.0, True), (3, 2, 1.5, True), (4, 3, 1.0, False)], "cell_id int, label int, area_m2 double, roi boolean")
+    fluxes = rng.uniform(1, 4, (3, 4))
+    emission = spark.createDataFrame([(p + 1, c + 1, float(fluxes[p, c])) for p in range(3) for c in range(4)], "period int, cell_id int, flux double")
+    periods = kalman.make_periods(spark, date(2020, 1, 1), date(2020, 1, 22), 7)
+    k, y = rng.uniform(0.2, 1, (3, 40, 3)), rng.normal(0, 2, (3, 40))
+
+    def observe(p, window, prior):
+        return spark.createDataFrame([(float(v), 0.0, 1.0, row.tolist()) for v, row in zip(y[p - 1], k[p - 1], strict=True)], "sat double, model double, obs_count double, k array<double>")
+
+    out = run_filter(periods, cells, emission, observe, 3, 2.0, {"prior_err": [0.5], "gamma": [1.0]}, 0.1, f"file://{tmp_path}/a")
+    got = {(r["period"], r["cell_id"]): (r["prior_sf"], r["posterior_sf"]) for r in out.collect()}
+    posts = []
+    for p in range(3):
+        s = np.linalg.inv(k[p].T @ k[p] / 4 + np.eye(3) / 0.25)
+        x = 1 + s @ (k[p].T @ y[p] / 4)
+        posts.append(x[[0, 1, 1, 2]])
+    want = replayed(fluxes, np.array([1.0, 2.0, 1.5, 1.0]), np.array([True, True, True, False]), posts[:2], 0.1)
+    for p in range(3):
+        assert [got[p + 1, c][0] for c in (1, 2, 3, 4)] == pytest.approx(want[p]) and [got[p + 1, c][1] for c in (1, 2, 3, 4)] == pytest.approx(posts[p])
+    totals = {r["period"]: r["posterior"] for r in kalman.period_totals(out, cells, emission=emission).collect()}
+    first = sum(fluxes[0, c] * posts[0][c] * a for c, a in enumerate([1.0, 2.0, 1.5])) * 86400 * 365 * 1e-9
+    assert totals[1] == pytest.approx(first) and inv.Elements(3).n == 3
