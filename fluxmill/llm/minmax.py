@@ -25,7 +25,8 @@ class MinMaxParams:
     ``rows`` values. With the defaults a pair at 0.85 shares no band with
     probability (1 - 0.85^5)^24 = 8e-7.
     ``rare``: shingles of at most so many of the documents still in question
-    pair them directly.
+    pair them directly. ``family``: buckets of more unlinked members than that
+    are compared in blocks, as pairs of rows would grow with their square.
     """
 
     shingle: int = 3
@@ -34,6 +35,7 @@ class MinMaxParams:
     bands: int = 24
     rows: int = 5
     rare: int = 64
+    family: int = 64
     seed: int = 20231
 
 
@@ -142,6 +144,76 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+#: Members and shingles of a block, the unit in which large families are compared; columns of a product.
+BLOCK_MEMBERS, BLOCK_SHINGLES, COLUMNS = 1024, 400_000, 2048
+
+
+def _links_between(percent: int):
+    """Links between the components of two blocks of a family, or within one: no more than a spanning forest of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, component, block = (table.column(c).to_numpy() for c in ("node", "component", "block"))
+        lists = table.column("shingles").combine_chunks()
+        flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = n[at] > 1
+        column = (np.cumsum(n > 1) - 1)[at[shared]]
+        row = np.repeat(np.arange(len(node)), sizes)[shared]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        low, high = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        both = np.zeros((len(left), len(right)), np.float32)
+        for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            lo, hi = np.searchsorted(column, [begin, begin + COLUMNS])
+            dense = np.zeros((len(node), COLUMNS), np.float32)
+            dense[row[lo:hi], column[lo:hi] - begin] = 1
+            both += dense[left] @ dense[right].T
+        both = both.astype(np.int64)
+        linked = both * 100 >= (sizes[left][:, None] + sizes[right][None, :] - both) * percent
+        linked &= component[left][:, None] != component[right][None, :]
+        i, j = np.nonzero(linked)
+        # one link for two components
+        ends = np.sort(np.stack([component[left[i]], component[right[j]]], axis=1), axis=1)
+        first = np.unique(ends, axis=0, return_index=True)[1]
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while root.get(c, c) != c:
+                root[c] = root.get(root[c], root[c])
+                c = root[c]
+            return c
+
+        out = []
+        for k in first.tolist():
+            a, b = top(int(ends[k, 0])), top(int(ends[k, 1]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append(k)
+        a, b = node[left[i[out]]], node[right[j[out]]]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return run
+
+
+def links_in_blocks(members: DataFrame, sets: DataFrame, percent: int, most: int = BLOCK_MEMBERS, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(a, b): links that join the components within each bucket of ``members(bucket, node, component, n)``.
+
+    A bucket's members are cut into blocks of at most some ``most`` members and
+    ``shingles`` shingles; each pair of blocks is one group, in which all full
+    sets are compared by products of matrices. Rows are dealt once for each block
+    of their bucket, m^2 / ``most`` for m members, and no pair is a row: a group
+    gives a link fewer than it has components at most.
+    """
+    n = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / shingles)).cast("int")
+    parts = members.groupBy("bucket").agg(n.alias("parts"))
+    rows = members.join(parts, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.select("bucket", "node", "component", "block", other.alias("other")).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    dealt = rows.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node").select("bucket", "x", "y", "block", "node", "component", "shingles")
+    return dealt.groupBy("bucket", "x", "y").applyInArrow(_links_between(percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of ``docs(doc_id, text)``.
 
@@ -157,12 +229,12 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFram
     3. what then is still in different components is linked only if it shares a
        rare shingle, or if common shingles alone are enough for both (with
        c of n common shingles, |x & y| <= min(c) + rare ones shared, and a link
-       needs |x & y| >= p / (100 + p) (|x| + |y|)). Both kinds are paired, the
-       first by prefixes of the rare shingles, the second within buckets, and
-       confirmed: no link between texts that share a band is lost. Members of
-       a family that are linked are never expanded into all their pairs; those
-       of a bucket that share common shingles enough, yet are linked with
-       nothing, are, as no bound tells them apart before the full sets do.
+       needs |x & y| >= p / (100 + p) (|x| + |y|)). The first kind is paired by
+       prefixes of the rare shingles and confirmed; so is the second, within
+       buckets of ``family`` such members at most. In larger ones, families just
+       below the threshold, full sets are compared block by block, and only links
+       that join components become rows. No link between texts that share a band
+       is lost.
 
     Null, empty and wordless texts have an empty set and link with nothing.
     Rows with a null doc_id link with nothing and are kept. Rows that share a
@@ -236,7 +308,9 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFram
 
     # the others have common shingles enough in both; they share a bucket
     enough = lambda c: c * (100 + p) >= (F.col("n") + F.col("m")) * p
-    left = mixed(reached).join(measured.select("node", "n", "c"), "node").filter(F.col("c") * 100 >= F.col("n") * p)
+    able = scratch.save(mixed(reached).join(measured.select("node", "n", "c"), "node").filter(F.col("c") * 100 >= F.col("n") * p), "able")
+    large = able.groupBy("bucket").agg(F.count("*").alias("k")).filter(F.col("k") > params.family).select("bucket")
+    left = able.join(large, "bucket", "left_anti")
     right = left.select("bucket", F.col("node").alias("b"), F.col("component").alias("theirs"), F.col("n").alias("m"), F.col("c").alias("d"))
     by_bucket = (
         left.join(right, "bucket")
@@ -244,11 +318,12 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = DEFAULT) -> DataFram
         .select(F.col("node").alias("a"), "b")
     )
     pairs = scratch.save(by_rare.union(by_bucket).distinct(), "pairs")
+    families = scratch.save(links_in_blocks(able.join(large, "bucket", "left_semi"), sets, p), "families")
     scratch.drop("asked", "common", "measured", "members")
     scratch.settle()
-    groups = scratch.save(extended_components(reached, scratch.save(_confirmed(pairs, sets, p), "links-3"), scratch, "near-3"), "groups")
+    groups = scratch.save(extended_components(reached, scratch.save(_confirmed(pairs, sets, p).union(families).distinct(), "links-3"), scratch, "near-3"), "groups")
 
-    scratch.drop("sets", "pairs", "links-3")
+    scratch.drop("sets", "pairs", "families", "able", "links-3")
     scratch.settle()
 
     grouped = names.join(groups, "node", "left").select("set_hi", "set_lo", F.coalesce("component", "node").alias("component"))

@@ -603,3 +603,37 @@ def test_earlier_versions_stay_readable(spark, tmp_path):
     assert all(set(a) <= set(b) and len(a) == len(set(a)) for a, b in zip(rows, rows[1:]))
     found = queries.QUERIES["shard_versions"](spark, "/root/testdata/sf0.001").groupBy("version").count().orderBy("version").collect()
     assert [r["version"] for r in found] == versions and found[-1]["count"] == queries.table(spark, "/root/testdata/sf0.001", "documents").count()
+
+
+def family(n, slots=30, seed=0):
+    """Texts of one template whose slots hold one of two words: most pairs are just below the threshold, some are above."""
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"fix{s} word{s} {'left' if rng.random() < 0.5 else 'right'}{s} mid{s} end{s} tail{s} more{s}" for s in range(slots)) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("limit", "rare"), [(64, 64), (5, 8)])
+def test_families_are_compared_without_pairs(spark, monkeypatch, limit, rare):
+    """Of a family's n(n-1)/2 pairs none but links become rows, and no link is lost."""
+    texts = family(150) + [t + " extra" for t in family(20)] + family(60, 8, 1) + [f"lone text number {k}" for k in range(20)]
+    asked = []
+    confirmed = minmax._confirmed
+    monkeypatch.setattr(minmax, "_confirmed", lambda pairs, sets, percent: asked.append(pairs.count()) or confirmed(pairs, sets, percent))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in minmax.near_duplicates(docs, minmax.MinMaxParams(family=limit, rare=rare)).collect()}
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert got == components(range(len(texts)), links) and links
+    assert sum(asked[:2]) < 24 * len(texts) and (limit > 5 or asked[2] < 5 * len(texts))  # below the limits pairs are rows, so many a text at most
+
+
+def test_links_in_blocks_join_components_only(spark):
+    texts = family(90, 12, 3)
+    sets = [shingles(t) for t in texts]
+    names = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    held = spark.createDataFrame([(k, sorted(names[x] for x in s)) for k, s in enumerate(sets)], "doc_id long, shingles array<long>")
+    members = spark.createDataFrame([(7, k, k, len(s)) for k, s in enumerate(sets)] + [(8, k, 0, len(sets[k])) for k in range(20)], "bucket long, node long, component long, n long")
+    want = components(range(90), [(a, b) for a in range(90) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    for most in (1024, 16):
+        found = [tuple(r) for r in minmax.links_in_blocks(members, held, 85, most).collect()]
+        assert components(range(90), found) == want and (most < 90 or len(found) == 90 - len(set(want.values())))
+        assert all(100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for a, b in found)
