@@ -195,23 +195,23 @@ _EDGES = [-180, -90, 0, 90, 180]
 _BANDS = " ".join(f"WHEN longitude > {a} AND longitude <= {b} THEN {k}" for k, (a, b) in enumerate(zip(_EDGES, _EDGES[1:])))
 
 
-@query(f"{cte('station')}, b AS (SELECT *, {D('site * 7 % 360')} - 180 AS longitude FROM station), c AS (SELECT CAST(CASE {_BANDS} END AS INT) AS band, CAST(time AS DATE) AS day, op, gc FROM b) SELECT band, day, {r('avg(op)', 3)} AS op, {r('avg(gc)', 3)} AS gc, count(*) AS n FROM c WHERE band IS NOT NULL GROUP BY ALL")
+@query(f"{cte('station')}, b AS (SELECT *, {D('site * 7 % 360')} - 180 AS longitude FROM station), c AS (SELECT CAST(CASE {_BANDS} END AS INT) AS band, CAST(time AS DATE) AS day, op, gc FROM b) SELECT band, day, {r('avg(op)', 7)} AS op, {r('avg(gc)', 7)} AS gc, count(*) AS n FROM c WHERE band IS NOT NULL GROUP BY ALL")
 def lonband_means(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "station").withColumn("longitude", (F.col("site") * 7 % 360).cast("double") - 180)
     out = stations.band_means(rows, "longitude", _EDGES, F.to_date("time").alias("day"))
-    return out.select("band", "day", cut("op", 3).alias("op"), cut("gc", 3).alias("gc"), "n")
+    return out.select("band", "day", cut("op", 7).alias("op"), cut("gc", 7).alias("gc"), "n")
 
 
-@query(f"{cte('station')}, c AS (SELECT CAST(CASE WHEN latitude > -90 AND latitude <= -30 THEN 0 WHEN latitude > -30 AND latitude <= 0 THEN 1 WHEN latitude > 0 AND latitude <= 30 THEN 2 WHEN latitude > 30 AND latitude <= 90 THEN 3 END AS INT) AS band, CAST(year(time) AS INT) AS year, op, gc FROM station) SELECT band, year, {r('avg(op)', 3)} AS op, {r('avg(gc)', 3)} AS gc, count(*) AS n FROM c WHERE band IS NOT NULL GROUP BY ALL")
+@query(f"{cte('station')}, c AS (SELECT CAST(CASE WHEN latitude > -90 AND latitude <= -30 THEN 0 WHEN latitude > -30 AND latitude <= 0 THEN 1 WHEN latitude > 0 AND latitude <= 30 THEN 2 WHEN latitude > 30 AND latitude <= 90 THEN 3 END AS INT) AS band, CAST(year(time) AS INT) AS year, op, gc FROM station) SELECT band, year, {r('avg(op)', 7)} AS op, {r('avg(gc)', 7)} AS gc, count(*) AS n FROM c WHERE band IS NOT NULL GROUP BY ALL")
 def yearly_band_means(spark: SparkSession, d: str) -> DataFrame:
     out = stations.band_means(view(spark, d, "station"), "latitude", [-90, -30, 0, 30, 90], F.year("time").alias("year"))
-    return out.select("band", "year", cut("op", 3).alias("op"), cut("gc", 3).alias("gc"), "n")
+    return out.select("band", "year", cut("op", 7).alias("op"), cut("gc", 7).alias("gc"), "n")
 
 
-@query(f"{cte('station')} SELECT site, CAST(time AS DATE) AS day, {r('avg(op)', 3)} AS op, {r('avg(gc)', 3)} AS gc, count(*) AS n FROM station GROUP BY ALL")
+@query(f"{cte('station')} SELECT site, CAST(time AS DATE) AS day, {r('avg(op)', 7)} AS op, {r('avg(gc)', 7)} AS gc, count(*) AS n FROM station GROUP BY ALL")
 def site_day_means(spark: SparkSession, d: str) -> DataFrame:
     out = stations.site_means(view(spark, d, "station"), F.to_date("time").alias("day"))
-    return out.select("site", "day", cut("op", 3).alias("op"), cut("gc", 3).alias("gc"), "n")
+    return out.select("site", "day", cut("op", 7).alias("op"), cut("gc", 7).alias("gc"), "n")
 
 
 @query(f"{cte('emission')} SELECT label, {r('sum(flux)', 3)} AS sensitivity, count(*) AS n_cells FROM emission GROUP BY label HAVING sum(flux) >= 100 ORDER BY sum(flux) DESC, label LIMIT 5")
