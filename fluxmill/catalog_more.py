@@ -183,12 +183,12 @@ def effective_perturbations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{cte('pixel')}, t AS (SELECT *, {D('pixel_id % 3 + 1')} AS area FROM pixel), w AS (SELECT *, area / sum(area) OVER (PARTITION BY pixel_id) AS w FROM (SELECT *, i AS ci FROM t UNION ALL SELECT *, (i + 1) % 24 FROM t))
-SELECT orbit, ci AS i, j, {r('sum(w * value) / sum(w)', 5)} AS p1, {r('sum(w * lat) / sum(w)', 5)} AS p2, {r('sum(w * qa) / sum(w)', 5)} AS p3, {r('sum(w)')} AS obs_count FROM w GROUP BY orbit, ci, j""")
+SELECT orbit, ci AS i, j, {r('sum(w * value) / sum(w)', 8)} AS p1, {r('sum(w * lat) / sum(w)', 8)} AS p2, {r('sum(w * qa) / sum(w)', 8)} AS p3, {r('sum(w)')} AS obs_count FROM w GROUP BY orbit, ci, j""")
 def superobs_profiles(spark: SparkSession, d: str) -> DataFrame:
     px = view(spark, d, "pixel").withColumns({"area": (F.col("pixel_id") % 3 + 1).cast("double"), "profile": F.array("value", "lat", "qa")})
     touched = px.withColumn("i", F.explode(F.array(F.col("i"), (F.col("i") + 1) % 24)))
     out = superobs.superobservations(touched, ["orbit", "i", "j"], "pixel_id", values=(), profiles=("profile",), levels=3)
-    return out.select("orbit", "i", "j", *(cut(F.col("profile")[k], 5).alias(f"p{k + 1}") for k in range(3)), cut("obs_count").alias("obs_count"))
+    return out.select("orbit", "i", "j", *(cut(F.col("profile")[k], 8).alias(f"p{k + 1}") for k in range(3)), cut("obs_count").alias("obs_count"))
 
 
 _EDGES = [-180, -90, 0, 90, 180]
