@@ -56,3 +56,21 @@ def test_prior_covariance_has_all_pairs_and_sectors(spark, tmp_path):
     got = {(r["i"], r["j"]): r["c"] for r in catalog.QUERIES["prior_cov_pairs_all"](spark, str(tmp_path)).collect()}
     assert len(got) == 16 and all(got[k, k] == 1 for k in (0, 1, 39, 40))
     assert got[0, 1] == 0 and got[0, 40] == 0 and 0 < got[0, 39] < 0.082 and got[0, 39] == got[39, 0]
+
+
+@pytest.mark.parametrize("name", ["prior_cov_pairs", "prior_cov_pairs_all"])
+def test_pairs_are_made_in_many_tasks(spark, name):
+    # tables of some KB were joined in one task, however many pairs they have
+    df = catalog.QUERIES[name](spark, str(SF))
+    assert len({r[0] for r in df.selectExpr("spark_partition_id()").distinct().collect()}) > 4
+
+
+def test_covariance_of_elements_at_one_place(spark, monkeypatch):
+    from fluxmill.operators import covariance
+
+    monkeypatch.setattr(covariance, "GROUP", 3)
+    places = spark.sql("SELECT id AS elem, 30D + id % 2 AS lat, -100D AS lon FROM range(20)")
+    for reach in (None, 50.0, 500.0):
+        got = {(r["i"], r["j"]): r["c"] for r in covariance.covariance_pairs(places, 200.0, reach, blocks=2).collect()}
+        assert set(got) == {(i, j) for i in range(20) for j in range(20) if reach != 50.0 or i % 2 == j % 2}
+        assert all(c == 1 if i % 2 == j % 2 else math.isclose(c, math.exp(-math.radians(1) * 6371 / 200)) for (i, j), c in got.items())
