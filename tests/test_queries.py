@@ -58,7 +58,7 @@ def test_prior_covariance_has_all_pairs_and_sectors(spark, tmp_path):
     assert got[0, 1] == 0 and got[0, 40] == 0 and 0 < got[0, 39] < 0.082 and got[0, 39] == got[39, 0]
 
 
-@pytest.mark.parametrize("name", ["prior_cov_pairs", "prior_cov_pairs_all"])
+@pytest.mark.parametrize("name", ["prior_cov_pairs", "prior_cov_pairs_all", "interval_overlap", "interval_overlap_all"])
 def test_pairs_are_made_in_many_tasks(spark, name):
     # tables of some KB were joined in one task, however many pairs they have
     df = catalog.QUERIES[name](spark, str(SF))
