@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SECONDS_PER_YEAR, perturbation_factor
+from .quantiles import exact_percentiles
 
 #: Totals that are no sectors, and sectors that are reported together.
 TOTALS = ("Total", "Total_ExclSoilAbs")
@@ -74,7 +75,7 @@ def with_totals(emission: DataFrame) -> DataFrame:
 
 def median_by_label(field: DataFrame, value: str = "value") -> DataFrame:
     """Exact medians; NaN is missing."""
-    return field.filter("label is not null").groupBy("label").agg(F.median(F.nanvl(F.col(value), F.lit(None).cast("double"))).alias("median"))
+    return exact_percentiles(field.filter("label is not null"), ["label"], F.nanvl(F.col(value), F.lit(None).cast("double")), {"median": 0.5})
 
 
 def perturbations(field: DataFrame, target: float, prior_sf: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .emissions import SOIL, TOTALS, tg_per_year
+from .quantiles import exact_percentiles
 
 
 def gridded_superobs(rows: DataFrame, cell: list[str], values: tuple[str, ...], count: str = "obs_count") -> DataFrame:
@@ -46,13 +47,13 @@ def member_means(members: DataFrame, keys: list[str]) -> DataFrame:
 def percentiles(rows: DataFrame, keys: list[str], value: str, shares: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
     """Exact percentiles, linear between values; NaN is missing. Columns are p5, p50 and so on."""
     x = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    return rows.groupBy(*keys).agg(*(F.percentile(x, p).alias(f"p{round(100 * p)}") for p in shares))
+    return exact_percentiles(rows, keys, x, {f"p{round(100 * p)}": p for p in shares})
 
 
 def colour_range(rows: DataFrame, value: str, step: float = 25.0) -> DataFrame:
     """(low, high): a step on either side of the median's nearest multiple of it."""
-    middle = F.bround(F.median(value) / step) * step
-    return rows.agg((middle - step).alias("low"), (middle + step).alias("high"))
+    middle = F.bround(F.col("median") / step) * step
+    return exact_percentiles(rows, [], F.col(value), {"median": 0.5}).select((middle - step).alias("low"), (middle + step).alias("high"))
 
 
 def degrees_of_freedom(kernel: DataFrame, last: int | None = None) -> DataFrame:
