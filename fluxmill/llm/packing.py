@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .texts import bounded_batches, pieces
+from .texts import LOWER_ASCII, bounded_batches, pieces
 
 
 @dataclass(frozen=True)
@@ -109,7 +110,22 @@ class Packer:
 
 #: Words of one call to the tokenizer, and the mark that stands between them there.
 TOGETHER, MARK = 500, "\x02"
-_PROBE = "It's  3 o'clock, naïve Ünits of x-y (z) {}".format("supercalifragilistic")
+_PROBE = "It's  3 o'clock, naïve Ünits of x-y (z) a\x0bb\x0cc\td\re\nf {}".format("supercalifragilistic")
+
+
+_MARK = MARK.encode()
+
+
+class _Words(dict):
+    """Ids of words. One that is met for the first time is there, and in ``fresh``, with an empty array that is filled before its next use."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: dict[bytes, bytearray] = {}
+
+    def __missing__(self, word: bytes) -> bytearray:
+        self[word] = self.fresh[word] = found = bytearray()
+        return found
 
 
 class Encoder:
@@ -119,48 +135,82 @@ class Encoder:
     between ASCII white space, as its pieces, and what normalization changes,
     never reach across it; a probe of the tokenizer tells. Other tokenizers
     encode whole texts. Words that are not remembered go to the tokenizer many at
-    a time, with a mark of one id between them.
+    a time, with a mark of one id between them. If normalization lower-cases
+    A-Z, so do words, and marks that always are pieces of their own part from
+    the end of words that aren't known.
     """
 
     LIMIT, LONGEST = 500_000, 64
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {"": b""}
+        self.tokenizer, self.known = tokenizer, _Words()
         mark = self._ids(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
         self.by_word = np.array_equal(self._ids(_PROBE), np.concatenate([self._ids(w) for w in _PROBE.split()]))
+        self.table = LOWER_ASCII if self._lowers() else bytes(range(256))
+        self.tails = tuple(t for t in (b".", b",") if self._parts(t.decode()))
+
+    def _lowers(self) -> bool:
+        """Whether normalization lower-cases A-Z, wherever they stand."""
+        upper = string.ascii_uppercase
+        normal = self.tokenizer.normalizer
+        return normal is not None and all(normal.normalize_str(f"{x}{c}{x}") == normal.normalize_str(f"{x}{c.lower()}{x}") for c in upper for x in ("", "a", "-"))
+
+    def _parts(self, tail: str) -> bool:
+        """Whether a last ``tail`` is always a piece of its own after an ASCII letter or digit; ids never reach across pieces."""
+        before = self.tokenizer.pre_tokenizer
+        if before is None:
+            return False
+        return all((found := before.pre_tokenize_str(f"a{c}{tail}"))[-1][0] == tail and len(found) > 1 for c in string.ascii_letters + string.digits)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if MARK not in w and len(w) <= self.LONGEST] if self.mark is not None else []
-        out = {w: self._ids(w).tobytes() for w in (set(words).difference(plain) if len(plain) < len(words) else ())}
+    def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        plain = [w for w in words if _MARK not in w and len(w) <= self.LONGEST] if self.mark is not None else []
+        for w in set(words).difference(plain) if len(plain) < len(words) else ():
+            yield w, self._ids(w.decode()).tobytes()
         groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([b" \x02 ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(group) - 1:
-                out.update((w, self._ids(w).tobytes()) for w in group)
+                yield from ((w, self._ids(w.decode()).tobytes()) for w in group)
                 continue
             raw, begin = ids.tobytes(), 0
             for w, end in zip(group, [*(4 * ends).tolist(), len(raw)], strict=True):
-                out[w] = raw[begin:end]
+                yield w, raw[begin:end]
                 begin = end + 4
-        return out
+
+    def _learn(self) -> None:
+        """Fills in the words met for the first time; a word with a last mark that is always a piece of its own is that of its stem."""
+        known, with_tail = self.known, []
+        for w in list(known.fresh):
+            if w[-1:] in self.tails and w[-2:-1].isalnum():
+                with_tail.append(w)
+                known[w[:-1]], known[w[-1:]]  # noqa: B018  # met, too
+        tailed = set(with_tail)
+        for w, ids in self._encoded([w for w in known.fresh if w not in tailed]):
+            known.fresh[w] += ids
+        for w in with_tail:
+            known.fresh[w] += bytes(known[w[:-1]]) + bytes(known[w[-1:]])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        fresh = self._learn(list(set().union(*parts).difference(self.known)))
-        before = len(self.known)
-        self.known |= fresh
-        get = self.known.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
+        known = self.known
+        get = known.__getitem__
+        before = len(known)
+        rows = [list(map(get, t.encode().translate(self.table).split())) for t in texts]
+        self._learn()
+        out = [b"".join(r) for r in rows]
         room = self.LIMIT - before
-        for w in fresh if room <= 0 else [w for k, w in enumerate(fresh) if k >= room or len(w) > self.LONGEST]:
-            del self.known[w]
+        for k, (w, ids) in enumerate(known.fresh.items()):
+            if k < room and len(w) <= self.LONGEST:
+                known[w] = bytes(ids)
+            else:
+                del known[w]
+        known.fresh = {}
         return out
 
 

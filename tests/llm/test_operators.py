@@ -637,3 +637,19 @@ def test_links_in_blocks_join_components_only(spark):
         found = [tuple(r) for r in minmax.links_in_blocks(members, held, 85, most).collect()]
         assert components(range(90), found) == want and (most < 90 or len(found) == 90 - len(set(want.values())))
         assert all(100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for a, b in found)
+
+
+def test_encoder_learns_stems_once():
+    from tokenizers import Tokenizer
+
+    from fluxmill.llm.queries import tokenizer_path
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    encode = packing.Encoder(tok)
+    texts = ["Seldwyla seldwyla, SELDWYLA.", "It's 3.5, A'LL. don't. ..., É. É, x\x0by.\x0cz \x02 b\x02c. " + "Z" * 90 + ".", ""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {b"seldwyla", b"seldwyla,", b"seldwyla."} <= set(encode.known) and b"Seldwyla" not in encode.known
+    asked = []
+    encode._encoded = lambda words: asked.extend(words) or iter(())
+    encode(["Seldwyla. SELDWYLA, y, z."])
+    assert not {b"y,", b"z.", b"seldwyla"} & set(asked)
