@@ -1,6 +1,9 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import math
+import os
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -74,3 +77,18 @@ def test_covariance_of_elements_at_one_place(spark, monkeypatch):
         got = {(r["i"], r["j"]): r["c"] for r in covariance.covariance_pairs(places, 200.0, reach, blocks=2).collect()}
         assert set(got) == {(i, j) for i in range(20) for j in range(20) if reach != 50.0 or i % 2 == j % 2}
         assert all(c == 1 if i % 2 == j % 2 else math.isclose(c, math.exp(-math.radians(1) * 6371 / 200)) for (i, j), c in got.items())
+
+
+def test_overlaps_hold_no_product_of_tables():
+    # 9 million pairs of one latitude and column were held at once, as generated code keeps what it makes of a row
+    script = """
+from pyspark.sql import SparkSession
+from fluxmill.catalog import _overlaps
+spark = SparkSession.builder.master("local[1]").config("spark.driver.memory", "600m").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+place, pixel = spark.range(0, 60000, 20).selectExpr("id AS elem", "30D AS lat"), spark.range(3000).selectExpr("id AS pixel_id", "30D AS lat", "0L AS j")
+_overlaps(place, pixel, blocks=1).write.format("noop").mode("overwrite").save()
+print("written")
+"""
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[1])}
+    run = subprocess.run([sys.executable, "-c", script], env=env, capture_output=True, text=True, timeout=120)
+    assert run.stdout.split()[-1:] == ["written"], run.stderr[-2000:]
