@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from fluxmill import catalog, catalog_more, catalog_runs  # noqa: F401
 
@@ -92,3 +93,22 @@ print("written")
     env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[1])}
     run = subprocess.run([sys.executable, "-c", script], env=env, capture_output=True, text=True, timeout=120)
     assert run.stdout.split()[-1:] == ["written"], run.stderr[-2000:]
+
+
+def test_covariances_of_many_shares_are_stored_in_few_bytes(spark, tmp_path):
+    # c of a file had as many values as there are pairs, 8 bytes each; a file of a range of places has few
+    from fluxmill.operators import covariance
+
+    values = "30D + 5 * (id % 8) AS lat, -100D AS lon, 1 + rand(5) AS x, 1 + rand(7) AS y"
+    rows = spark.sql(f"SELECT id AS elem, lat, lon, x / sqrt(x * x + y * y) AS x, y / sqrt(x * x + y * y) AS y FROM (SELECT id, {values} FROM range(1600))").collect()
+    elements = spark.createDataFrame(rows).select("elem", "lat", "lon", F.struct("x", "y").alias("shares"))
+    pairs = covariance.covariance_pairs(elements, 200.0, blocks=4)
+    pairs.select("i", "j", catalog.cut("c", 6).alias("c")).write.parquet(f"{tmp_path}/c")
+    got = spark.read.parquet(f"{tmp_path}/c")
+    assert got.count() == got.select("i", "j").distinct().count() == 1600 * 1600
+    assert sum(f.stat().st_size for f in tmp_path.glob("c/*.parquet")) < 1.8 * 1600 * 1600
+    by = {r["elem"]: r for r in rows}
+    for r in got.filter("i < 3 AND j < 40").collect():
+        a, b = by[r["i"]], by[r["j"]]
+        c = math.exp(-math.radians(abs(a["lat"] - b["lat"])) * 6371 / 200) * (a["x"] * b["x"] + a["y"] * b["y"])
+        assert math.isclose(r["c"], 1.0 if r["i"] == r["j"] else c, abs_tol=1e-6)
