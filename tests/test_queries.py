@@ -95,6 +95,14 @@ print("written")
     assert run.stdout.split()[-1:] == ["written"], run.stderr[-2000:]
 
 
+def test_prior_covariance_reaches_far_places(spark, tmp_path):
+    # 0 and 39 are over 1000 km apart; pairs from 500 km on were left out
+    spark.sql("SELECT id AS s_suppkey FROM VALUES (0L), (1L), (39L) AS t(id)").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {(r["i"], r["j"]): r["c"] for r in catalog.QUERIES["prior_cov_pairs"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(i, j) for i in (0, 1, 39) for j in (0, 1, 39)} and all(got[k, k] == 1 for k in (0, 1, 39))
+    assert 0 < got[0, 39] == got[39, 0] < math.exp(-1000 / 200) < got[0, 1]
+
+
 def test_covariances_of_many_shares_are_stored_in_few_bytes(spark, tmp_path):
     # c of a file had as many values as there are pairs, 8 bytes each; a file of a range of places has few
     from fluxmill.operators import covariance
