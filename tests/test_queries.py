@@ -120,3 +120,13 @@ def test_covariances_of_many_shares_are_stored_in_few_bytes(spark, tmp_path):
         a, b = by[r["i"]], by[r["j"]]
         c = math.exp(-math.radians(abs(a["lat"] - b["lat"])) * 6371 / 200) * (a["x"] * b["x"] + a["y"] * b["y"])
         assert math.isclose(r["c"], 1.0 if r["i"] == r["j"] else c, abs_tol=1e-6)
+
+
+def test_covariance_does_not_depend_on_the_number_of_ranges(spark, monkeypatch):
+    from fluxmill.operators import covariance
+
+    places = spark.sql("SELECT id AS elem, 30D + id % 10 AS lat, -100D AS lon FROM range(30)")
+    dealt = type(places).repartitionByRange
+    monkeypatch.setattr(type(places), "repartitionByRange", lambda df, n, *by: dealt(df, 7, *by))
+    got = covariance.covariance_pairs(places, 200.0, blocks=2).collect()
+    assert len(got) == len({(r["i"], r["j"]) for r in got}) == 900
